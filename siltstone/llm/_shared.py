@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int | Callable[[pa.RecordBatch], pa.Array], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about ``max_bytes`` of the given string or binary column.
 
-    One document larger than the limit makes a slice of its own.
+    ``column`` is its number, or gives it from a batch. One document larger than the limit makes a slice of its own.
     """
     for batch in batches:
         n = batch.num_rows
         if n == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        held_in = batch.column(column) if isinstance(column, int) else column(batch)
+        lengths = pa.compute.fill_null(pa.compute.binary_length(held_in), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i in range(n):
             if held and held + int(lengths[i]) > max_bytes:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import exact_dedup, media, mixing, sharding, token_counts
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op8_media": media.op8_media,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op2_exact_dedup": exact_dedup.SQL,
     "op3_sharding": sharding.SQL,
     "op9_mixing": mixing.SQL,
 }
