@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, sharding, token_counts
+from . import exact_dedup, media, mixing, near_dup, packing, quality, secrets, sharding, token_counts, token_files
 
 QUERIES = {
+    "op1_ngram_jaccard": near_dup.op1_ngram_jaccard,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_secrets": secrets.op5_secrets,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_packing": packing.op7_packing,
     "op8_media": media.op8_media,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
