@@ -34,7 +34,7 @@ from ._tokens import byte_encoder, vocabulary_path
 
 CONTEXT = 1024
 END_ID = 0
-#: The linear program stops when its value is within this share of its bound, or after so many columns.
+#: The linear program stops within this share, or one sequence, of its bound, or after so many columns.
 GAP = 0.001
 COLUMNS = 3000
 #: Up to so many (task, length) counts are broadcast; beyond, they are joined by shuffle.
@@ -136,7 +136,7 @@ def solve_patterns(histogram: dict[int, int], context: int = CONTEXT, gap: float
         duals = inverse.sum(axis=0)
         worth, pattern = _price(lengths, duals, context)
         bound = max(bound, float(duals @ demand) / max(worth, 1.0)) if (duals >= -1e-9).all() else bound
-        if worth <= 1 + 1e-9 or uses.sum() <= bound * (1 + gap):
+        if worth <= 1 + 1e-9 or uses.sum() <= max(bound * (1 + gap), bound + 1):
             break
         direction = inverse @ pattern
         ratios = np.where(direction > 1e-9, uses / np.where(direction > 1e-9, direction, 1), np.inf)
