@@ -2,25 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import chunking, dedup
+from .plans import content, files, logs
 
-
-def _a1(spark, d):
-    files = chunking.document_files(spark.read.parquet(f"{d}/documents.parquet"))
-    return dedup.dedup_stats(chunking.fixed_chunks(files, 1024))
-
-
-QUERIES = {"a1_dedup_stats": _a1}
-
-ORACLES = {
-    "a1_dedup_stats": """
-WITH c AS (SELECT sha256(encode(text)[off + 1:off + 1024]) AS cid
-           FROM (SELECT text, unnest(range(0, octet_length(encode(text)), 1024)) AS off
-                 FROM documents WHERE octet_length(encode(text)) > 0)),
-g AS (SELECT cid, count(*) AS n FROM c GROUP BY 1),
-s AS (SELECT count(*)::BIGINT AS unique_chunks, sum(n)::BIGINT AS total_references,
-             (count(*) FILTER (n > 1))::BIGINT AS deduplicated_chunks, max(n)::BIGINT AS max_references FROM g)
-SELECT *, round((total_references - unique_chunks) / total_references::DOUBLE, 9) AS dedup_ratio,
-       round((total_references - unique_chunks) / total_references::DOUBLE * 100, 6) AS space_savings_pct FROM s
-""",
-}
+QUERIES = {**files.QUERIES, **content.QUERIES, **logs.QUERIES}
+ORACLES = {**files.ORACLES, **content.ORACLES, **logs.ORACLES}

@@ -1,10 +1,20 @@
-"""Fixed-size chunking and content identifiers, in Catalyst expressions."""
+"""Chunking: fixed sizes in Catalyst expressions, content-defined cuts in Arrow batches; content identifiers."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashes import derived_table
+
+GEAR = derived_table("gear") & 0xFFF  # no more bits are looked at
+
 
 def content_id(data: Column) -> Column:
     """Lower-case SHA-256 of bytes."""
@@ -38,3 +48,99 @@ def document_files(docs: DataFrame) -> DataFrame:
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
         F.encode("text", "UTF-8").alias("content"),
     )
+
+
+# Content-defined chunking -------------------------------------------------------------------------
+
+#: A byte is a cut candidate when the low bits of the rolling hash are under this; mask of at most 12 bits.
+CUT_BELOW, MASK_BITS, REACH = 32, 12, 12
+
+
+@dataclass(frozen=True)
+class ChunkConfig:
+    """Sizes in bytes: least < average < most, the average a power of two."""
+
+    least: int = 8 * 1024
+    average: int = 64 * 1024
+    most: int = 256 * 1024
+
+    def __post_init__(self) -> None:
+        if not (0 < self.least < self.average < self.most) or self.average & (self.average - 1):
+            raise ValueError("sizes must rise and the average be a power of two")
+
+    @property
+    def mask(self) -> int:
+        return (1 << min(MASK_BITS, self.average.bit_length() - 1)) - 1
+
+
+def cut_points(data: bytes, config: ChunkConfig, below: int = CUT_BELOW) -> list[int]:
+    """Chunk ends. The hash restarts with each chunk, but its tested bits depend on the last 12 bytes only, so for
+    least sizes of 12 or more the candidates of the whole content are found at once; a short walk picks the cuts.
+    The last bytes, once fewer than the largest chunk are left, are one chunk."""
+    if config.least < REACH:
+        raise ValueError(f"least sizes under {REACH} bytes are not supported")
+    total = len(data)
+    terms = GEAR[np.frombuffer(data, np.uint8)].astype(np.int64)
+    sums = np.zeros(total, np.int64)
+    for back in range(min(REACH, total)):
+        sums[back:] += terms[: total - back] << back
+    candidates = np.flatnonzero((sums & config.mask) < below) + 1
+    ends, start = [], 0
+    while total - start >= config.most:
+        at = int(np.searchsorted(candidates, start + config.least))
+        end = int(candidates[at]) if at < len(candidates) else total
+        ends.append(min(end, start + config.most))
+        start = ends[-1]
+    if start < total:
+        ends.append(total)
+    return ends
+
+
+def content_chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), key: str = "file_id", content: str = "content") -> DataFrame:  # noqa: B008
+    """(key, chunk_index, offset, length, content_id, is_zero) of content-defined chunks; no rows for empty content.
+
+    Arrow batches in, one row a chunk out; no shuffle.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                start = 0
+                for i, end in enumerate(cut_points(data, config) if data else []):
+                    piece = data[start:end]
+                    rows.append((k, i, start, end - start, hashlib.sha256(piece).hexdigest(), not any(piece)))
+                    start = end
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "chunk_index", "offset", "length", "content_id", "is_zero"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, content).mapInArrow(cut, f"`{key}` {kind}, chunk_index long, offset long, length long, content_id string, is_zero boolean")
+
+
+def is_zero(data: Column) -> Column:
+    """All bytes are 0."""
+    return F.hex(data).rlike("^(00)+$")
+
+
+def sparse_stats(files: DataFrame, granularity: int = 1 << 20, mode: str = "auto", least: int = 64 * 1024, key: str = "file_id", content: str = "content") -> DataFrame:
+    """(key, size, holes, bytes_saved, physical, density): zero chunks of ``granularity`` as holes.
+
+    Holes count if the mode is always, or auto with files of at least ``least`` bytes; density is 1 for an empty file.
+    """
+    total = F.length(content).cast("long")
+    enabled = F.lit(True) if mode == "always" else total >= least if mode == "auto" else F.lit(False)
+    starts = F.when(total > 0, F.sequence(F.lit(0), F.length(content) - 1, F.lit(granularity))).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(starts, lambda s: F.substring(F.col(content), s + 1, F.lit(granularity)))
+    zeros = F.filter(pieces, is_zero)
+    holes = F.when(enabled, F.size(zeros)).otherwise(0).cast("long")
+    saved = F.when(enabled, F.aggregate(zeros, F.lit(0).cast("long"), lambda a, z: a + F.length(z))).otherwise(F.lit(0).cast("long"))
+    rows = files.select(key, total.alias("size"), holes.alias("holes"), saved.alias("bytes_saved"))
+    physical = F.col("size") - F.col("bytes_saved")
+    return rows.withColumn("physical", physical).withColumn("density", F.when(F.col("size") > 0, F.round(physical / F.col("size"), 9)).otherwise(F.lit(1.0)))
+
+
+def size_distribution(chunks: DataFrame) -> DataFrame:
+    """chunks, least, most and mean length."""
+    return chunks.agg(F.count("*").alias("chunks"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.round(F.avg("length"), 6).alias("avg_length"))
