@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import content, files, logs
+from .plans import content, files, logs, settings
 
-QUERIES = {**files.QUERIES, **content.QUERIES, **logs.QUERIES}
-ORACLES = {**files.ORACLES, **content.ORACLES, **logs.ORACLES}
+QUERIES = {**files.QUERIES, **content.QUERIES, **logs.QUERIES, **settings.QUERIES}
+ORACLES = {**files.ORACLES, **content.ORACLES, **logs.ORACLES, **settings.ORACLES}

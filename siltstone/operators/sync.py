@@ -95,7 +95,7 @@ def link_dest_overlap(source_chunks: DataFrame, reference_chunks: DataFrame, lea
     counts = source_chunks.groupBy("path").agg(F.count("*").alias("n"))
     distinct = reference_chunks.select("path", "ref_priority", "content_id").distinct()
     held = reference_chunks.groupBy("path", "ref_priority").agg(F.count("*").alias("ref_n"))
-    common = source_chunks.join(distinct, ["path", "content_id"]).groupBy("path", "ref_priority").agg(F.count("*").alias("hits"))
+    common = source_chunks.select("path", "content_id").join(distinct, ["path", "content_id"]).groupBy("path", "ref_priority").agg(F.count("*").alias("hits"))
     scored = common.join(held, ["path", "ref_priority"]).join(counts, "path").withColumn("overlap", F.col("hits") / F.col("n"))
     kind = F.when((F.col("hits") == F.col("n")) & (F.col("n") == F.col("ref_n")), "hardlink").when(F.col("overlap") >= least, "delta_basis")
     usable = scored.withColumn("decision", kind).where("decision is not null")
