@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, slices, text_of
+from ._shared import map_arrow, materialise, slices, text_of
 from ._tokens import byte_encoder, vocabulary_path
 
 BLOCK = 1024
@@ -89,10 +89,10 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     A limit between two lengths is answered from the next longer length:
     tokens below it plus the limit for each document at least that long.
     """
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "context long")
+    asked = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(limits))])).alias("context")
     below = F.coalesce(F.sum(F.when(F.col("length") < F.col("context"), F.col("tokens"))), F.lit(0))
     above = F.coalesce(F.sum(F.when(F.col("length") >= F.col("context"), F.col("documents"))), F.lit(0))
-    return sums.crossJoin(F.broadcast(asked)).groupBy("context").agg((below + F.col("context") * above).cast("long").alias("tokens"))
+    return sums.select("length", "documents", "tokens", asked).groupBy("context").agg((below + F.col("context") * above).cast("long").alias("tokens"))
 
 
 def length_quantiles(sums: DataFrame, ranks: list[float]) -> DataFrame:
@@ -103,7 +103,8 @@ def length_quantiles(sums: DataFrame, ranks: list[float]) -> DataFrame:
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    # written once: the suffix sums read the histogram twice, which would encode the corpus twice
+    return suffix_sums(materialise(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-lengths"))
 
 
 def brute_force(lengths: list[int]) -> dict[int, tuple]:
