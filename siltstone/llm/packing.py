@@ -7,6 +7,9 @@ sequence, is solved by column generation: a knapsack dynamic program prices new
 patterns against the duals until the bound is met within ``GAP``. Rounded-down
 patterns and a best-fit packing of the rest say which ranks of which length go
 to which sequences; remainders find their rank from their scan task's counts.
+Patterns that leave more than ``LOOSE`` of a sequence empty, as when half of all
+remainders have one awkward length, are dissolved: their pieces are laid end to
+end and cut where a sequence is full.
 
 Sequences are padded to ``CONTEXT`` except when their length is a power of two.
 
@@ -36,7 +39,9 @@ CONTEXT = 1024
 END_ID = 0
 #: The linear program stops within this share, or one sequence, of its bound, or after so many columns.
 GAP = 0.001
-COLUMNS = 3000
+COLUMNS = 1000
+#: Patterns with a larger empty share are dissolved and their pieces cut to fit.
+LOOSE = 0.015
 #: Up to so many (task, length) counts are broadcast; beyond, they are joined by shuffle.
 BROADCAST_COUNTS = 500_000
 
@@ -139,19 +144,23 @@ def solve_patterns(histogram: dict[int, int], context: int = CONTEXT, gap: float
         if worth <= 1 + 1e-9 or uses.sum() <= max(bound * (1 + gap), bound + 1):
             break
         direction = inverse @ pattern
-        ratios = np.where(direction > 1e-9, uses / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(ratios.argmin())
-        if not np.isfinite(ratios[out]):
+        ratios = np.where(direction > 1e-7, uses / np.where(direction > 1e-7, direction, 1), np.inf)
+        amount = ratios.min()
+        if not np.isfinite(amount):
             break
-        amount = ratios[out]
+        # of the rows that leave at once, the largest pivot keeps the basis well conditioned
+        out = int(np.where(ratios <= amount + 1e-9, direction, -np.inf).argmax())
         uses = np.maximum(uses - amount * direction, 0)
         uses[out] = amount
         basis[:, out] = pattern
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
+        if step % 100 == 99:
+            try:
+                inverse = np.linalg.inv(basis)
+            except np.linalg.LinAlgError:
+                break  # the patterns in use stay valid; rounding never takes more than the demand
             uses = np.maximum(inverse @ demand, 0)
     return [({int(lengths[i]): int(basis[i, p]) for i in np.flatnonzero(basis[:, p] > 0.5)}, float(uses[p])) for p in range(len(lengths)) if uses[p] > 1e-9]
 
@@ -176,20 +185,30 @@ def whole_patterns(histogram: dict[int, int], solved: list[tuple[dict[int, int],
     return out + sorted(rest.items(), key=lambda x: (-x[1], x[0]))
 
 
-def slot_runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
+def slot_runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]], context: int = CONTEXT, loose: float = LOOSE) -> np.ndarray:
     """Rows (length, first rank, first sequence, copies in a sequence, offset in it), by length and rank.
 
     Ranks first rank onwards of a length go to the sequences of one pattern, so
     many to each; the number of rows depends on the patterns, not the corpus.
+    Rows with 0 copies are laid end to end from the offset on, across sequences.
     """
-    rows, ranks, sequence = [], Counter(), 0
+    rows, ranks, sequence, loosely = [], Counter(), 0, Counter()
     for pattern, n in patterns:
+        fill = sum(k * c for k, c in pattern)
+        if fill < context * (1 - loose) and fill & (fill - 1):
+            for length, copies in pattern:
+                loosely[length] += n * copies
+            continue
         offset = 0
         for length, copies in pattern:
             rows.append((length, ranks[length], sequence, copies, offset))
             ranks[length] += n * copies
             offset += copies * length
         sequence += n
+    offset = 0
+    for length, n in sorted(loosely.items()):
+        rows.append((length, ranks[length], sequence, 0, offset))
+        offset += n * length
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
@@ -199,24 +218,37 @@ def pack(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID, gap: flo
     short = pieces.where(F.col("length") < context)
     counts = materialise(short.groupBy("task", "length").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most context - 1 rows
-    runs = slot_runs(whole_patterns(histogram, solve_patterns(histogram, context, gap), context))
+    runs = slot_runs(whole_patterns(histogram, solve_patterns(histogram, context, gap), context), context)
 
     @F.pandas_udf("sequence_id long, offset long")
     def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         sizes, ranks = length.to_numpy(np.int64), rank.to_numpy(np.int64)
         at = np.searchsorted(runs[:, 0] << 40 | runs[:, 1], sizes << 40 | ranks, side="right") - 1
         run = runs[at]
-        nth = ranks - run[:, 1]
-        return pd.DataFrame({"sequence_id": run[:, 2] + nth // run[:, 3], "offset": run[:, 4] + nth % run[:, 3] * sizes})
+        nth, copies, streamed = ranks - run[:, 1], np.maximum(run[:, 3], 1), run[:, 3] == 0
+        place = run[:, 4] + np.where(streamed, nth, nth % copies) * sizes
+        further = np.where(streamed, place // context, nth // copies)
+        return pd.DataFrame({"sequence_id": run[:, 2] + further, "offset": np.where(streamed, place % context, place)})
 
     earlier = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     bases = F.broadcast(bases) if counts.count() <= BROADCAST_COUNTS else bases
     placed = short.join(bases, ["task", "length"]).withColumn("slot", slot("length", F.col("base") + F.col("place")))
+    room = F.least(F.col("length"), context - F.col("slot.offset"))
+
+    def part(skipped, length, sequence, offset):
+        ids = F.substring(F.col("ids"), (4 * skipped + 1).cast("int"), (4 * length).cast("int"))
+        return F.struct((F.col("start") + skipped).alias("start"), length.alias("length"), sequence.alias("sequence_id"), offset.alias("offset"), ids.alias("ids"))
+
+    zero = F.lit(0).cast("long")
+    first = part(zero, room, F.col("slot.sequence_id"), F.col("slot.offset"))
+    second = part(room, F.col("length") - room, F.col("slot.sequence_id") + 1, zero)
+    whole = F.struct("start", "length", F.col("slot.sequence_id").alias("sequence_id"), F.col("slot.offset").alias("offset"), "ids")
+    parts = F.when(room < F.col("length"), F.array(first, second)).otherwise(F.array(whole))
     columns = ["doc_id", "start", "length", "doc_tokens"]
-    mixed = placed.select(*columns, "slot.sequence_id", "slot.offset", "ids")
+    mixed = placed.select("doc_id", "doc_tokens", F.explode(parts).alias("part")).select("doc_id", "part.start", "part.length", "doc_tokens", "part.sequence_id", "part.offset", "part.ids")
     own = ((F.col("task") + 1) * F.lit(1 << 40) + F.col("place")).alias("sequence_id")
-    return pieces.where(F.col("length") == context).select(*columns, own, F.lit(0).cast("long").alias("offset"), "ids").unionByName(mixed)
+    return pieces.where(F.col("length") == context).select(*columns, own, zero.alias("offset"), "ids").unionByName(mixed)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
