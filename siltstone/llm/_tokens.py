@@ -30,116 +30,109 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memory(dict):
+    """Pieces and their ids; a look-up that fails is noted and gives None."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.missed.append(piece)
+
+
 class CachedEncoder:
     """Encodes texts to little-endian uint32 ids, remembering at most ``max_cached`` pieces.
 
-    ``kind`` is ``"word"`` for vocabularies that drop white space and lower
-    case, ``"byte"`` for byte-level ones whose pre-tokens carry one leading space.
-    When the memory is full, further pieces are encoded but not kept.
+    For vocabularies that drop white space and lower case. When the memory is
+    full, further pieces are encoded but not kept.
     """
 
-    def __init__(self, path: str, kind: str, max_cached: int = 700_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, max_cached: int = 1_200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = kind
         self.max_cached = max_cached
-        self.cache: dict[str, bytes] = {"": self._direct(" ") if kind == "byte" else b""}
+        self.memory = _Memory()
+        self.memory[""] = b""
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         assert len(self.mark) == 1
-        self.lead = "" if kind == "word" else " "
-        self.glue = f" {MARK} " if kind == "word" else f"\n{MARK}\n"
-        #: ids around the mark's own that belong to the glue
-        self.pad = 0 if kind == "word" else 1
+        #: the same model for pieces that are one run of lower-case Latin letters, which need no normaliser and no pattern
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.stops = {c: self._direct(c) for c in PUNCTUATION}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces the cache lacks; they enter the cache while there is room."""
-        cache, found = self.cache, {}
+        """Ids of pieces the memory lacks; they enter it while there is room."""
+        memory, found = self.memory, {}
         wanted, ending = set(), []
         for p in pieces:
             if len(p) > 1 and p[-1] in PUNCTUATION and p[-2].isalpha() and p[-2] < "\u0130" and "<|" not in p:
                 ending.append(p)
-                if p[:-1] not in cache:
+                if p[:-1] not in memory:
                     wanted.add(p[:-1])
             else:
                 wanted.add(p)
-        plain = []
+        plain, letters = [], []
         for p in wanted:
-            if MARK in p or "<|" in p or (self.kind == "byte" and (p[0].isspace() or p[-1].isspace())):
-                found[p] = self._direct(self.lead + p)
+            if p.isalpha() and p.islower() and max(p) < "\u0130":
+                letters.append(p)
+            elif MARK in p or "<|" in p:
+                found[p] = self._direct(p)
             else:
                 plain.append(p)
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(self.glue.join(self.lead + p for p in part), add_special_tokens=False).ids, dtype="<u4")
+        parts = [(self.tokenizer, plain[k : k + 2000]) for k in range(0, len(plain), 2000)]
+        parts += [(self.letters, letters[k : k + 2000]) for k in range(0, len(letters), 2000)]
+        for library, part in parts:
+            ids = np.array(library.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
             at = np.flatnonzero(ids == self.mark[0])
             if len(at) != len(part) - 1:  # never seen; kept so that a surprise costs time, not results
-                found.update((p, self._direct(self.lead + p)) for p in part)
+                found.update((p, self._direct(p)) for p in part)
                 continue
-            starts = np.concatenate(([0], at + 1 + self.pad)) * 4
-            ends = np.concatenate((at - self.pad, [len(ids)])) * 4
             raw = ids.tobytes()
-            for p, s, e in zip(part, starts.tolist(), ends.tolist(), strict=True):
+            starts, ends = [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)]
+            for p, s, e in zip(part, starts, ends, strict=True):
                 found[p] = raw[s:e]
         for p in ending:
-            found[p] = (found.get(p[:-1]) or cache[p[:-1]]) + self._stop(p[-1])
-        room = self.max_cached - len(cache)
+            found[p] = (found.get(p[:-1]) or memory[p[:-1]]) + self.stops[p[-1]]
+        room = self.max_cached - len(memory)
         if room >= len(found):
-            cache.update(found)
+            memory.update(found)
         elif room > 0:
-            for p in list(found)[:room]:
-                cache[p] = found[p]
+            memory.update((p, found[p]) for p in list(found)[:room])
         return found
 
-    @lru_cache(maxsize=16)  # noqa: B019  one encoder lives as long as its worker
-    def _stop(self, mark: str) -> bytes:
-        return self._direct(mark)
-
-    def _cut(self, text: str) -> list[str] | None:
-        if self.kind == "word":
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian uint32 bytes."""
+        memory, rows = self.memory, []
+        look_up = memory.__getitem__
+        for text in texts:
             if "Σ" not in text and "İ" not in text and "<|" not in text:
                 text = text.lower()
             for c in "\n\t\r\x0b\x0c":
                 if c in text:
                     text = text.replace(c, " ")
-            return text.split(" ")
-        if "  " in text or " \n" in text or any(" " + c in text for c in OTHER_SPACE):
-            return None
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32 bytes."""
-        cuts = [self._cut(t) for t in texts]
-        byte, cache = self.kind == "byte", self.cache
-        pieces: set[str] = set()
-        for c in cuts:
-            if c:
-                pieces.update(c[1:] if byte else c)
-        missing = pieces.difference(cache)
-        if missing:
-            found = self._learn(missing)
-            if len(cache) >= self.max_cached and any(p not in cache for p in missing):
-                held = {p: cache[p] for p in pieces if p in cache}
-                held.update(found)
-                cache = held
-        get, out = cache.__getitem__, []
-        for t, c in zip(texts, cuts, strict=True):
-            if c is None:
-                out.append(self._direct(t))
-            elif byte:
-                out.append((self._direct(c[0]) if c[0] else b"") + b"".join(map(get, c[1:])))
-            else:
-                out.append(b"".join(map(get, c)))
-        return out
+            pieces = text.split(" ")
+            before = len(memory.missed)
+            rows.append((list(map(look_up, pieces)), pieces, len(memory.missed) - before))
+        if memory.missed:
+            found = self._learn(set(memory.missed))
+            memory.missed.clear()
+            for ids, pieces, holes in rows:
+                at = -1
+                for _ in range(holes):
+                    at = ids.index(None, at + 1)
+                    ids[at] = found[pieces[at]]
+        return [b"".join(ids) for ids, _, _ in rows]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, kind: str) -> CachedEncoder:
+def encoder(path: str) -> CachedEncoder:
     """The worker's encoder for a vocabulary; a reused worker keeps what it has learned."""
-    return CachedEncoder(path, kind)
+    return CachedEncoder(path)
 
 
 class ByteEncoder:

@@ -49,7 +49,7 @@ BROADCAST_SHARDS = 500_000
 MAGIC = b"RPS1"
 
 
-def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, pairs: int) -> list[int]:
+def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, pairs: int, bits: int) -> list[int]:
     """The most frequent pairs such that no id is the left of one and the right of another."""
     frequent = np.flatnonzero(counts >= least)
     if len(frequent) > 4 * pairs:
@@ -57,7 +57,7 @@ def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, pairs: int) -
     order = frequent[np.lexsort((keys[frequent], -counts[frequent]))]
     lefts, rights, chosen = set(), set(), []
     for key in keys[order].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+        a, b = key >> bits, key & ((1 << bits) - 1)
         if a in rights or b in lefts or a == b:
             continue
         lefts.add(a)
@@ -69,8 +69,14 @@ def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, pairs: int) -
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols per document, rules): the grammar of documents' ids laid end to end."""
-    symbols = ids.astype(np.uint64)
+    """(symbols, symbols per document, rules): the grammar of documents' ids laid end to end.
+
+    A pair is one number; two ids fit 32 bits when all ids fit 16, which
+    halves what a round sorts.
+    """
+    bits, kind = (16, np.uint32) if base + rounds * pairs <= 1 << 16 else (32, np.uint64)
+    shift, low = kind(bits), kind((1 << bits) - 1)
+    symbols = ids.astype(kind)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
@@ -78,30 +84,30 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUN
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = symbols[:-1] << np.uint64(32) | symbols[1:]
+        keys = symbols[:-1] << shift | symbols[1:]
         inside = np.sort(keys[~last[:-1]])
         if not len(inside):
             break
         edges = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1])))
-        chosen = choose_pairs(inside[edges], np.diff(np.concatenate((edges, [len(inside)]))), least, pairs)
+        chosen = choose_pairs(inside[edges], np.diff(np.concatenate((edges, [len(inside)]))), least, pairs, bits)
         if not chosen:
             break
-        known = np.array(chosen, np.uint64)
+        known = np.array(chosen, kind)
         first, second = np.zeros(fresh, bool), np.zeros(fresh, bool)
-        first[(known >> np.uint64(32)).astype(np.int64)] = True
-        second[(known & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        maybe = np.flatnonzero(first[symbols[:-1].astype(np.int64)] & second[symbols[1:].astype(np.int64)] & ~last[:-1])
+        first[known >> shift] = True
+        second[known & low] = True
+        maybe = np.flatnonzero(first[symbols[:-1]] & second[symbols[1:]] & ~last[:-1])
         order = np.argsort(known)
         ordered = known[order]
         at = np.minimum(np.searchsorted(ordered, keys[maybe]), len(ordered) - 1)
         hit = ordered[at] == keys[maybe]
         places = maybe[hit]
-        symbols[places] = (order[at[hit]] + fresh).astype(np.uint64)
+        symbols[places] = (order[at[hit]] + fresh).astype(kind)
         last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack((known >> np.uint64(32), known & np.uint64(0xFFFFFFFF)), axis=1))
+        rules.append(np.stack((known >> shift, known & low), axis=1))
         fresh += len(known)
     ends = np.flatnonzero(last) + 1
     grammar = np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4")
@@ -185,7 +191,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
     spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, "word")
+        tokens = encoder(path)
         base = tokens.tokenizer.get_vocab_size()
         task, shard, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
