@@ -39,7 +39,7 @@ CONTEXT = 1024
 END_ID = 0
 #: The linear program stops within this share, or one sequence, of its bound, or after so many columns.
 GAP = 0.001
-COLUMNS = 1000
+COLUMNS = 2000
 #: Patterns with a larger empty share are dissolved and their pieces cut to fit.
 LOOSE = 0.015
 #: Up to so many (task, length) counts are broadcast; beyond, they are joined by shuffle.
