@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialise, scratch, slices, text_of
+from ._shared import materialise, scratch, slices, spread, text_of
 
 #: Entries a bucket may hold before it is split, and the deepest directory (2 ** 14 slots at most).
 CAPACITY = 4096
@@ -119,7 +119,7 @@ def _entries(docs: DataFrame, carry: bool) -> DataFrame:
             number += len(ids)
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "entry", "hash", "id", "size")] + [T.StructField("text", T.BinaryType()), T.StructField("document", source.schema["document"].dataType)])
-    return source.mapInArrow(combine, schema)
+    return spread(source).mapInArrow(combine, schema)
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, carry: bool = False) -> DataFrame:

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import materialise, slices, text_of
+from ._shared import materialise, slices, spread, text_of
 from ._tokens import byte_encoder, vocabulary_path
 
 CONTEXT = 1024
 END_ID = 0
 #: The linear program stops within this share, or one sequence, of its bound, or after so many columns.
-GAP = 0.001
-COLUMNS = 2000
+GAP = 0.002
+COLUMNS = 400
 #: Patterns with a larger empty share are dissolved and their pieces cut to fit.
 LOOSE = 0.015
 #: Up to so many (task, length) counts are broadcast; beyond, they are joined by shuffle.
@@ -76,30 +76,60 @@ def cut_documents(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID,
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "ids", "place", "task"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select(docs["doc_id"], text_of(docs["text"]).alias("text"))
+    source = spread(docs.select(docs["doc_id"], text_of(docs["text"]).alias("text")))
     return materialise(source.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long, task long"), "packing-pieces", "zstd")
 
 
+def _fill(open_: np.ndarray, room: int) -> tuple[int, ...]:
+    """One, two or three open lengths that add up to ``room``, or to the most below it that such a sum reaches."""
+
+    def two(target: int) -> tuple[int, ...]:
+        larger = np.flatnonzero(open_[(target + 1) // 2 : target] & open_[target // 2 : 0 : -1])
+        if not len(larger):
+            return ()
+        a = (target + 1) // 2 + int(larger[-1])
+        return (a, target - a)
+
+    for target in range(room, 0, -1):
+        if open_[target]:
+            return (target,)
+        if pair := two(target):
+            return pair
+        for a in np.flatnonzero(open_[: target - 1])[:-41:-1].tolist():
+            if pair := two(target - a):
+                return (a, *pair)
+    return ()
+
+
 def _first_patterns(lengths: np.ndarray, demand: np.ndarray, context: int) -> np.ndarray:
-    """A square basis with a nonnegative solution: each length with what fits beside it, longest first."""
-    m = len(lengths)
-    basis, left = np.zeros((m, m)), demand.astype(float).copy()
-    for i in range(m - 1, -1, -1):
-        copies = context // lengths[i]
-        uses = left[i] / copies
-        basis[i, i], room = copies, context - copies * lengths[i]
-        left[i] = 0
-        j = i - 1
-        while room and j >= 0 and uses > 0:
-            j = min(j, int(np.searchsorted(lengths, room, side="right")) - 1)
-            if j < 0:
-                break
-            fit = min(room // lengths[j], int(left[j] / uses + 1e-12))
-            if fit:
-                basis[j, i] = fit
-                left[j] -= fit * uses
-                room -= fit * lengths[j]
-            j -= 1
+    """A square basis with a nonnegative solution, from exact fills.
+
+    Again and again the longest length left is joined by lengths that fill its
+    sequence, and the pattern is used until one of its lengths is used up. The
+    pattern is that length's column; in the order of the steps the basis is
+    triangular. Lengths used up in the same step get a column of their own,
+    used 0 times.
+    """
+    row = {int(k): i for i, k in enumerate(lengths)}
+    left = dict(zip(lengths.tolist(), demand.tolist(), strict=True))
+    open_ = np.zeros(context + 1, bool)
+    open_[lengths] = True
+    basis = np.zeros((len(lengths), len(lengths)))
+    while open_.any():
+        longest = int(np.flatnonzero(open_)[-1])
+        copies = max(1, context // longest - 2)  # short lengths repeat until three more can fill the rest
+        pattern = Counter([longest] * copies + [*_fill(open_, context - copies * longest)])
+        uses = min(left[k] / c for k, c in pattern.items())
+        ended = []
+        for k, c in pattern.items():
+            left[k] -= uses * c
+            if left[k] <= 1e-9:
+                ended.append(k)
+        for k, c in pattern.items():
+            basis[row[k], row[ended[0]]] = c
+        for k in ended[1:]:
+            basis[row[k], row[k]] = context // k
+        open_[ended] = False
     return basis
 
 

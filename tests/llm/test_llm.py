@@ -350,7 +350,7 @@ def test_patterns_meet_the_demand(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 200, 900)
     histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
-    solved = packing.solve_patterns(histogram, 256, columns=4000)
+    solved = packing.solve_patterns(histogram, 256)
     whole = packing.whole_patterns(histogram, solved, 256)
     got = Counter()
     for pattern, n in whole:
