@@ -91,7 +91,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(first)
     whole = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        whole += words[k : len(words) - WORDS + 1 + k] * _PLACE[k]
+        whole += words[k : k + len(whole)] * _PLACE[k]
     whole = mixed(whole)
     owner = np.repeat(np.arange(len(texts)), n)
     inside = owner[: len(whole)] == owner[WORDS - 1 :] if len(whole) else np.zeros(0, bool)

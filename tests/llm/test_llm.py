@@ -155,6 +155,8 @@ def test_shingles_equal_a_loop():
     sets = [hashes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert [len(s) for s in sets] == [2, 0, 1, 2, 0, 7]
     assert sets[0] == sets[3] and sets[0][0] == sets[5][-1]
+    for few in ([b""], [b"one two"], [b"", b"a", b"b c"]):
+        assert len(near_dup.shingles(few)[0]) == sum(bool(x) for x in few)
 
 
 # 2 -------------------------------------------------------------------------------------------------
