@@ -81,12 +81,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | Callable[[pa.RecordB
         yield batch.slice(start, n - start)
 
 
-def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    """A record batch from row tuples."""
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` under a name that reads well at the call."""
     return df.mapInArrow(function, schema)

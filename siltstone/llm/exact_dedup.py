@@ -51,9 +51,9 @@ def normalise(data: bytes) -> bytes:
     return (b" " if data[0] in SPACES else b"") + b" ".join(words) + (b" " if data[-1] in SPACES else b"")
 
 
-def hash64(data: bytes) -> int:
-    """The index's key: 63 bits, so that a signed column keeps the order of the bits."""
-    return int.from_bytes(hashlib.sha256(data).digest()[:8], "big") >> 1
+def hash64(data: bytes, bits: int = 63) -> int:
+    """The index's key: 63 bits, so that a signed column keeps the order of the bits; with fewer ``bits`` the rest are 0."""
+    return int.from_bytes(hashlib.sha256(data).digest()[:8], "big") >> (64 - bits) << (63 - bits)
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tuple[int, int]]:
@@ -87,7 +87,7 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[tup
     return [(order[b], buckets[b][0]) for b in slots]
 
 
-def _entries(docs: DataFrame, carry: bool) -> DataFrame:
+def _entries(docs: DataFrame, carry: bool, hash_bits: int) -> DataFrame:
     """Rows (row, entry, hash, id, size, text, document) merged within each scan task.
 
     The row of an entry that stays carries the normalised text, or with
@@ -109,7 +109,7 @@ def _entries(docs: DataFrame, carry: bool) -> DataFrame:
                 best = min(rows, key=lambda i: (INF if ids[i] is None else ids[i], i)) if len(rows) > 1 else rows[0]
                 for i in rows:
                     entry[i] = number + best
-                size[best], hashes[best] = len(rows), hash64(text)
+                size[best], hashes[best] = len(rows), hash64(text, hash_bits)
                 texts[best] = None if carry else text
             document = part.column(2)
             if carry:
@@ -122,10 +122,10 @@ def _entries(docs: DataFrame, carry: bool) -> DataFrame:
     return spread(source).mapInArrow(combine, schema)
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, carry: bool = False) -> DataFrame:
+def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, carry: bool = False, hash_bits: int = 63) -> DataFrame:
     """The index on shared files: entries with the bucket and depth the directory gives them."""
     spark: SparkSession = docs.sparkSession
-    entries = materialise(_entries(docs, carry), "dedup-entries")
+    entries = materialise(_entries(docs, carry, hash_bits), "dedup-entries")
     prefix = F.shiftright("hash", 63 - max_depth).cast("int")
     counted = entries.where("size > 0").groupBy(prefix.alias("prefix")).count().collect()  # at most 2 ** max_depth rows
     slots = directory({r["prefix"]: r["count"] for r in counted}, capacity, max_depth)
@@ -201,9 +201,9 @@ def _owners(index: DataFrame, carry: bool) -> DataFrame:
     return dealt.mapInArrow(own, T.StructType(fields))
 
 
-def duplicate_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(docs, capacity, max_depth)
+def duplicate_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 63) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Fewer ``hash_bits`` only lengthen chains."""
+    index = build_index(docs, capacity, max_depth, hash_bits=hash_bits)
     owners = _owners(index, carry=False)
     rows = index.select("row", "entry", F.col("id").alias("doc_id"))
     answers = rows.join(owners, "entry")
