@@ -66,7 +66,7 @@ def preservation(before: DataFrame, after: DataFrame, key: str = "content_id") -
 
 
 def merged_universe(maps: DataFrame) -> DataFrame:
-    """Star-maps (map_id, path, content_id, ...) united: file_id from 1 in order of first registration; a path keeps its id.
+    """Chunk maps (map_id, path, content_id, ...) united: file_id from 1 in order of first registration; a path keeps its id.
 
     Registration order is (map_id, path).
     """

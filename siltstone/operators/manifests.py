@@ -76,7 +76,7 @@ def strict_violations(plan: DataFrame) -> DataFrame:
 
 
 def map_violations(spans: DataFrame, chunk_counts: DataFrame, key: str = "file_id") -> DataFrame:
-    """Windows that break a star-map's rules: ids not in sequence, or a start beyond the file's chunks."""
+    """Windows that break a chunk map's rules: ids not in sequence, or a start beyond the file's chunks."""
     place = F.row_number().over(W.partitionBy(key).orderBy("window_id")) - 1
     rows = spans.withColumn("__place", place).join(chunk_counts, key, "left")
     bad = F.when(F.col("window_id") != F.col("__place"), "sequence").when(F.col("first_chunk") >= F.coalesce("n", F.lit(0)), "range")
