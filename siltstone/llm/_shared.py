@@ -33,6 +33,13 @@ def shared_root(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes, unless the session has a bound of its own: workers hold a few at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(most))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/siltstone/{label}-{uuid.uuid4().hex}"
@@ -41,6 +48,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, label)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialise, scratch, slices, spread, text_of
+from ._shared import materialise, scratch, slices, spread
 
 #: Entries a bucket may hold before it is split, and the deepest directory (2 ** 14 slots at most).
 CAPACITY = 4096
 MAX_DEPTH = 14
 #: Bytes of text a scan task holds while it merges its own copies.
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 8 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 INF = 1 << 62
 
@@ -93,16 +93,16 @@ def _entries(docs: DataFrame, carry: bool, hash_bits: int) -> DataFrame:
     The row of an entry that stays carries the normalised text, or with
     ``carry`` its whole document; the others only their row numbers.
     """
-    wanted = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if carry else F.lit(None).cast("struct<none:int>")
-    source = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs["text"]).alias("text"), wanted.alias("document"))
+    wanted = F.struct(*[docs[f"`{c}`"] for c in docs.columns]) if carry else F.struct(docs["text"])
+    source = docs.select(docs["doc_id"].cast("long").alias("id"), wanted.alias("document"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for part in slices(batches, 1, COMBINE_BYTES):
-            ids = part.column(0).to_pylist()
+        for part in slices(batches, lambda b: b.column(1).field("text"), COMBINE_BYTES):
+            ids, document = part.column(0).to_pylist(), part.column(1)
             groups: dict[bytes, list[int]] = {}
-            for i, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
-                groups.setdefault(normalise(text), []).append(i)
+            for i, text in enumerate(document.field("text").cast(pa.binary()).to_pylist()):
+                groups.setdefault(normalise(text or b""), []).append(i)
             size: list[int] = [0] * len(ids)
             entry, texts, hashes = list(size), [None] * len(ids), [None] * len(ids)
             for text, rows in groups.items():
@@ -111,9 +111,7 @@ def _entries(docs: DataFrame, carry: bool, hash_bits: int) -> DataFrame:
                     entry[i] = number + best
                 size[best], hashes[best] = len(rows), hash64(text, hash_bits)
                 texts[best] = None if carry else text
-            document = part.column(2)
-            if carry:
-                document = document.take(pa.array([i if n else None for i, n in enumerate(size)], pa.int64()))
+            document = document.take(pa.array([i if n and carry else None for i, n in enumerate(size)], pa.int64()))
             columns = [pa.array(range(number, number + len(ids)), pa.int64()), pa.array(entry, pa.int64()), pa.array(hashes, pa.int64()), part.column(0), pa.array(size, pa.int64()), pa.array(texts, pa.binary()), document]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "entry", "hash", "id", "size", "text", "document"])
             number += len(ids)
