@@ -241,7 +241,8 @@ def _verified(texts: DataFrame, threshold: float) -> DataFrame:
                 if key != at:
                     close()
                     at = key
-                group.append(row)
+                if not group or group[-1][0] != row[0]:  # equal rows find one entry several times; sorted, they are neighbours
+                    group.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["uid", "links", "root"])
                 out.clear()

@@ -149,6 +149,13 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert ids[1] == 1 and ids[14] == 2 and ids[None] == 1
 
 
+def test_repeated_rows_count_once_as_texts_and_each_as_copies(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (1, base), (2, base + " more"), (2, base + " more"), (None, base + " less"), (3, "quite another text here")]
+    got = Counter(map(tuple, near_dup.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == {(1, 1, 5, 4): 2, (2, 1, 5, 4): 2, (None, 1, 5, 4): 1, (3, 3, 1, 0): 1}
+
+
 def test_shingles_equal_a_loop():
     made = [b"a b c d e f", b"", b"one two", b"a b  c\nd e f", b" \t ", b"f e d c b a a b c d e"]
     hashes, bounds = near_dup.shingles(made)
