@@ -55,7 +55,10 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if its scan has fewer parts than there are, as with one small file; else as it is."""
+    """A scan dealt to all cores if it has fewer parts than there are, as with one small file; else as it is.
+
+    For scans only: of other plans, counting the parts would run the shuffles.
+    """
     parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(min(cores, 16 * max(1, parts))) if parts < cores else df
 
@@ -65,8 +68,9 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of the table ``documents``, a scan dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int | Callable[[pa.RecordBatch], pa.Array], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@
    built: a bucket with more entries than its capacity is split on the next
    bit, and the directory doubles when a bucket as deep as the directory
    splits. A bucket of one hash value cannot be split; it becomes a chain.
-3. Owner tasks take ranges of buckets. An owner streams its entries in hash
-   order; entries of equal hash are chained and told apart by their bytes.
+3. Owner tasks take whole buckets, which are ranges of keys. An owner streams its
+   entries in hash order; entries of equal hash are chained and told apart by their bytes.
    Only the distinct texts of one hash value are in memory.
 4. Owners' answers go back to the rows by the entry they belong to.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialise, scratch, slices, spread
+from ._shared import documents, materialise, scratch, slices
 
 #: Entries a bucket may hold before it is split, and the deepest directory (2 ** 14 slots at most).
 CAPACITY = 4096
@@ -117,7 +117,7 @@ def _entries(docs: DataFrame, carry: bool, hash_bits: int) -> DataFrame:
             number += len(ids)
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "entry", "hash", "id", "size")] + [T.StructField("text", T.BinaryType()), T.StructField("document", source.schema["document"].dataType)])
-    return spread(source).mapInArrow(combine, schema)
+    return source.mapInArrow(combine, schema)
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, carry: bool = False, hash_bits: int = 63) -> DataFrame:
@@ -215,7 +215,7 @@ def deduplicated(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return duplicate_groups(documents(spark, sf_dir))
 
 
 SQL = r"""

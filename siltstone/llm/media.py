@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, materialise, slices, spread, text_of
+from ._shared import documents, map_arrow, materialise, slices, text_of
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
@@ -162,7 +162,7 @@ def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pictures], names=[key, "n_bytes", "media"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return materialise(map_arrow(spread(docs.select(key, text_of(text).alias("text"))), encode, f"`{key}` {kind}, n_bytes long, media binary"), "media")
+    return materialise(map_arrow(docs.select(key, text_of(text).alias("text")), encode, f"`{key}` {kind}, n_bytes long, media binary"), "media")
 
 
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -182,7 +182,7 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    features = media_features(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    features = media_features(media_column(documents(spark, sf_dir)))
     return features.select(
         "doc_id",
         "n_bytes",

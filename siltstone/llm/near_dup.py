@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import materialise, slices, spread, text_of
+from ._shared import documents, materialise, slices, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -143,7 +143,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
             number += n
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("text_hash"), F.lower(text_of(docs[text])).alias("text"))
-    return materialise(spread(source).mapInArrow(sketch, "uid long, doc_id long, text_hash long, set_a long, set_b long, bands array<long>"), "near-sketches")
+    return materialise(source.mapInArrow(sketch, "uid long, doc_id long, text_hash long, set_a long, set_b long, bands array<long>"), "near-sketches")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,4 +303,4 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_classes(documents(spark, sf_dir))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import materialise, slices, spread, text_of
+from ._shared import documents, materialise, slices, text_of
 from ._tokens import byte_encoder, vocabulary_path
 
 CONTEXT = 1024
@@ -76,7 +76,7 @@ def cut_documents(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID,
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "doc_tokens", "ids", "place", "task"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = spread(docs.select(docs["doc_id"], text_of(docs["text"]).alias("text")))
+    source = docs.select(docs["doc_id"], text_of(docs["text"]).alias("text"))
     return materialise(source.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long, task long"), "packing-pieces", "zstd")
 
 
@@ -282,5 +282,5 @@ def pack(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID, gap: flo
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    packed = pack(documents(spark, sf_dir))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import map_arrow, materialise, slices, spread, text_of
+from ._shared import documents, map_arrow, materialise, slices, text_of
 
 FEATURES = 256
 SEED = 20240607
@@ -131,7 +131,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], names=[key, "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_arrow(spread(docs.select(key, text_of(text).alias("text"))), measure, f"`{key}` {kind}, x array<double>")
+    return map_arrow(docs.select(key, text_of(text).alias("text")), measure, f"`{key}` {kind}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -239,11 +239,11 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             good = model.score(x) >= threshold
             yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(good))], names=["document"])
 
-    return spread(whole).mapInArrow(keep, T.StructType([whole.schema["document"]])).select("document.*")
+    return whole.mapInArrow(keep, T.StructType([whole.schema["document"]])).select("document.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     measured = materialise(document_statistics(docs), "quality-statistics")
     scored = score(measured, fit(measured, labels))
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, slices, spread, text_of
+from ._shared import documents, map_arrow, slices, text_of
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 #: Every assignment holds one of these, lower-cased.
@@ -210,12 +210,11 @@ def scan(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text
     spans_type = pa.list_(pa.struct([("kind", pa.string()), *[(n, pa.int64()) for n in ("start", "end", "value_start", "value_end")]]))
     kind = docs.schema[key].dataType.simpleString()
     fields = "kind:string,start:bigint,end:bigint,value_start:bigint,value_end:bigint"
-    return map_arrow(spread(docs.select(key, text_of(text).alias("text"))), find, f"`{key}` {kind}, spans array<struct<{fields}>>")
+    return map_arrow(docs.select(key, text_of(text).alias("text")), find, f"`{key}` {kind}, spans array<struct<{fields}>>")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan(docs, train(docs))
+    found = scan(documents(spark, sf_dir), train(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

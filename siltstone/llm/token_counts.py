@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, materialise, slices, spread, text_of
+from ._shared import documents, map_arrow, materialise, slices, text_of
 from ._tokens import byte_encoder, vocabulary_path
 
 BLOCK = 1024
@@ -40,7 +40,7 @@ def length_histogram(docs: DataFrame, json_path: str | None = None, ranks_path:
         if seen:
             yield pa.RecordBatch.from_pydict({"length": pa.array(seen.keys(), pa.int64()), "documents": pa.array(seen.values(), pa.int64())})
 
-    counted = map_arrow(spread(docs.select(text_of(text).alias("text"))), count, "length long, documents long")
+    counted = map_arrow(docs.select(text_of(text).alias("text")), count, "length long, documents long")
     return counted.groupBy("length").agg(F.sum("documents").alias("documents"))
 
 
@@ -104,7 +104,7 @@ def length_quantiles(sums: DataFrame, ranks: list[float]) -> DataFrame:
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     # written once: the suffix sums read the histogram twice, which would encode the corpus twice
-    return suffix_sums(materialise(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-lengths"))
+    return suffix_sums(materialise(length_histogram(documents(spark, sf_dir)), "token-lengths"))
 
 
 def brute_force(lengths: list[int]) -> dict[int, tuple]:
