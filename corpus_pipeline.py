@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import exact_dedup, mixing, near_dup, packing, quality
-from siltstone.llm._shared import materialise
+from siltstone.llm._shared import materialise, spread
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on ``labels``, does not reject."""
-    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.good_documents(spread(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
