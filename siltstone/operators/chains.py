@@ -10,12 +10,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hmac_sha256
+from .folds import walked
 
 ZERO = "00" * 32
 HASH_FIELD = r'"integrity_hash":"([0-9a-f]*)",?'
@@ -34,17 +34,14 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def sign(events: DataFrame, key: bytes) -> DataFrame:
-    """Events (chain, sequence, canonical) with integrity_hash; sequential in each chain, so a function over its sorted rows."""
+    """Events (chain, sequence, canonical) with integrity_hash; sequential in each chain, so a walk over its sorted rows."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sequence")
-        prior, hashes = bytes(32), []
-        for text in rows["canonical"]:
-            prior = hmac.new(key, prior + text.encode(), hashlib.sha256).digest()
-            hashes.append(prior.hex())
-        return rows.assign(integrity_hash=hashes)
+    def step(prior: bytes, r) -> tuple[bytes, list[tuple]]:
+        own = hmac.new(key, prior + r.canonical.encode(), hashlib.sha256).digest()
+        return own, [(r.chain, r.sequence, r.canonical, own.hex())]
 
-    return events.select("chain", "sequence", "canonical").groupBy("chain").applyInPandas(run, "chain string, sequence long, canonical string, integrity_hash string")
+    wanted = events.select("chain", "sequence", "canonical")
+    return walked(wanted, "chain", ("sequence",), lambda: bytes(32), step, "chain string, sequence long, canonical string, integrity_hash string")
 
 
 def link_tests(lines: DataFrame, key: bytes) -> DataFrame:
@@ -66,24 +63,17 @@ def all_failures(lines: DataFrame, key: bytes, skip_hashless: bool = False) -> D
     """Every failure by the sequential rule: after a hash mismatch the last good hash stays; gaps in sequence are
     noted and the walk goes on. With ``skip_hashless`` lines without a hash are passed over and sequences not tested."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, prior, place = [], bytes(32), -1
-        for r in rows.sort_values("line_no").itertuples():
-            if not r.integrity_hash:
-                if not skip_hashless:
-                    out.append((r.chain, r.line_no, "missing_hash"))
-                continue
-            if not skip_hashless and r.sequence != place + 1:
-                out.append((r.chain, r.line_no, "sequence"))
-            place = r.sequence
-            want = hmac.new(key, prior + r.canonical.encode(), hashlib.sha256).digest()
-            if want.hex() != r.integrity_hash:
-                out.append((r.chain, r.line_no, "hash"))
-            else:
-                prior = want
-        return pd.DataFrame(out, columns=["chain", "line_no", "failure"])
-
-    return parsed(lines).groupBy("chain").applyInPandas(run, "chain string, line_no long, failure string")
+    def step(state: tuple[bytes, int], r) -> tuple[tuple[bytes, int], list[tuple]]:
+        prior, place = state
+        if not r.integrity_hash:
+            return state, [] if skip_hashless else [(r.chain, r.line_no, "missing_hash")]
+        out = [(r.chain, r.line_no, "sequence")] if not skip_hashless and r.sequence != place + 1 else []
+        want = hmac.new(key, prior + r.canonical.encode(), hashlib.sha256).digest()
+        if want.hex() != r.integrity_hash:
+            return (prior, r.sequence), [*out, (r.chain, r.line_no, "hash")]
+        return (want, r.sequence), out
+
+    return walked(parsed(lines), "chain", ("line_no",), lambda: (bytes(32), -1), step, "chain string, line_no long, failure string")
 
 
 def report(lines: DataFrame, failures: DataFrame) -> DataFrame:

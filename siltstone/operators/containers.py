@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import walked
+
 HEADER = 16
 
 
@@ -15,16 +16,14 @@ def pack_containers(chunks: DataFrame, max_size: int) -> DataFrame:
     next container; one that fits none opens it and is an error there.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        number, at, out = 0, HEADER, []
-        for r in rows.sort_values("ordinal").itertuples():
-            if at + r.length > max_size:
-                number, at = number + 1, HEADER
-            if at + r.length > max_size:
-                out.append((r.pool, r.ordinal, f"container_{number:06d}", -1, r.length, "too large"))
-                continue
-            out.append((r.pool, r.ordinal, f"container_{number:06d}", at, r.length, None))
-            at += r.length
-        return pd.DataFrame(out, columns=["pool", "ordinal", "container_id", "offset", "length", "error"])
-
-    return chunks.select("pool", "ordinal", "length").groupBy("pool").applyInPandas(fold, "pool string, ordinal long, container_id string, offset long, length long, error string")
+    def step(state: tuple[int, int], r) -> tuple[tuple[int, int], list[tuple]]:
+        number, at = state
+        if at + r.length > max_size:
+            number, at = number + 1, HEADER
+        name = f"container_{number:06d}"
+        if at + r.length > max_size:
+            return (number, at), [(r.pool, r.ordinal, name, -1, r.length, "too large")]
+        return (number, at + r.length), [(r.pool, r.ordinal, name, at, r.length, None)]
+
+    wanted = chunks.select("pool", "ordinal", "length")
+    return walked(wanted, "pool", ("ordinal",), lambda: (0, HEADER), step, "pool string, ordinal long, container_id string, offset long, length long, error string")

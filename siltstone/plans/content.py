@@ -39,14 +39,14 @@ def _link_overlap(spark, d):
     path = F.col("doc_id").cast("string")
     make = lambda text, key: chunking.fixed_chunks(docs.select("doc_id", path.alias("path"), F.encode(text, "UTF-8").alias("content")), 256, "path")
     a = make(F.col("text"), 0)
-    one = make(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.substring(F.col("text"), 1, 700)), 1).withColumn("ref_priority", F.lit(1))
+    one = make(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.substring("text", 1, 700), F.lit("#"), F.substring("text", F.lit(702), F.length("text")))), 1).withColumn("ref_priority", F.lit(1))
     two = make(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.lit("none")), 2).withColumn("ref_priority", F.lit(2))
     return sync.link_dest_overlap(a, one.unionByName(two)).withColumn("overlap", F.round("overlap", 9))
 
 
 LINK_SQL = """
 WITH t AS (SELECT doc_id::VARCHAR AS path, 0 AS side, text FROM documents
-  UNION ALL SELECT doc_id::VARCHAR, 1, CASE WHEN doc_id % 3 = 0 THEN text ELSE text[1:700] END FROM documents
+  UNION ALL SELECT doc_id::VARCHAR, 1, CASE WHEN doc_id % 3 = 0 THEN text ELSE text[1:700] || '#' || text[702:] END FROM documents
   UNION ALL SELECT doc_id::VARCHAR, 2, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'none' END FROM documents),
 c AS (SELECT path, side, sha256(encode(text)[off + 1:off + 256]) AS cid FROM (SELECT path, side, text, unnest(range(0, octet_length(encode(text)), 256)) AS off FROM t)),
 n AS (SELECT path, side, count(*) AS n FROM c GROUP BY ALL),
@@ -150,7 +150,7 @@ def _resume(spark, d):
 
 def _ranges(spark, d):
     f = files(spark, d)
-    c = chunking.fixed_chunks(f, 512).where("chunk_index % 2 = 0")
+    c = chunking.fixed_chunks(f, 512)
     digests = c.select("file_id", F.col("chunk_index").cast("int").alias("chunk"), F.when(F.col("file_id") % 10 == 0, "bad").otherwise(F.col("content_id")).alias("digest"))
     return manifests.validate_ranges(f.select("file_id", "content"), digests.unionByName(digests.select("file_id", (F.col("chunk") + 100_000).alias("chunk"), "digest")), 512)
 
@@ -162,7 +162,7 @@ def _diff(spark, d):
 
 
 def _verify(spark, d):
-    bad = manifests.violations(_violations(spark, d)).where("id % 29 != 0")
+    bad = manifests.violations(_violations(spark, d)).withColumn("id", F.when(F.col("id") % 29 == 0, -F.col("id")).otherwise(F.col("id")))  # some belong to other files
     return manifests.verify_summary(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id")), bad, "id")
 
 
@@ -186,7 +186,7 @@ def _journal(spark, d):
 
 
 def _replay(spark, d):
-    existing = _journal(spark, d).select("path").distinct().where("path < 'p5'")
+    existing = _journal(spark, d).select("path").distinct().withColumn("path", F.when(F.col("path") < "p5", F.col("path")).otherwise(F.concat(F.lit("old/"), "path")))
     return manifests.replay_counts(_journal(spark, d), existing)
 
 
@@ -202,6 +202,12 @@ def _pairs(spark, d):
     return docs.select(F.col("doc_id").alias("pair_id"), F.encode(changed, "UTF-8").alias("source"), F.encode(text, "UTF-8").alias("dest"))
 
 
+def _lookup(spark, d):
+    p = _pairs(spark, d)
+    probes = delta.signatures(p.select(F.col("pair_id").alias("file_id"), F.col("source").alias("content")), 128).select("file_id", "offset", "weak", "strong")
+    return delta.lookup(probes, delta.signatures(files(spark, d), 128)).select("file_id", "offset", "strong", "match_offset")
+
+
 def _delta_stats(spark, d):
     p = _pairs(spark, d)
     return delta.delta_stats(p, delta.deltas(p, 64), 64)
@@ -214,7 +220,8 @@ def _delta_round_trip(spark, d):
 
 
 def _packing(spark, d):
-    rows = chunks(spark, d, 1024).where("file_id % 5 = 0").select(F.concat(F.lit("pool"), (F.col("file_id") % 4).cast("string")).alias("pool"), (F.col("file_id") * 1000 + F.col("chunk_index")).alias("ordinal"), "length")
+    pool = F.concat(F.lit("pool"), F.floor(F.col("file_id") / 64).cast("string"))
+    rows = chunks(spark, d, 1024).select(pool.alias("pool"), (F.col("file_id") * 1_000_000 + F.col("chunk_index")).alias("ordinal"), "length")
     return containers.pack_containers(rows, 4096)
 
 
@@ -235,14 +242,14 @@ QUERIES = {
     ),
     "x3_adler32": lambda s, d: files(s, d).select("file_id", adler32("content").alias("adler32")),
     "j5_link_overlap": _link_overlap,
-    "j7_signature_lookup": lambda s, d: delta.lookup(delta.signatures(files(s, d).where("file_id % 2 = 1"), 128).select("file_id", "offset", "weak", "strong"), delta.signatures(files(s, d).where("file_id % 2 = 0"), 128)).select("file_id", "offset", "strong", "match_offset"),
+    "j7_signature_lookup": _lookup,
     "j8_has_chunk": lambda s, d: index.with_chunk(lineitem_index(s, d), s.read.parquet(f"{d}/part.parquet").where("p_size < 5").select(F.col("p_partkey").alias("content_id"))).select("file_id", "chunk_index", "content_id"),
     "j8_missing_chunk": lambda s, d: index.without_chunk(lineitem_index(s, d), s.read.parquet(f"{d}/part.parquet").where("p_size < 45").select(F.col("p_partkey").alias("content_id"))).select("file_id", "chunk_index", "content_id"),
     "j9_claims": _claims,
     "j10_files_with_chunk": lambda s, d: index.files_with_chunk(lineitem_index(s, d)).groupBy("content_id").agg(F.count("*").alias("files"), F.min("file_id").alias("first_file")),
     "j10_chunks_of_file": lambda s, d: index.chunks_of_file(lineitem_index(s, d)),
     "u1_merged_universe": _universe,
-    "u2_insert_set": lambda s, d: index.insert_set(lineitem_index(s, d).select("content_id", "star_id"), lineitem_index(s, d).where("file_id % 2 = 0").select("content_id", "star_id")),
+    "u2_insert_set": lambda s, d: index.insert_set(lineitem_index(s, d).select("content_id", "star_id"), lineitem_index(s, d).select("content_id", (F.col("star_id") + F.col("file_id") % 2).alias("star_id"))),
     "r1_bloom": _bloom,
     "r1_bloom_rate": _bloom_rates,
     "r2_rank_select": lambda s, d: index.bitmap_ranks(_bits(s, d)),
@@ -292,7 +299,10 @@ SELECT file_id, size::BIGINT AS size, holes::BIGINT AS holes, saved::BIGINT AS b
 a AS (SELECT DISTINCT sha256(encode(text)[off + 1:off + 256]) AS cid FROM (SELECT text, unnest(range(0, octet_length(encode(text)), 256)) AS off FROM t)), o AS (SELECT DISTINCT content_id AS cid FROM ch)
 SELECT count(*) AS originals, count(a.cid) AS preserved, round(count(a.cid) / count(*)::DOUBLE, 9) AS rate FROM o LEFT JOIN a ON o.cid = a.cid""",
     "j5_link_overlap": LINK_SQL,
-    "j7_signature_lookup": f'WITH {chunks_sql(128)} SELECT s.file_id, s."offset", s.content_id AS strong, m.o AS match_offset FROM ch s LEFT JOIN (SELECT content_id, min("offset") AS o FROM ch WHERE file_id % 2 = 0 GROUP BY 1) m ON s.content_id = m.content_id WHERE s.file_id % 2 = 1',
+    "j7_signature_lookup": """WITH t AS (SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text[1:300] || '<inserted>' || text[301:] ELSE 'other' END AS a, text AS b FROM documents),
+s AS (SELECT file_id, off AS "offset", sha256(encode(a)[off + 1:off + 128]) AS strong FROM (SELECT file_id, a, unnest(range(0, octet_length(encode(a)), 128)) AS off FROM t)),
+m AS (SELECT sha256(encode(b)[off + 1:off + 128]) AS strong, min(off) AS o FROM (SELECT b, unnest(range(0, octet_length(encode(b)), 128)) AS off FROM t) GROUP BY 1)
+SELECT s.file_id, s."offset", s.strong, m.o AS match_offset FROM s LEFT JOIN m ON s.strong = m.strong""",
     "j8_has_chunk": f"WITH {LINE_SQL} SELECT file_id, chunk_index, content_id FROM loc WHERE content_id IN (SELECT p_partkey FROM part WHERE p_size < 5)",
     "j8_missing_chunk": f"WITH {LINE_SQL} SELECT file_id, chunk_index, content_id FROM loc WHERE content_id NOT IN (SELECT p_partkey FROM part WHERE p_size < 45)",
     "j9_claims": f"WITH {LINE_SQL} SELECT content_id, min(file_id * 10 + chunk_index) AS arrival FROM loc WHERE content_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1",
@@ -300,7 +310,7 @@ SELECT count(*) AS originals, count(a.cid) AS preserved, round(count(a.cid) / co
     "j10_chunks_of_file": f"WITH {LINE_SQL} SELECT file_id, count(DISTINCT content_id) AS chunks FROM loc GROUP BY 1",
     "u1_merged_universe": """WITH m AS (SELECT l_suppkey % 5 AS map_id, 'f' || l_orderkey::VARCHAR AS path FROM lineitem), f AS (SELECT path, min(map_id) AS fm, count(*) AS locations FROM m GROUP BY 1)
 SELECT path, row_number() OVER (ORDER BY fm, path) AS file_id, locations FROM f""",
-    "u2_insert_set": f"WITH {LINE_SQL} SELECT DISTINCT content_id, star_id FROM loc",
+    "u2_insert_set": f"WITH {LINE_SQL} SELECT content_id, star_id FROM loc UNION SELECT content_id, star_id + file_id % 2 FROM loc",
     "r1_bloom": f"WITH {LINE_SQL} SELECT DISTINCT content_id FROM loc WHERE content_id IN (SELECT p_partkey FROM part WHERE p_size <= 25)",
     "r1_bloom_rate": "WITH p AS (SELECT ceil(-1000 * ln(0.01) / ln(2) ** 2)::INT AS m), q AS (SELECT m, greatest(1, ceil(m / 1000.0::DOUBLE * ln(2)))::INT AS k FROM p) SELECT n_nationkey * 100 AS n, round((1 - exp(-k * n_nationkey * 100 / m::DOUBLE)) ** k, 9) AS rate, m, k FROM nation, q",
     "r2_rank_select": f"WITH {BITS_SQL}, r AS (SELECT *, coalesce(sum(bit::INT) OVER (PARTITION BY window_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM bits) SELECT window_id, pos, bit, rank, CASE WHEN bit THEN rank END AS select_index FROM r",
@@ -321,13 +331,13 @@ FROM w JOIN n ON w.file_id = n.file_id WHERE w.file_id % 50 = 0 OR first_chunk >
     "p8_resume_decision": """WITH a AS (SELECT o_orderkey AS k, trunc(o_totalprice)::BIGINT AS total FROM orders), b AS (SELECT *, CASE WHEN k % 10 = 0 THEN 0 WHEN k % 3 = 0 THEN total ELSE total // 2 END AS copied FROM a),
 c AS (SELECT *, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 4 = 0 THEN total WHEN k % 9 = 1 THEN copied - 5 WHEN k % 9 = 2 THEN copied + 9 ELSE copied END AS dest FROM b)
 SELECT k AS o_orderkey, CASE WHEN copied = 0 THEN 'start_fresh' WHEN dest IS NULL THEN 'restart' WHEN k % 5 != 0 AND dest != total AND dest != copied THEN 'restart' WHEN k % 6 = 0 THEN 'revalidate' WHEN dest < copied THEN 'restart' WHEN dest > copied THEN 'revalidate' ELSE 'resume' END AS decision FROM c""",
-    "p9_validate_ranges": f"WITH {chunks_sql(512)} SELECT file_id, count(*) AS checked, count(*) FILTER (file_id % 10 = 0) AS failed FROM ch WHERE chunk_index % 2 = 0 GROUP BY 1",
+    "p9_validate_ranges": f"WITH {chunks_sql(512)} SELECT file_id, count(*) AS checked, count(*) FILTER (file_id % 10 = 0) AS failed FROM ch GROUP BY 1",
     "a21_verify_summary": f"""WITH {_VIOLATION_ROWS}, b AS (SELECT k, k % 29 != 0 AND NOT (k % 19 = 0 OR k % 23 = 0 OR t = 'other' OR (t = 'cdc' AND (k % 3 = 0 OR k % 4 = 0)) OR (t = 'fixed' AND k % 2 != 0) OR k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0) AS good FROM x)
 SELECT count(*) FILTER (good) AS verified, count(*) FILTER (NOT good) AS failed FROM b""",
     "s16_upsert": """SELECT dest_path, transferred_at, o_orderkey FROM (SELECT o_custkey % 100 AS dest_path, epoch(o_orderdate)::BIGINT * 100000 + o_orderkey % 100000 AS transferred_at, o_orderkey FROM orders)
 QUALIFY row_number() OVER (PARTITION BY dest_path ORDER BY transferred_at DESC) = 1""",
     "a11_journal_stats": f"WITH {JOURNAL_SQL} SELECT count(*) AS operations, sum(CASE WHEN op IN ('create_file', 'write_chunk', 'copy_chunk') THEN length ELSE 0 END)::BIGINT AS total_bytes, sum(CASE WHEN op IN ('create_file', 'write_chunk') THEN length ELSE 0 END)::BIGINT AS data_bytes FROM j",
-    "p10_replay": f"""WITH {JOURNAL_SQL}, e AS (SELECT ordinal, path, op, hash, dest_hash FROM j UNION ALL SELECT DISTINCT -1, path, 'existing', NULL, NULL FROM j WHERE path < 'p5'),
+    "p10_replay": f"""WITH {JOURNAL_SQL}, e AS (SELECT ordinal, path, op, hash, dest_hash FROM j UNION ALL SELECT DISTINCT -1, CASE WHEN path < 'p5' THEN path ELSE 'old/' || path END, 'existing', NULL, NULL FROM j),
 l AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('existing', 'create_file', 'write_chunk') THEN true WHEN op = 'delete_file' THEN false END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS alive FROM e)
 SELECT count(*) FILTER (op = 'create_file') AS created, count(*) FILTER (op = 'write_chunk') AS written, count(*) FILTER (op = 'copy_chunk' AND alive AND hash = dest_hash) AS copied,
  count(*) FILTER (op = 'copy_chunk' AND NOT (alive AND hash = dest_hash)) AS copy_failed, count(*) FILTER (op = 'delete_file' AND alive) AS deleted, count(*) FILTER (op = 'set_metadata') AS metadata FROM l""",

@@ -34,19 +34,20 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dest_files(spark: SparkSession, d: str) -> DataFrame:
-    """A destination that lacks some files, has others larger, older or newer, and some of its own."""
-    src = source_files(spark, d)
-    kept = src.where("n % 7 != 0").select("path", (F.col("size") + F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("size"), (F.col("modified") + (F.col("n") % 3 - 1) * 10).alias("modified"), F.when(F.col("n") % 4 == 0, F.lit("changed")).otherwise(F.col("digest")).alias("digest"))
-    own = src.where("n % 11 = 0").select(F.concat(F.lit("old/"), "path").alias("path"), "size", "modified", "digest")
-    return kept.unionByName(own)
+    """A destination that has some files at another path, and others larger, older, newer or changed."""
+    return source_files(spark, d).select(
+        F.when(F.col("n") % 7 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"),
+        (F.col("size") + F.when(F.col("n") % 5 == 0, 1).otherwise(0)).alias("size"),
+        (F.col("modified") + (F.col("n") % 3 - 1) * 10).alias("modified"),
+        F.when(F.col("n") % 4 == 0, F.lit("changed")).otherwise(F.col("digest")).alias("digest"),
+    )
 
 
 FILES_SQL = """
 src AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || doc_id::VARCHAR || '.txt' AS path,
                octet_length(encode(text))::BIGINT AS size, doc_id * 7 % 1000 AS modified, sha256(text) AS digest, doc_id AS n FROM documents),
-dst AS (SELECT path, size + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS size, modified + (n % 3 - 1) * 10 AS modified,
-               CASE WHEN n % 4 = 0 THEN 'changed' ELSE digest END AS digest FROM src WHERE n % 7 != 0
-        UNION ALL SELECT 'old/' || path, size, modified, digest FROM src WHERE n % 11 = 0)
+dst AS (SELECT CASE WHEN n % 7 = 0 THEN 'old/' || path ELSE path END AS path, size + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS size,
+               modified + (n % 3 - 1) * 10 AS modified, CASE WHEN n % 4 = 0 THEN 'changed' ELSE digest END AS digest FROM src)
 """
 
 
@@ -125,15 +126,17 @@ def _renames(spark, d):
 
 
 def _references(spark, d):
+    """Two earlier copies of all files, each with some files at another path, the second with some changed."""
     src = source_files(spark, d)
-    one = src.where("n % 3 = 0").select("path", "size", "modified", "digest", F.lit(1).alias("ref_priority"))
-    two = src.where("n % 2 = 0").select("path", "size", "modified", F.when(F.col("n") % 5 == 0, "x").otherwise(F.col("digest")).alias("digest"), F.lit(2).alias("ref_priority"))
+    at = lambda n: F.when(F.col("n") % n == 0, F.col("path")).otherwise(F.concat(F.lit("old/"), "path")).alias("path")
+    one = src.select(at(3), "size", "modified", "digest", F.lit(1).alias("ref_priority"))
+    two = src.select(at(2), "size", "modified", F.when(F.col("n") % 5 == 0, "x").otherwise(F.col("digest")).alias("digest"), F.lit(2).alias("ref_priority"))
     return one.unionByName(two)
 
 
 REFS_SQL = FILES_SQL + """,
-refs AS (SELECT path, size, modified, digest, 1 AS ref_priority FROM src WHERE n % 3 = 0
-         UNION ALL SELECT path, size, modified, CASE WHEN n % 5 = 0 THEN 'x' ELSE digest END, 2 FROM src WHERE n % 2 = 0)
+refs AS (SELECT CASE WHEN n % 3 = 0 THEN path ELSE 'old/' || path END AS path, size, modified, digest, 1 AS ref_priority FROM src
+         UNION ALL SELECT CASE WHEN n % 2 = 0 THEN path ELSE 'old/' || path END, size, modified, CASE WHEN n % 5 = 0 THEN 'x' ELSE digest END, 2 FROM src)
 """
 
 
@@ -161,15 +164,11 @@ def _items(spark, d):
 
 
 def _priority(spark, d):
-    from pyspark.sql import Window as W
-
-    first = sync.prioritised(_items(spark, d)).limit(100)
-    keys = [F.col("rank"), F.col("size"), F.col("queued_at"), F.col("path")]
-    return first.select("path", "rank", "size", F.row_number().over(W.orderBy(*keys)).alias("place"))
+    return sync.prioritised(_items(spark, d)).select("path", "rank", "size", "queued_at")
 
 
 def _priority_other(spark, d):
-    return sync.prioritised(_items(spark, d), ("fewest_retries", "largest_first", "newest_first")).limit(50).select("path", "retry_count", "size")
+    return sync.prioritised(_items(spark, d), ("fewest_retries", "largest_first", "newest_first")).select("path", "retry_count", "size")
 
 
 def _objects(spark, d):
@@ -313,8 +312,8 @@ SELECT count(*) FILTER (action = 'create') AS creates, count(*) FILTER (action =
     "a16_batch_progress": """WITH b AS (SELECT l_suppkey AS batch_id, count(*) AS n, sum(trunc(l_extendedprice)::BIGINT)::BIGINT AS bytes, count(*) * 9 AS ms FROM lineitem GROUP BY 1)
 SELECT batch_id, round(n / (n + 5)::DOUBLE * 100.0, 6) AS percent, round(n / (ms / 1000.0)::DOUBLE, 6) AS ops_per_s, round(bytes / 1048576.0::DOUBLE / (ms / 1000.0)::DOUBLE, 6) AS mib_per_s, round(CASE WHEN floor(ms / 1000.0) >= 1 THEN n / floor(ms / 1000.0)::DOUBLE ELSE 0.0 END, 6) AS result_throughput FROM b""",
     "c6_semantic_class": CASE_SQL,
-    "o1_priority_chain": "WITH i AS (SELECT o_orderkey::VARCHAR AS path, ([0, 10, 50, 100])[(o_orderkey % 4 + 1)::INT]::INT AS rank, floor(o_totalprice / 10000)::BIGINT AS size, o_orderdate FROM orders) SELECT path, rank, size, (row_number() OVER (ORDER BY rank, size, o_orderdate, path))::INT AS place FROM i QUALIFY place <= 100",
-    "o1_priority_other": "SELECT o_orderkey::VARCHAR AS path, o_orderkey % 3 AS retry_count, floor(o_totalprice / 10000)::BIGINT AS size FROM orders ORDER BY 2, 3 DESC, o_orderdate DESC, 1 LIMIT 50",
+    "o1_priority_chain": "WITH i AS (SELECT o_orderkey::VARCHAR AS path, ([0, 10, 50, 100])[(o_orderkey % 4 + 1)::INT]::INT AS rank, floor(o_totalprice / 10000)::BIGINT AS size, o_orderdate AS queued_at FROM orders) SELECT path, rank, size, queued_at FROM i ORDER BY rank, size, queued_at, path",
+    "o1_priority_other": "SELECT o_orderkey::VARCHAR AS path, o_orderkey % 3 AS retry_count, floor(o_totalprice / 10000)::BIGINT AS size FROM orders ORDER BY 2, 3 DESC, o_orderdate DESC, 1",
     "o3_versions_sorted": f"WITH {OBJECTS_SQL} SELECT key, version_id, size, last_modified FROM obj ORDER BY key, last_modified DESC, version_id",
     "s2_listing_options": f"""WITH {FILES_SQL}, l AS (SELECT CASE WHEN n % 6 = 0 THEN '.' || path WHEN n % 10 = 1 THEN 'root' || n::VARCHAR ELSE path END AS path, size FROM src)
 SELECT path, size FROM l WHERE len(string_split(path, '/')) <= 2 AND NOT regexp_matches(path, '(^|/)\\.') UNION ALL (SELECT path, size FROM l ORDER BY path LIMIT 25)""",

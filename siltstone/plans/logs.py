@@ -75,8 +75,7 @@ def _provenance(spark, d):
 
 def signed_lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as signed chains of log lines, some of them then altered, stripped or dropped."""
-    e = events(spark, d).where("event_id < 5000")
-    rows = e.select(F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("chain"), "event_id", "event_type")
+    rows = events(spark, d).select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("chain"), "event_id", "event_type")
     rows = rows.withColumn("sequence", (F.row_number().over(W.partitionBy("chain").orderBy("event_id")) - 1).cast("long"))
     canonical = F.concat(F.lit('{"sequence":'), F.col("sequence").cast("string"), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
     signed = chains.sign(rows.select("chain", "sequence", canonical.alias("canonical")), KEY)

@@ -124,7 +124,7 @@ def _heads(spark, d):
 QUERIES = {
     "g1_optimise_settings": _optimise,
     "f11_zero_copy": lambda s, d: source_files(s, d).select("path", configs.should_use_zero_copy(F.col("size") * 40, F.col("n") % 7 != 0, F.col("n") % 5 == 0, F.col("n") % 2 == 0, F.col("n") % 3 == 0).alias("zero_copy")),
-    "o6_deletion_order": lambda s, d: sync.deletions(source_files(s, d).select("path"), dest_files(s, d).select("path")).orderBy(F.col("depth").desc(), "path").limit(40).select("path", "depth"),
+    "o6_deletion_order": lambda s, d: sync.deletions(source_files(s, d).select("path"), dest_files(s, d).select("path")).orderBy(F.col("depth").desc(), "path").select("path", "depth"),
     "s4_head_range_hash": _heads,
     "s6_s7_audit_files": _audit_files,
     "s11_plan_files": _plan_files,
@@ -140,7 +140,7 @@ QUERIES = {
 ORACLES = {
     "g1_optimise_settings": _settings_sql(),
     "f11_zero_copy": f"WITH {FILES_SQL} SELECT path, n % 7 != 0 AND n % 5 != 0 AND (n % 3 = 0 OR n % 2 = 0) AND size * 40 >= 65536 AS zero_copy FROM src",
-    "o6_deletion_order": f"WITH {FILES_SQL} SELECT path, len(string_split(path, '/'))::INT AS depth FROM dst WHERE path NOT IN (SELECT path FROM src) ORDER BY 2 DESC, 1 LIMIT 40",
+    "o6_deletion_order": f"WITH {FILES_SQL} SELECT path, len(string_split(path, '/'))::INT AS depth FROM dst WHERE path NOT IN (SELECT path FROM src) ORDER BY 2 DESC, 1",
     "s4_head_range_hash": "SELECT doc_id::VARCHAR AS path, lower(hex(encode(text)[1:16])) AS head, sha256(encode(text)[9:72]) AS range_hash FROM documents",
     "s6_s7_audit_files": f"""WITH {ENTRIES_SQL} SELECT form, 't' || line_no::VARCHAR AS timestamp, source, CASE WHEN line_no % 3 = 0 THEN 'a,"b' ELSE 'c' END AS destination, bytes_copied, duration_ms, compression_ratio, status FROM en, (SELECT unnest(['json', 'csv']) AS form)""",
     "s11_plan_files": WINDOWS_SQL + "SELECT * FROM r",

@@ -1,8 +1,7 @@
 """State machines over ordered events: circuit breaker, token bucket, retries; and streams of log lines.
 
-The folds run per key, in batch by ``applyInPandas`` over a key's sorted rows
-and, for the breaker, in streams by ``applyInPandasWithState``, with the same
-step function.
+The folds run per key, in batch by a walk over a key's sorted rows and, for the
+breaker, in streams by ``applyInPandasWithState``, with the same step function.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folds import walked
+
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 
@@ -34,17 +35,13 @@ def breaker_step(state: tuple[str, int, int], at_ms: int, succeeded: bool, thres
 def circuit_breaker(events: DataFrame, threshold: int = 5, timeout_ms: int = 30_000, key: str = "endpoint") -> DataFrame:
     """Events (key, ordinal, at_ms, succeeded) with allowed and the state after each."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, allowed, states = (CLOSED, 0, 0), [], []
-        rows = rows.sort_values(["at_ms", "ordinal"])
-        for r in rows.itertuples():
-            state, ok = breaker_step(state, r.at_ms, bool(r.succeeded), threshold, timeout_ms)
-            allowed.append(ok)
-            states.append(state[0])
-        return rows[[key, "ordinal", "at_ms"]].assign(allowed=allowed, state=states)
+    def step(state: tuple[str, int, int], r) -> tuple[tuple[str, int, int], list[tuple]]:
+        state, ok = breaker_step(state, r.at_ms, bool(r.succeeded), threshold, timeout_ms)
+        return state, [(r[0], r.ordinal, r.at_ms, ok, state[0])]
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "ordinal", "at_ms", "succeeded").groupBy(key).applyInPandas(fold, f"`{key}` {kind}, ordinal long, at_ms long, allowed boolean, state string")
+    wanted = events.select(key, "ordinal", "at_ms", "succeeded")
+    return walked(wanted, key, ("at_ms", "ordinal"), lambda: (CLOSED, 0, 0), step, f"`{key}` {kind}, ordinal long, at_ms long, allowed boolean, state string")
 
 
 def circuit_breaker_stream(events: DataFrame, threshold: int = 5, timeout_ms: int = 30_000, key: str = "endpoint") -> DataFrame:
@@ -71,20 +68,17 @@ def token_bucket(requests: DataFrame, rate: int, capacity: int = 1000, key: str
     """
     worth = max(rate // 1000, 1)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held, last, out = float(capacity), None, []
-        rows = rows.sort_values(["at_ms", "ordinal"])
-        for r in rows.itertuples():
-            if last is not None:
-                held = min(float(capacity), held + max(0, r.at_ms - last))
-            last = r.at_ms if last is None else max(last, r.at_ms)
-            asked = -(-int(r.bytes) // worth)
-            held -= asked
-            out.append((asked, int(max(0.0, -held))))
-        return rows[[key, "ordinal"]].assign(tokens=[o[0] for o in out], wait_ms=[o[1] for o in out])
+    def step(state: tuple[float, int | None], r) -> tuple[tuple[float, int], list[tuple]]:
+        held, last = state
+        if last is not None:
+            held = min(float(capacity), held + max(0, r.at_ms - last))
+        asked = -(-int(r.bytes) // worth)
+        held -= asked
+        return (held, r.at_ms if last is None else max(last, r.at_ms)), [(r[0], r.ordinal, asked, int(max(0.0, -held)))]
 
     kind = requests.schema[key].dataType.simpleString()
-    return requests.select(key, "ordinal", "at_ms", "bytes").groupBy(key).applyInPandas(fold, f"`{key}` {kind}, ordinal long, tokens long, wait_ms long")
+    wanted = requests.select(key, "ordinal", "at_ms", "bytes")
+    return walked(wanted, key, ("at_ms", "ordinal"), lambda: (float(capacity), None), step, f"`{key}` {kind}, ordinal long, tokens long, wait_ms long")
 
 
 def retry_outcomes(attempts: DataFrame, limit: int = 3) -> DataFrame:
