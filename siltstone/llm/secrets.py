@@ -40,6 +40,8 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 12, "access": 18, "hex": 16, "markov": 16}
 #: About so many documents' words train the model of ordinary identifiers.
 SAMPLE = 2000
+#: The chosen documents meet in so many tasks, after a scan by all.
+COUNT_TASKS = 8
 RANDOM_STRINGS = 4000
 #: Mean log-likelihood ratio per character, in nats, from which a run counts as random.
 RATIO = 0.5
@@ -167,7 +169,7 @@ def labelled_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
             total[1] += transitions(values)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
 
-    partial = map_arrow(docs.select(text_of(text).alias("text")).coalesce(8), count, "counts binary")
+    partial = map_arrow(docs.select(text_of(text).alias("text")).repartition(COUNT_TASKS), count, "counts binary")
     return sum((np.frombuffer(r["counts"], float).reshape(2, STATES, STATES) for r in partial.collect()), np.zeros((2, STATES, STATES)))
 
 
