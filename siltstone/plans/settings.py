@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import configs, index, logs, sync
 from ..sources import audit_files, commands, listing
+from ..streaming import states
 from .content import BITS_SQL, LINE_SQL, WINDOWS_SQL, _bits, _windows, lineitem_index
 from .files import FILES_SQL, dest_files, source_files
-from .logs import ENTRIES_SQL, entries
+from .logs import ENTRIES_SQL, entries, events
 
 
 def settings(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +95,41 @@ def _audit_files(spark, d):
     return out[0].unionByName(out[1])
 
 
+_KINDS = logs.CHUNK_EVENTS + logs.FILE_EVENTS + logs.JOB_EVENTS + logs.STAR_EVENTS + ("other",)
+
+
+def _provenance_files(spark, d):
+    """Events as provenance lines, some of a foreign kind, written and read back."""
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS) + 1).cast("int"))
+    folder = audit_files.fresh_folder(spark, "provenance")
+    events(spark, d).select(k.cast("string").alias("ts"), kind.alias("event_type"), F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"), (k * 3).alias("bytes")).write.json(folder)
+    return logs.read_provenance(spark, folder).select("ts", "event_type", "job_id", "bytes")
+
+
+def _strict_files(spark, d):
+    folder = audit_files.fresh_folder(spark, "strict")
+    events(spark, d).select("event_id", "event_type").write.json(folder)
+    return logs.read_strict(spark, folder, "event_id long, event_type string")
+
+
+def _scanned(spark, d):
+    """Bytes of files by directory, from a recursive listing of text files."""
+    folder = audit_files.fresh_folder(spark, "listing")
+    events(spark, d).select(F.col("event_type").alias("kind"), F.md5(F.col("event_id").cast("string")).alias("line")).write.partitionBy("kind").text(folder)
+    return listing.scan(spark, folder).groupBy(F.regexp_extract("path", "kind=([^/]+)/", 1).alias("kind")).agg(F.sum("size").alias("bytes"))
+
+
+def _tailed(spark, d):
+    """A log folder followed as a stream, a few files a micro-batch, into a table."""
+    source, sink, state = (audit_files.fresh_folder(spark, f"tail-{x}") for x in ("source", "sink", "state"))
+    events(spark, d).select("event_id", "event_type", "user_id").write.json(source)
+    stream = states.tail_json(spark, source, "event_id long, event_type string, user_id long", 2)
+    run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 def _plan_files(spark, d):
     spans = _windows(spark, d).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("window_id", "first_chunk", "count", "merkle_root"))).alias("windows"))
     folder = audit_files.fresh_folder(spark, "plans")
@@ -126,7 +162,11 @@ QUERIES = {
     "f11_zero_copy": lambda s, d: source_files(s, d).select("path", configs.should_use_zero_copy(F.col("size") * 40, F.col("n") % 7 != 0, F.col("n") % 5 == 0, F.col("n") % 2 == 0, F.col("n") % 3 == 0).alias("zero_copy")),
     "o6_deletion_order": lambda s, d: sync.deletions(source_files(s, d).select("path"), dest_files(s, d).select("path")).orderBy(F.col("depth").desc(), "path").select("path", "depth"),
     "s4_head_range_hash": _heads,
+    "s1_scan": _scanned,
     "s6_s7_audit_files": _audit_files,
+    "s9_provenance_files": _provenance_files,
+    "s10_strict_files": _strict_files,
+    "st1_st2_tail": _tailed,
     "s11_plan_files": _plan_files,
     "s12_s14_versioned_tables": _versioned,
     "s18_commands": _commands,
@@ -138,6 +178,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "s1_scan": "SELECT event_type AS kind, count(*) * 33 AS bytes FROM events GROUP BY 1",
+    "s9_provenance_files": f"SELECT event_id::VARCHAR AS ts, ({list(_KINDS)})[(event_id % {len(_KINDS)} + 1)::INT] AS event_type, 'j' || user_id::VARCHAR AS job_id, event_id * 3 AS bytes FROM events WHERE event_id % {len(_KINDS)} != {len(_KINDS) - 1}",
+    "s10_strict_files": "SELECT event_id, event_type FROM events",
+    "st1_st2_tail": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "g1_optimise_settings": _settings_sql(),
     "f11_zero_copy": f"WITH {FILES_SQL} SELECT path, n % 7 != 0 AND n % 5 != 0 AND (n % 3 = 0 OR n % 2 = 0) AND size * 40 >= 65536 AS zero_copy FROM src",
     "o6_deletion_order": f"WITH {FILES_SQL} SELECT path, len(string_split(path, '/'))::INT AS depth FROM dst WHERE path NOT IN (SELECT path FROM src) ORDER BY 2 DESC, 1",
