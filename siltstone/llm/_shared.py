@@ -2,16 +2,16 @@
 
 Intermediate tables go to the folder the cluster names in
 ``spark.checkpoint.dir`` (shared by driver and executors, any Hadoop file
-system). Only where that setting is absent, as in local tests, a folder below
-the local temp directory is used.
+system). Only in local mode without that setting, as in tests, a folder below
+the local temp directory is used; a cluster without it is an error.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
@@ -24,20 +24,28 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only if the session names none."""
+    """The folder all executors share: the session's, or in local mode without one a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "siltstone-shared")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/siltstone-shared"
 
 
-def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
-    """Arrow batches of at most ``most`` bytes, unless the session has a bound of its own: workers hold a few at a time."""
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes for the jobs inside, unless the session has a bound of its own: workers hold a few at a time."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name).rstrip("b") == str(64 << 20):
-        spark.conf.set(name, str(most))
+    before = spark.conf.get(name)
+    if before.rstrip("b") != str(64 << 20):
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -48,12 +56,18 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = scratch(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete all intermediate tables below the shared folder; for when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/siltstone")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan dealt to all cores if it has fewer parts than there are, as with one small file; else as it is.
 
@@ -63,6 +77,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(min(cores, 16 * max(1, parts))) if parts < cores else df
 
 
+#: No more keys than this can each hold a larger share of the rows than its inverse.
+HOT_KEYS = 1000
+
+
+def join_with_hot(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row for each key and in ``count`` how often ``rows`` has it, of ``total``.
+
+    Keys with more than a thousandth of the rows are at most ``HOT_KEYS``:
+    they are broadcast, and their rows stay where they are. The rest is
+    shuffled, and no key of it fills a task.
+    """
+    hot = keyed.where(F.col(count) > total / HOT_KEYS)
+    cold = keyed.where(F.col(count) <= total / HOT_KEYS)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(others)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
