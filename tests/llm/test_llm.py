@@ -122,6 +122,7 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir, texts):
 
 def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 20)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 30_000)
     rnd = random.Random(3)
     base = [f"w{i}" for i in range(150)]
     made = {}
@@ -137,6 +138,43 @@ def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert got == {k: (classes[k], links[k]) for k in made}
 
 
+def test_chain_of_half_similar_texts_makes_small_buckets(spark):
+    """Neighbours share most shingles, so all texts are one chain; the pairs verified grow with its length only."""
+    words = [f"v{i * i % 9973}-{i}" for i in range(30_000)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 60])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sketch = near_dup.sketches(docs)
+    tasks = near_dup._buckets(sketch, 1200)
+    per = tasks.groupBy("band").count().agg(F.max("count"), F.sum(F.col("count") ** 2)).first()
+    assert per[0] < 20 and per[1] < 40 * 1200
+    assert near_dup.similar_classes(docs).where("class_size > 1").count() == 0
+
+
+def test_pairs_are_counted_in_one_bucket_and_recall_is_met(spark):
+    """A planted set of pairs around the threshold; the banding's own recall, from the formula, is above 0.999."""
+    assert near_dup.recall(0.8) > 0.999
+    rnd, made = random.Random(8), {}
+    for i in range(150):
+        words = [f"a{i}-{k}" for k in range(200)]
+        made[2 * i] = " ".join(words)
+        for at in rnd.sample(range(0, 200, 12), 1 + i % 5):
+            words[at] = f"b{at}"
+        made[2 * i + 1] = " ".join(words)
+    links, classes = brute_classes(shingle_sets(made))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.similar_classes(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    assert sum(got[k][1] == links[k] for k in made) >= 0.99 * len(made) and sum(links.values()) > 200
+    assert all(got[k][1] <= links[k] for k in made)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rnd = random.Random(1)
+    text = b" ".join(b"w%d" % rnd.randrange(10**6) for _ in range(3000)) + b"  " + b"z" * 30_000 + b" tail end here \t\nx "
+    want = near_dup.shingles([text, b"x y z", text])
+    monkeypatch.setattr(near_dup, "PIECE", 1 << 10)
+    got = near_dup.shingles([text, b"x y z", text])
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     got = near_dup.similar_classes(odd).collect()
     by = defaultdict(set)
@@ -169,15 +207,67 @@ def test_shingles_equal_a_loop():
 # 2 -------------------------------------------------------------------------------------------------
 
 
-def test_directory_splits_and_doubles():
-    counts = {0: 10, 1: 1, 2: 1, 3: 1, 7: 5}
-    slots = exact_dedup.directory(counts, 3, 3)
-    assert len(slots) == 8
-    per = Counter()
-    for prefix, n in counts.items():
-        per[slots[prefix][0]] += n
-    assert per[slots[0][0]] == 10 and all(n <= 3 for b, n in per.items() if b not in (slots[0][0], slots[7][0]))
-    assert exact_dedup.directory({}, 3, 3) == [(0, 0)]
+def split_and_double(hashes, capacity):
+    """(slot, bucket, depth) by the sequential rule: split an overfull bucket, double when it is as deep as the directory."""
+    depth, slots, buckets = 0, [0], {0: (0, 0)}
+    count = lambda d, p: sum(h >> (63 - d) == p for h in hashes)
+    queue = [0]
+    while queue:
+        name = queue.pop()
+        local, prefix = buckets[name]
+        if count(local, prefix) <= capacity:
+            continue
+        if local == depth:
+            slots, depth = [b for b in slots for _ in range(2)], depth + 1
+        fresh = len(buckets)
+        buckets[name], buckets[fresh] = (local + 1, prefix * 2), (local + 1, prefix * 2 + 1)
+        slots = [fresh if b == name and i >> (depth - local - 1) == prefix * 2 + 1 else b for i, b in enumerate(slots)]
+        queue += [name, fresh]
+    return [(i, slots.index(b), buckets[b][0]) for i, b in enumerate(slots)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_directory_equals_splitting_and_doubling(spark, seed):
+    rnd = random.Random(seed)
+    hashes = {rnd.randrange(1 << 63) >> 2 * seed for _ in range(60)}  # with shared leading bits, so deep
+    held = spark.createDataFrame([(h,) for h in hashes], "hash long")
+    for capacity in (3, 1000):
+        slots, depth = exact_dedup.directory(held, capacity)
+        want = split_and_double(hashes, capacity)
+        assert len(want) == 1 << depth and sorted(map(tuple, slots.collect())) == want
+    assert [tuple(r) for r in exact_dedup.directory(held.limit(0))[0].collect()] == [(0, 0, 0)]
+
+
+def test_a_task_makes_one_entry_of_its_copies(spark):
+    """60 000 equal rows between others, more than the memory holds, in one task."""
+    text = "the shared text " * 8
+    docs = spark.range(60_000).selectExpr("60000 - id AS doc_id", f"'{text}' AS text")
+    others = spark.range(12_000).selectExpr("id + 100000 AS doc_id", "repeat(concat('other ', id, ' '), 300) AS text")
+    one = docs.unionByName(others).orderBy(F.xxhash64("doc_id")).coalesce(1)
+    for carry in (False, True):
+        entries, _ = exact_dedup.build_index(one, carry=carry)
+        shared = entries.where(F.col("hash") == exact_dedup.hash64(exact_dedup.normalise(text.encode())))
+        assert shared.where("row is not null").count() == 1
+        assert entries.where("row is not null").count() == 72_000
+    found = exact_dedup.duplicate_groups(one).where("doc_id <= 60000")
+    assert [tuple(r) for r in found.groupBy("keep_id", "group_size").agg(F.count("*"), F.sum(F.col("kept").cast("int"))).collect()] == [(1, 60_000, 60_000, 1)]
+    kept = exact_dedup.deduplicated(one)
+    assert kept.count() == 12_001 and kept.where("doc_id <= 60000").first().doc_id == 1
+
+
+def test_a_text_of_all_tasks_is_merged_in_salted_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MANY", 5)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot  text', concat('t', id % 900)) AS text").repartition(40)
+    got = Counter((r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(docs, hash_bits=6, capacity=4).collect())
+    want = Counter()
+    groups = defaultdict(list)
+    for i in range(4000):
+        groups["hot" if i % 3 == 0 else i % 900].append(i)
+    for ids in groups.values():
+        want[ids[0], len(ids), True] += 1
+        want[ids[0], len(ids), False] += len(ids) - 1
+    assert got == +want
+    assert {r.doc_id for r in exact_dedup.deduplicated(docs).collect()} == {ids[0] for ids in groups.values()}
 
 
 @pytest.mark.parametrize("bits", [1, 4])
@@ -188,7 +278,7 @@ def test_exact_dedup_with_colliding_hashes(spark, odd, bits):
 
 
 def test_exact_dedup_keeps_whole_rows(spark, odd):
-    kept = exact_dedup.deduplicated(odd, capacity=2, max_depth=4)
+    kept = exact_dedup.deduplicated(odd, capacity=2)
     assert kept.columns == odd.columns and kept.schema == odd.schema
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([1, 3, 4, 6, 8, 10, 11, 12, None, 14, 14, 15, 16, 18], key=str)
