@@ -3,13 +3,17 @@
 Encoded documents are cut into whole sequences and one remainder each. Only the
 histogram of remainder lengths (at most ``CONTEXT`` - 1 numbers) reaches the
 driver. There a linear program over patterns, multisets of lengths that fit a
-sequence, is solved by column generation: a knapsack dynamic program prices new
-patterns against the duals until the bound is met within ``GAP``. Rounded-down
-patterns and a best-fit packing of the rest say which ranks of which length go
-to which sequences; remainders find their rank from their scan task's counts.
-Patterns that leave more than ``LOOSE`` of a sequence empty, as when half of all
-remainders have one awkward length, are dissolved: their pieces are laid end to
-end and cut where a sequence is full.
+sequence, is solved by column generation from the patterns of single lengths
+on: a knapsack dynamic program prices new patterns against the duals until the
+value is within ``GAP`` of its proven bound or no pattern improves it.
+Rounded-down patterns, and bounded subset sums for the at most one sequence a
+pattern that is left, say which ranks of which length go to which sequences;
+remainders find their rank from their scan task's counts.
+
+Where whole pieces would leave more than ``LOOSE`` of all tokens as padding, as
+when half of all remainders have one awkward length, the pieces of the emptiest
+patterns are laid end to end and cut where a sequence is full. Other tables,
+all of the tests' among them, have none of these.
 
 Sequences are padded to ``CONTEXT`` except when their length is a power of two.
 
@@ -21,8 +25,10 @@ task; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,13 +43,12 @@ from ._tokens import byte_encoder, vocabulary_path
 
 CONTEXT = 1024
 END_ID = 0
-#: The linear program stops within this share, or one sequence, of its bound, or after so many columns.
-GAP = 0.002
-COLUMNS = 400
-#: Patterns with a larger empty share are dissolved and their pieces cut to fit.
-LOOSE = 0.015
-#: Up to so many (task, length) counts are broadcast; beyond, they are joined by shuffle.
-BROADCAST_COUNTS = 500_000
+#: The linear program stops within this share of its bound, or when no pattern improves it.
+GAP = 0.001
+#: Where whole pieces leave a larger share of padding, the emptiest patterns are dissolved and their pieces cut to fit.
+LOOSE = 0.01
+#: Up to so many (task, length) counts, some 5 MB, are broadcast; beyond, they are joined by shuffle.
+BROADCAST_COUNTS = 100_000
 
 
 def cut_documents(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
@@ -80,123 +85,243 @@ def cut_documents(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID,
     return materialise(source.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary, place long, task long"), "packing-pieces", "zstd")
 
 
-def _fill(open_: np.ndarray, room: int) -> tuple[int, ...]:
-    """One, two or three open lengths that add up to ``room``, or to the most below it that such a sum reaches."""
-
-    def two(target: int) -> tuple[int, ...]:
-        larger = np.flatnonzero(open_[(target + 1) // 2 : target] & open_[target // 2 : 0 : -1])
-        if not len(larger):
-            return ()
-        a = (target + 1) // 2 + int(larger[-1])
-        return (a, target - a)
-
-    for target in range(room, 0, -1):
-        if open_[target]:
-            return (target,)
-        if pair := two(target):
-            return pair
-        for a in np.flatnonzero(open_[: target - 1])[:-41:-1].tolist():
-            if pair := two(target - a):
-                return (a, *pair)
-    return ()
-
-
-def _first_patterns(lengths: np.ndarray, demand: np.ndarray, context: int) -> np.ndarray:
-    """A square basis with a nonnegative solution, from exact fills.
-
-    Again and again the longest length left is joined by lengths that fill its
-    sequence, and the pattern is used until one of its lengths is used up. The
-    pattern is that length's column; in the order of the steps the basis is
-    triangular. Lengths used up in the same step get a column of their own,
-    used 0 times.
+class _Prices:
+    """The most valuable patterns: an unbounded knapsack by dynamic programming over the sequence's length."""
+
+    def __init__(self, lengths: np.ndarray, duals: np.ndarray, context: int):
+        useful = np.flatnonzero(duals > 1e-12)
+        sizes, worth = lengths[useful], duals[useful]
+        self.lengths, self.sizes, self.useful = lengths, sizes, useful
+        self.best, self.chosen = np.zeros(context + 1), np.full(context + 1, -1)
+        upto = np.searchsorted(sizes, np.arange(context + 1), side="right")
+        for c in range(1, context + 1):
+            self.best[c] = self.best[c - 1]
+            k = upto[c]
+            if k:
+                gains = self.best[c - sizes[:k]] + worth[:k]
+                g = int(gains.argmax())
+                if gains[g] > self.best[c] + 1e-13:
+                    self.best[c], self.chosen[c] = gains[g], g
+
+    def pattern(self, i: int, context: int) -> np.ndarray:
+        """The best pattern that has length number ``i``."""
+        found = np.zeros(len(self.lengths))
+        found[i], c = 1, context - int(self.lengths[i])
+        while c > 0:
+            if self.chosen[c] < 0:
+                c -= 1
+            else:
+                found[self.useful[self.chosen[c]]] += 1
+                c -= int(self.sizes[self.chosen[c]])
+        return found
+
+
+def _priced_in_turn(lengths: np.ndarray, demand: np.ndarray, duals: np.ndarray, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns priced one after the other on the demand that is left, and their uses: a triangular basis.
+
+    Each has the longest length left and is used until one of its lengths is
+    used up, whose column it is; lengths used up at the same time get their
+    single-length pattern, used 0 times.
+    """
+    n = len(lengths)
+    left, open_ = demand.copy(), np.ones(n, bool)
+    basis, uses, prices = np.zeros((n, n)), np.zeros(n), None
+    for longest in range(n - 1, -1, -1):
+        while open_[longest]:
+            pattern = prices.pattern(longest, context) if prices else None
+            if pattern is None or not open_[pattern > 0].all():
+                prices = _Prices(lengths, np.where(open_, duals, 0), context)
+                pattern = prices.pattern(longest, context)
+            on = np.flatnonzero(pattern)
+            amount = (left[on] / pattern[on]).min()
+            left[on] -= amount * pattern[on]
+            ended = on[left[on] <= 1e-9 * demand[on]]
+            basis[:, ended[0]], uses[ended[0]] = pattern, amount
+            for k in ended[1:]:
+                basis[k, k] = context // lengths[k]
+            open_[ended] = False
+    return basis, uses
+
+
+@dataclass
+class Solution:
+    """(pattern, uses) of the linear program, uses fractional; its value, the proven bound, columns priced, and why it stopped."""
+
+    patterns: list[tuple[dict[int, int], float]]
+    value: float
+    bound: float
+    columns: int
+    reason: str
+
+
+class _Master:
+    """The linear program over the patterns known so far, by the revised simplex method.
+
+    Uses of patterns must cover the demand. Two kinds of columns cost nothing:
+    a slot may stay empty, or hold the next shorter length. They bound the
+    duals, which makes few rounds of pricing enough.
     """
-    row = {int(k): i for i, k in enumerate(lengths)}
-    left = dict(zip(lengths.tolist(), demand.tolist(), strict=True))
-    open_ = np.zeros(context + 1, bool)
-    open_[lengths] = True
-    basis = np.zeros((len(lengths), len(lengths)))
-    while open_.any():
-        longest = int(np.flatnonzero(open_)[-1])
-        copies = max(1, context // longest - 2)  # short lengths repeat until three more can fill the rest
-        pattern = Counter([longest] * copies + [*_fill(open_, context - copies * longest)])
-        uses = min(left[k] / c for k, c in pattern.items())
-        ended = []
-        for k, c in pattern.items():
-            left[k] -= uses * c
-            if left[k] <= 1e-9:
-                ended.append(k)
-        for k, c in pattern.items():
-            basis[row[k], row[ended[0]]] = c
-        for k in ended[1:]:
-            basis[row[k], row[k]] = context // k
-        open_[ended] = False
-    return basis
-
-
-def _price(lengths: np.ndarray, duals: np.ndarray, context: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: an unbounded knapsack by dynamic programming over the sequence's length."""
-    useful = np.flatnonzero(duals > 1e-12)
-    sizes, worth = lengths[useful], duals[useful]
-    best, chosen = np.zeros(context + 1), np.full(context + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(context + 1), side="right")
-    for c in range(1, context + 1):
-        best[c] = best[c - 1]
-        k = upto[c]
-        if k:
-            gains = best[c - sizes[:k]] + worth[:k]
-            g = int(gains.argmax())
-            if gains[g] > best[c] + 1e-15:
-                best[c], chosen[c] = gains[g], g
-    pattern, c = np.zeros(len(lengths)), context
-    while c > 0:
-        if chosen[c] < 0:
-            c -= 1
-        else:
-            pattern[useful[chosen[c]]] += 1
-            c -= int(sizes[chosen[c]])
-    return float(best[context]), pattern
-
 
-def solve_patterns(histogram: dict[int, int], context: int = CONTEXT, gap: float = GAP, columns: int = COLUMNS) -> list[tuple[dict[int, int], float]]:
-    """(pattern, uses) of the linear program's basis; uses are fractional."""
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, context: int):
+        self.lengths, self.demand, self.context, self.n = lengths, demand, context, len(lengths)
+        self.pool, self.known = np.zeros((self.n, 0)), set()
+        self.singles()
+
+    def singles(self) -> None:
+        self.start(np.diag((self.context // self.lengths).astype(float)))
+
+    def start(self, basis: np.ndarray) -> None:
+        self.basis, self.cost = basis.copy(), np.ones(self.n)
+        self.invert()
+
+    def invert(self) -> None:
+        self.inverse = np.linalg.inv(self.basis)
+        self.uses = np.maximum(self.inverse @ self.demand, 0)
+
+    def duals(self) -> np.ndarray:
+        return self.cost @ self.inverse
+
+    def add(self, patterns: list[np.ndarray], duals: np.ndarray) -> int:
+        """Take the new ones that improve the value at these duals; how many."""
+        fresh = []
+        for p in patterns:
+            if duals @ p > 1 + 1e-7 and p.tobytes() not in self.known:
+                self.known.add(p.tobytes())
+                fresh.append(p)
+        if fresh:
+            self.pool = np.hstack((self.pool, np.array(fresh).T))
+        return len(fresh)
+
+    def _entering(self) -> tuple[np.ndarray, int] | None:
+        """(column, its cost) with the most to gain."""
+        duals, column = self.duals(), np.zeros(self.n)
+        gains = duals @ self.pool - 1
+        steps = duals[:-1] - duals[1:]
+        best = max(gains.max(initial=0), -duals.min(), steps.max(initial=0))
+        if best <= 1e-7:
+            return None
+        if len(gains) and gains.max() == best:
+            return self.pool[:, int(gains.argmax())], 1
+        if -duals.min() == best:
+            column[int(duals.argmin())] = -1
+        else:
+            k = int(steps.argmax())
+            column[k], column[k + 1] = 1, -1
+        return column, 0
+
+    def improve(self, enough: float) -> bool:
+        """Pivot until no known column improves the value, or it is at most ``enough``; False when rounding stops it."""
+        for pivot in range(1, 40 * self.n + 1000):
+            found = self._entering()
+            if found is None:
+                return True
+            column, cost = found
+            direction = self.inverse @ column
+            falls = direction > 1e-7
+            if not falls.any():
+                return False
+            ratios = np.where(falls, self.uses / np.where(falls, direction, 1), np.inf)
+            amount = ratios.min()
+            out = int(np.where(ratios <= amount + 1e-9, direction, -1).argmax())  # large pivots keep the basis well conditioned
+            self.uses = np.maximum(self.uses - amount * direction, 0)
+            self.uses[out] = amount
+            row = self.inverse[out] / direction[out]
+            self.inverse -= np.outer(direction, row)
+            self.inverse[out] = row
+            self.basis[:, out], self.cost[out] = column, cost
+            if pivot % 200 == 0:
+                self.invert()
+            if pivot % 20 == 0 and self.cost @ self.uses <= enough:
+                return True
+        return False
+
+    def settled(self) -> list[tuple[np.ndarray, float]]:
+        """Patterns whose uses meet the demand exactly: slots that stay empty or hold a shorter length are taken out or replaced."""
+        held = [[self.basis[:, p].copy(), self.uses[p]] for p in np.flatnonzero((self.cost > 0) & (self.uses > 1e-9))]
+        free = [(int(self.basis[:, p].argmin()), bool(self.basis[:, p].max() > 0), self.uses[p]) for p in np.flatnonzero((self.cost == 0) & (self.uses > 1e-9))]
+        for k, shorter, amount in sorted(free, key=lambda f: -f[0]):
+            for entry in list(held):
+                pattern, uses = entry
+                copies = pattern[k]
+                if amount <= 1e-9:
+                    break
+                if not copies or uses <= 1e-9:
+                    continue
+                part = min(uses, amount / copies)
+                changed = pattern.copy()
+                changed[k] = 0
+                if shorter:
+                    changed[k - 1] += copies
+                entry[1] -= part
+                amount -= part * copies
+                held.append([changed, part])
+        return [(p, u) for p, u in held if u > 1e-9]
+
+
+def solve_patterns(histogram: dict[int, int], context: int = CONTEXT, gap: float = GAP) -> Solution:
+    """The cutting-stock program of a histogram of lengths below ``context``."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
     if not len(lengths):
-        return []
+        return Solution([], 0.0, 0.0, 0, "optimal")
     demand = np.array([histogram[int(k)] for k in lengths], float)
-    basis = _first_patterns(lengths, demand, context)
-    inverse = np.linalg.inv(basis)
-    uses = np.maximum(inverse @ demand, 0)
-    bound = demand @ lengths / context
-    for step in range(columns):
-        duals = inverse.sum(axis=0)
-        worth, pattern = _price(lengths, duals, context)
-        bound = max(bound, float(duals @ demand) / max(worth, 1.0)) if (duals >= -1e-9).all() else bound
-        if worth <= 1 + 1e-9 or uses.sum() <= max(bound * (1 + gap), bound + 1):
+    master, columns, reason = _Master(lengths, demand, context), 0, ""
+    # Duals in proportion to the lengths prove the first bound, the volume; half of the best duals so far steadies each pricing.
+    centre, bound = lengths / context, float(demand @ lengths / context)
+    while not reason:
+        value = float(master.cost @ master.uses)
+        if value <= bound * (1 + gap):
+            reason = "bound"
+            break
+        duals, fresh = master.duals(), 0
+        for share in (0.5, 0.0):
+            asked = np.maximum(share * centre + (1 - share) * duals, 0)
+            prices = _Prices(lengths, asked, context)
+            worth = max(prices.best[context], 1.0)
+            if asked @ demand / worth > bound:
+                bound, centre = float(asked @ demand / worth), asked / worth
+            with_each = asked + prices.best[context - lengths]
+            fresh += master.add([prices.pattern(i, context) for i in np.argsort(-with_each)[:100].tolist()], duals)
+            if fresh:
+                break
+        if not fresh:
+            reason = "optimal"
             break
-        direction = inverse @ pattern
-        ratios = np.where(direction > 1e-7, uses / np.where(direction > 1e-7, direction, 1), np.inf)
-        amount = ratios.min()
-        if not np.isfinite(amount):
+        turn, uses = _priced_in_turn(lengths, demand, np.maximum(asked, 1e-9) * (1 + 1e-3 * lengths / context), context)
+        columns += fresh + master.add(list(turn.T), duals)
+        if uses.sum() < value:
+            master.start(turn)
+        try:
+            steady = master.improve(bound * (1 + gap))
+            master.invert()
+        except np.linalg.LinAlgError:
+            steady = False
+        if not steady:  # rounding spoiled the basis: begin again with the patterns known
+            master.singles()
+            if not master.improve(bound * (1 + gap)):
+                reason = "rounding"
+    patterns = [({int(lengths[i]): int(round(p[i])) for i in np.flatnonzero(p > 0.5)}, float(u)) for p, u in master.settled()]
+    return Solution([(p, u) for p, u in patterns if p], float(master.cost @ master.uses), bound, columns, reason)
+
+
+def _subset(left: Counter, room: int) -> Counter:
+    """What fills ``room`` best of the pieces left: a bounded subset sum, the longest pieces first; sums are bits of a number."""
+    sums, steps, mask = 1, [], (1 << (room + 1)) - 1
+    for length in sorted((k for k, n in left.items() if n > 0 and k <= room), reverse=True):
+        for _ in range(min(left[length], room // length)):
+            steps.append((length, sums))
+            sums |= sums << length & mask
+        if sums >> room & 1:
             break
-        # of the rows that leave at once, the largest pivot keeps the basis well conditioned
-        out = int(np.where(ratios <= amount + 1e-9, direction, -np.inf).argmax())
-        uses = np.maximum(uses - amount * direction, 0)
-        uses[out] = amount
-        basis[:, out] = pattern
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        if step % 100 == 99:
-            try:
-                inverse = np.linalg.inv(basis)
-            except np.linalg.LinAlgError:
-                break  # the patterns in use stay valid; rounding never takes more than the demand
-            uses = np.maximum(inverse @ demand, 0)
-    return [({int(lengths[i]): int(basis[i, p]) for i in np.flatnonzero(basis[:, p] > 0.5)}, float(uses[p])) for p in range(len(lengths)) if uses[p] > 1e-9]
+    at, found = sums.bit_length() - 1, Counter()
+    for length, before in reversed(steps):
+        if not before >> at & 1:
+            found[length] += 1
+            at -= length
+    return found
 
 
 def whole_patterns(histogram: dict[int, int], solved: list[tuple[dict[int, int], float]], context: int = CONTEXT) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(((length, copies), ...), sequences): rounded-down uses, then best fit, longest first, for what is left."""
+    """(((length, copies), ...), sequences): rounded-down uses, then the best fills, longest first, of what is left."""
     left, out = Counter(histogram), []
     for pattern, uses in sorted(solved, key=lambda x: -x[1]):
         n = min([int(uses + 1e-6), *(left[k] // c for k, c in pattern.items())])
@@ -204,17 +329,37 @@ def whole_patterns(histogram: dict[int, int], solved: list[tuple[dict[int, int],
             out.append((tuple(sorted(pattern.items(), reverse=True)), n))
             for k, c in pattern.items():
                 left[k] -= n * c
-    rooms: list[list[list[int]]] = [[] for _ in range(context + 1)]
-    for length in sorted((k for k, n in left.items() if n > 0), reverse=True):
-        for _ in range(left[length]):
-            room = next((r for r in range(length, context) if rooms[r]), context)
-            held = rooms[room].pop() if room < context else []
-            held.append(length)
-            rooms[room - length].append(held)
-    rest = Counter(tuple(sorted(Counter(h).items(), reverse=True)) for r in rooms for h in r)
+    rest: Counter = Counter()
+    for length in sorted(left, reverse=True):
+        while left[length] > 0:
+            left[length] -= 1
+            found = _subset(left, context - length)
+            left -= found
+            found[length] += 1
+            rest[tuple(sorted(found.items(), reverse=True))] += 1
     return out + sorted(rest.items(), key=lambda x: (-x[1], x[0]))
 
 
+def _empty(pattern: tuple[tuple[int, int], ...], context: int) -> int:
+    fill = sum(k * c for k, c in pattern)
+    return context - fill if fill & (fill - 1) else 0
+
+
+def split_loose(patterns: list[tuple[tuple[tuple[int, int], ...], int]], context: int = CONTEXT, loose: float = LOOSE) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], Counter]:
+    """(patterns kept, pieces of the others): the emptiest go until at most ``loose`` of all tokens is padding."""
+    padding = sum(_empty(p, context) * n for p, n in patterns) - loose * sum(k * c * n for p, n in patterns for k, c in p)
+    kept, loosely = [], Counter()
+    for pattern, n in sorted(patterns, key=lambda x: -_empty(x[0], context)):
+        empty = _empty(pattern, context)
+        gone = min(n, math.ceil(padding / empty)) if padding > 0 and empty else 0
+        padding -= gone * empty
+        for length, copies in pattern:
+            loosely[length] += gone * copies
+        if n > gone:
+            kept.append((pattern, n - gone))
+    return kept, +loosely
+
+
 def slot_runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]], context: int = CONTEXT, loose: float = LOOSE) -> np.ndarray:
     """Rows (length, first rank, first sequence, copies in a sequence, offset in it), by length and rank.
 
@@ -222,13 +367,9 @@ def slot_runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]], context:
     many to each; the number of rows depends on the patterns, not the corpus.
     Rows with 0 copies are laid end to end from the offset on, across sequences.
     """
-    rows, ranks, sequence, loosely = [], Counter(), 0, Counter()
-    for pattern, n in patterns:
-        fill = sum(k * c for k, c in pattern)
-        if fill < context * (1 - loose) and fill & (fill - 1):
-            for length, copies in pattern:
-                loosely[length] += n * copies
-            continue
+    rows, ranks, sequence = [], Counter(), 0
+    kept, loosely = split_loose(patterns, context, loose)
+    for pattern, n in kept:
         offset = 0
         for length, copies in pattern:
             rows.append((length, ranks[length], sequence, copies, offset))
@@ -248,7 +389,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, end_id: int = END_ID, gap: flo
     short = pieces.where(F.col("length") < context)
     counts = materialise(short.groupBy("task", "length").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most context - 1 rows
-    runs = slot_runs(whole_patterns(histogram, solve_patterns(histogram, context, gap), context), context)
+    runs = slot_runs(whole_patterns(histogram, solve_patterns(histogram, context, gap).patterns, context), context)
 
     @F.pandas_udf("sequence_id long, offset long")
     def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

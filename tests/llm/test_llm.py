@@ -441,21 +441,56 @@ def test_packing_of_one_awkward_length(spark):
     assert check_packing(packing.pack(docs).collect(), held) < 0.03  # one sequence of 42 is cut short
 
 
+def whole_and_tight(histogram, context, solved):
+    """Whole patterns meet the demand exactly; how many sequences, and how many pieces no pattern holds."""
+    whole, got = packing.whole_patterns(histogram, solved.patterns, context), Counter()
+    for pattern, n in whole:
+        assert sum(k * c for k, c in pattern) <= context
+        for k, c in pattern:
+            got[k] += n * c
+    assert got == histogram
+    return sum(n for _, n in whole), sum(packing.split_loose(whole, context)[1].values())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_meet_the_demand(seed):
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 200, 900)
     histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
     solved = packing.solve_patterns(histogram, 256)
-    whole = packing.whole_patterns(histogram, solved, 256)
-    got = Counter()
-    for pattern, n in whole:
-        assert sum(k * c for k, c in pattern) <= 256
-        for k, c in pattern:
-            got[k] += n * c
-    assert got == histogram
-    assert sum(n for _, n in whole) <= 1.02 * lengths.sum() / 256 + 2
-    assert packing.solve_patterns({}) == []
+    covered = Counter()
+    for pattern, uses in solved.patterns:
+        for k, c in pattern.items():
+            covered[k] += uses * c
+    assert all(abs(covered[k] - n) < 1e-4 for k, n in histogram.items())
+    assert sum(u for _, u in solved.patterns) == pytest.approx(solved.value)
+    assert whole_and_tight(histogram, 256, solved)[0] <= 1.01 * lengths.sum() / 256 + 2
+    assert packing.solve_patterns({}).patterns == []
+
+
+def test_the_program_equals_all_patterns_enumerated():
+    """A small program whose patterns can all be listed: the same value as a plain solution by vertices' duals."""
+    histogram, context = {3: 7, 5: 5, 7: 4}, 12
+    solved = packing.solve_patterns(histogram, context, gap=0)
+    every = [(a, b, c) for a in range(5) for b in range(3) for c in range(2) if 0 < 3 * a + 5 * b + 7 * c <= context]
+    best = max(7 * x / 60 + 5 * y / 60 + 4 * z / 60 for x in range(61) for y in range(61) for z in range(61) if all(a * x + b * y + c * z <= 60 for a, b, c in every))
+    assert solved.reason in ("bound", "optimal") and solved.bound <= solved.value + 1e-9
+    assert best <= solved.value + 1e-9 and solved.value <= best + 0.2
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_columns_carry_the_result_to_a_proven_gap(sf):
+    import pyarrow.parquet as pq
+
+    encoder = _tokens.byte_encoder(_tokens.vocabulary_path("byte_bpe_50k.json"), _tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    histogram = Counter((len(x) + 1) % 1024 for x in encoder.encode([t or "" for t in texts]))
+    del histogram[0]
+    solved = packing.solve_patterns(histogram)
+    assert solved.columns > 0 and solved.reason in ("bound", "optimal")
+    assert solved.value <= solved.bound * (1 + packing.GAP) + 1e-6
+    sequences, loose = whole_and_tight(histogram, 1024, solved)
+    assert sequences <= 1.005 * solved.value + 2 and loose == 0
 
 
 # 8 -------------------------------------------------------------------------------------------------
