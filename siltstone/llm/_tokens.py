@@ -21,6 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 OTHER_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 MARK = "\x01"
 PUNCTUATION = frozenset(".,;:!?")
+#: Bytes that a remembered piece takes beside its characters and ids.
+PIECE_COST = 180
 
 
 def vocabulary_path(name: str) -> str:
@@ -42,17 +44,18 @@ class _Memory(dict):
 
 
 class CachedEncoder:
-    """Encodes texts to little-endian uint32 ids, remembering at most ``max_cached`` pieces.
+    """Encodes texts to little-endian uint32 ids, remembering pieces of at most ``max_bytes`` in all.
 
     For vocabularies that drop white space and lower case. When the memory is
-    full, further pieces are encoded but not kept.
+    full, further pieces are encoded but not kept; pieces of over 256
+    characters never are.
     """
 
-    def __init__(self, path: str, max_cached: int = 1_200_000):
+    def __init__(self, path: str, max_bytes: int = 240 << 20):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_cached = max_cached
+        self.room = max_bytes
         self.memory = _Memory()
         self.memory[""] = b""
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -98,11 +101,10 @@ class CachedEncoder:
                 found[p] = raw[s:e]
         for p in ending:
             found[p] = (found.get(p[:-1]) or memory[p[:-1]]) + self.stops[p[-1]]
-        room = self.max_cached - len(memory)
-        if room >= len(found):
-            memory.update(found)
-        elif room > 0:
-            memory.update((p, found[p]) for p in list(found)[:room])
+        if self.room > 0:
+            kept = {p: raw for p, raw in found.items() if len(p) <= 256}
+            self.room -= sum(len(p) + len(raw) for p, raw in kept.items()) + PIECE_COST * len(kept)
+            memory.update(kept)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -2,24 +2,29 @@
 
 Documents are sorted by id over range partitions, encoded, and written in
 shards of about ``SHARD_TOKENS`` ids. In each shard frequent pairs of ids are
-replaced by nonterminals, again and again; the pairs of one round are chosen so
-that no two replacements can overlap, which lets a round be a few numpy
-operations. A shard holds its rules with their expansion lengths, the symbols,
-and where each document's symbols begin, so a document, or a range of its ids,
-is decoded without the rest. Pairs never run across two documents.
+replaced by nonterminals, again and again until no pair is worth a rule; the
+pairs of one round are chosen so that no two replacements can overlap, which
+lets a round be a few numpy operations. A shard holds its rules with their
+expansion lengths, the symbols, and where each document's symbols begin, so a
+document, or a range of its ids, is decoded without the rest. Pairs never run
+across two documents.
+
+A rule takes two symbols and an expansion length, a replacement saves one
+symbol, so a pair that occurs fewer than ``LEAST`` times saves nothing.
 
 A shard's bytes are a row of a Parquet table in the shared folder: Spark's
 commit protocol makes the files whole when an executor is lost.
 
-Shard layout, little-endian: magic ``RPS1``; unsigned 32-bit documents, rules,
-symbols and first nonterminal; the rules' pairs, then their expansion lengths
-(unsigned 32-bit); for each document the number of its symbols and of its ids
-(unsigned 32-bit); the symbols, unsigned 16-bit if all fit, else 32-bit; last
-the crc32 of all before.
+Shard layout, little-endian: magic ``RPS2``; unsigned 32-bit documents, rules,
+symbols, first nonterminal, bits of a symbol and bytes of an expansion length;
+the rules' pairs as packed symbols, their expansion lengths; for each document
+the number of its symbols and of its ids (unsigned 32-bit); the packed symbols;
+last the crc32 of all before.
 
 Defined cases: a null or empty text is the end id alone; null ids come first;
-repeated rows are written each time; an empty table gives no shards and an
-empty result; other columns are not read.
+rows with equal ids are ordered by a hash of their texts; repeated rows are
+written each time; an empty table gives no shards and an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -40,80 +45,92 @@ from ._tokens import encoder, vocabulary_path
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-#: Rounds of replacement, the least count of a pair that is replaced, pairs replaced in a round at most.
-ROUNDS = 4
-LEAST = 24
-PAIRS = 1500
+#: The least count of a pair that is replaced; the first rounds take more frequent pairs only.
+LEAST = 4
+FIRST = (64, 16)
 #: Up to so many shards their starts are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SHARDS = 500_000
-MAGIC = b"RPS1"
+MAGIC = b"RPS2"
 
 
-def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, pairs: int, bits: int) -> list[int]:
-    """The most frequent pairs such that no id is the left of one and the right of another."""
+def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, bits: int) -> list[int]:
+    """Frequent pairs, the most frequent first, such that no id is the left of one and the right of another."""
     frequent = np.flatnonzero(counts >= least)
-    if len(frequent) > 4 * pairs:
-        frequent = frequent[np.argpartition(-counts[frequent], 4 * pairs)[: 4 * pairs]]
     order = frequent[np.lexsort((keys[frequent], -counts[frequent]))]
-    lefts, rights, chosen = set(), set(), []
+    lefts, rights, chosen, low = set(), set(), [], (1 << bits) - 1
     for key in keys[order].tolist():
-        a, b = key >> bits, key & ((1 << bits) - 1)
-        if a in rights or b in lefts or a == b:
+        a, b = key >> bits, key & low
+        if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
             continue
         lefts.add(a)
         rights.add(b)
         chosen.append(key)
-        if len(chosen) == pairs:
-            break
     return chosen
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules): the grammar of documents' ids laid end to end.
 
-    A pair is one number; two ids fit 32 bits when all ids fit 16, which
-    halves what a round sorts.
+    No pair is left that occurs ``least`` times. A pair is one number; of a run
+    of equal ids every second place counts, as only those can be replaced.
     """
-    bits, kind = (16, np.uint32) if base + rounds * pairs <= 1 << 16 else (32, np.uint64)
-    shift, low = kind(bits), kind((1 << bits) - 1)
-    symbols = ids.astype(kind)
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
-    fresh = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = symbols[:-1] << shift | symbols[1:]
-        inside = np.sort(keys[~last[:-1]])
-        if not len(inside):
-            break
-        edges = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1])))
-        chosen = choose_pairs(inside[edges], np.diff(np.concatenate((edges, [len(inside)]))), least, pairs, bits)
+    fresh, thresholds = base, [t for t in FIRST if t > least]
+    while len(symbols) > 1:
+        bits, kind = (16, np.uint32) if fresh <= 1 << 16 else (32, np.uint64)
+        keys = symbols[:-1].astype(kind) << kind(bits) | symbols[1:]
+        usable = ~last[:-1]
+        same = np.flatnonzero((symbols[:-1] == symbols[1:]) & usable)
+        if len(same):
+            opens = np.concatenate(([True], np.diff(same) > 1))
+            first = same[opens][np.cumsum(opens) - 1]
+            usable[same[(same - first) % 2 == 1]] = False
+        inside = np.sort(keys[usable])
+        edges = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1]))) if len(inside) else np.zeros(0, np.int64)
+        bound = thresholds.pop(0) if thresholds else least
+        chosen = choose_pairs(inside[edges], np.diff(np.concatenate((edges, [len(inside)]))), bound, bits)
         if not chosen:
-            break
+            if bound == least:
+                break
+            continue
         known = np.array(chosen, kind)
-        first, second = np.zeros(fresh, bool), np.zeros(fresh, bool)
-        first[known >> shift] = True
-        second[known & low] = True
-        maybe = np.flatnonzero(first[symbols[:-1]] & second[symbols[1:]] & ~last[:-1])
+        left, right = (known >> kind(bits)).astype(np.uint32), (known & kind((1 << bits) - 1)).astype(np.uint32)
+        begins, ends = np.zeros(fresh, bool), np.zeros(fresh, bool)
+        begins[left], ends[right] = True, True
+        maybe = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]] & usable)
         order = np.argsort(known)
         ordered = known[order]
         at = np.minimum(np.searchsorted(ordered, keys[maybe]), len(ordered) - 1)
         hit = ordered[at] == keys[maybe]
         places = maybe[hit]
-        symbols[places] = (order[at[hit]] + fresh).astype(kind)
+        symbols[places] = (order[at[hit]] + fresh).astype(np.uint32)
         last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack((known >> shift, known & low), axis=1))
+        rules.append(np.stack((left, right), axis=1))
         fresh += len(known)
     ends = np.flatnonzero(last) + 1
     grammar = np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4")
     return symbols.astype("<u4"), np.diff(np.concatenate(([0], ends))).astype("<u4"), grammar
 
 
+def pack_bits(values: np.ndarray, bits: int) -> bytes:
+    """Each value in ``bits`` bits, the lowest first."""
+    spread = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(spread[:, :bits], bitorder="little").tobytes()
+
+
+def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
+    flat = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little", count=n * bits).reshape(n, bits)
+    wide = np.zeros((n, 32), np.uint8)
+    wide[:, :bits] = flat
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(n).astype(np.int64)
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for; rules come after those they use."""
     sizes = [0] * len(rules)
@@ -125,9 +142,10 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 def write_shard(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
     """The bytes of a shard."""
     symbols, per, rules = compress(ids, lengths, base)
-    wide = base + len(rules) > 1 << 16
-    body = MAGIC + struct.pack("<4I", len(lengths), len(rules), len(symbols), base) + rules.tobytes() + expansion_lengths(rules, base).tobytes()
-    body += per.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + symbols.astype("<u4" if wide else "<u2").tobytes()
+    sizes = expansion_lengths(rules, base)
+    bits, wide = int(max(base + len(rules), 2) - 1).bit_length(), 2 if sizes.max(initial=0) < 1 << 16 else 4
+    body = MAGIC + struct.pack("<6I", len(lengths), len(rules), len(symbols), base, bits, wide) + pack_bits(rules.ravel(), bits) + sizes.astype(f"<u{wide}").tobytes()
+    body += per.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + pack_bits(symbols, bits)
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -135,19 +153,18 @@ class Shard:
     """A shard's bytes, checked, for decoding."""
 
     def __init__(self, data: bytes):
-        if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+        if len(data) < 32 or data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("not a shard, or damaged")
-        docs, rules, symbols, self.base = struct.unpack("<4I", data[4:20])
-        at = 20
-        self.rules = np.frombuffer(data, "<u4", 2 * rules, at).reshape(-1, 2)
-        at += 8 * rules
-        self.sizes = np.frombuffer(data, "<u4", rules, at)
-        at += 4 * rules
+        docs, rules, symbols, self.base, bits, wide = struct.unpack("<6I", data[4:28])
+        at, after = 28, 28 + (2 * rules * bits + 7) // 8
+        self.rules = unpack_bits(data[at:after], 2 * rules, bits).reshape(-1, 2)
+        self.sizes = np.frombuffer(data, f"<u{wide}", rules, after).astype("<u4")
+        at = after + wide * rules
         self.per = np.frombuffer(data, "<u4", docs, at)
         at += 4 * docs
         self.lengths = np.frombuffer(data, "<u4", docs, at)
         at += 4 * docs
-        self.symbols = np.frombuffer(data, "<u4" if self.base + rules > 1 << 16 else "<u2", symbols, at).astype(np.int64)
+        self.symbols = unpack_bits(data[at:-4], symbols, bits)
         self.begins = np.concatenate(([0], np.cumsum(self.per.astype(np.int64))))
         self._flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
@@ -220,33 +237,64 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # Equal ids are ordered, and dealt out, by their texts; rows equal in both, in any order, by a number drawn with a fixed seed.
+    keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn("split", F.rand(7))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tie", "split").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return materialise(ordered.mapInArrow(write, "task long, shard long, tokens long, doc_ids array<long>, payload binary"), "token-files")
 
 
-def read_token_files(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) decoded from the shards; start counts the ids of all documents before."""
+def _starts(shards: DataFrame) -> DataFrame:
+    """(task, shard, start): the ids of all shards before."""
     held = materialise(shards.select("task", "shard", "tokens"), "token-starts")
     inside = W.partitionBy("task").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     tasks = held.groupBy("task").agg(F.sum("tokens").alias("task_tokens"))
     tasks = tasks.select("task", F.coalesce(F.sum("task_tokens").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("tasks_before"))
     starts = held.join(tasks, "task").select("task", "shard", (F.col("tasks_before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("start"))
-    starts = F.broadcast(starts) if held.count() <= BROADCAST_SHARDS else starts
+    return F.broadcast(starts) if held.count() <= BROADCAST_SHARDS else starts
+
+
+def read_token_files(shards: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document, each decoded by itself; start counts the ids of all documents before."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row["payload"])
-                raw = shard.all_ids().tobytes()
-                lengths = shard.lengths.astype(np.int64)
-                ends = np.cumsum(lengths)
-                for k in range(0, len(lengths), 1000):
-                    a, b = (ends - lengths)[k : k + 1000], ends[k : k + 1000]
-                    ids = [raw[4 * s : 4 * e] for s, e in zip(a.tolist(), b.tolist(), strict=True)]
-                    arrays = [pa.array(row["doc_ids"][k : k + 1000], pa.int64()), pa.array(a + row["start"]), pa.array(b - a), pa.array(ids, pa.binary())]
+            for keys, start, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard = Shard(payload)
+                sizes = shard.lengths.astype(np.int64)
+                begins = np.cumsum(sizes) - sizes + start
+                for k in range(0, len(sizes), 1000):
+                    ids = [shard.document(i).tobytes() for i in range(k, min(k + 1000, len(sizes)))]
+                    arrays = [pa.array(keys[k : k + 1000], pa.int64()), pa.array(begins[k : k + 1000]), pa.array(sizes[k : k + 1000]), pa.array(ids, pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.join(starts, ["task", "shard"]).select("doc_ids", "start", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    held = shards.join(_starts(shards), ["task", "shard"]).select("doc_ids", "start", "payload")
+    return held.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_ranges(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, first, stop, ids) for rows (doc_id, first, stop) of ``wanted``: ids ``first`` to ``stop`` of the documents.
+
+    Only the symbols that hold a range are expanded. A shard's bytes travel once, followed by the ranges asked of it.
+    """
+    places = shards.select("task", "shard", F.posexplode("doc_ids").alias("place", "doc_id"))
+    asked = wanted.select("doc_id", "first", "stop").join(places, "doc_id").withColumn("payload", F.lit(None).cast("binary"))
+    files = shards.select("task", "shard", "payload").join(asked.select("task", "shard").distinct(), ["task", "shard"], "left_semi")
+    both = asked.unionByName(files, allowMissingColumns=True).repartition("task", "shard").sortWithinPartitions("task", "shard", F.col("payload").isNull())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for part in slices(batches, 4):
+            out: list[tuple] = []
+            for key, first, stop, place, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if payload is not None:
+                    shard = Shard(payload)
+                else:
+                    out.append((key, first, stop, shard.document(place, first, stop).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["doc_id", "first", "stop", "ids"])
+
+    columns = [F.col(c).cast("long") for c in ("doc_id", "first", "stop", "place")]
+    return both.select(*columns, "payload").mapInArrow(read, "doc_id long, first long, stop long, ids binary")
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:

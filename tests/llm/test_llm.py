@@ -67,7 +67,7 @@ def odd_strings(n=4000):
 def test_cached_encoder_equals_library(texts):
     asked = odd_strings() + list(texts.values())
     exact = tokenizer("word_bpe_49k.json")
-    for most in (1_000_000, 50):  # with room, and with a full memory
+    for most in (1 << 30, 10_000):  # with room, and with a full memory
         encoder = _tokens.CachedEncoder(_tokens.vocabulary_path("word_bpe_49k.json"), most)
         got = [np.frombuffer(x, "<u4").tolist() for k in range(0, len(asked), 500) for x in encoder.encode(asked[k : k + 500])]
         assert got == [e.ids for e in exact.encode_batch(asked, add_special_tokens=False)]
@@ -321,7 +321,56 @@ def test_token_files_round_trip(spark, sf_dir, texts):
         at += len(ids)
     assert [r.doc_id for r in sorted(token_files.read_token_files(shards).collect(), key=lambda r: r.start)] == sorted(texts)
     sizes = shards.agg(F.sum(F.length("payload")), F.sum("tokens")).first()
-    assert sizes[0] < 2 * sizes[1]
+    assert sizes[0] < 2 * sizes[1]  # bytes a token; shards of a million ids take 1.2
+
+
+def test_token_query_equals_library(spark, sf_dir, texts):
+    exact, at, want = tokenizer("word_bpe_49k.json"), 0, set()
+    for key in sorted(texts):
+        ids = np.array([*exact.encode(texts[key], add_special_tokens=False).ids, 1], "<u4")
+        want.add((key, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert {tuple(r) for r in token_files.op4_token_files(spark, sf_dir).collect()} == want
+
+
+def test_id_ranges_of_chosen_documents(spark, sf_dir):
+    shards = token_files.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), shard_tokens=20_000)
+    whole = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in token_files.read_token_files(shards).collect()}
+    asked = [(k, a, a + n) for k in sorted(whole)[::3] for a, n in ((0, 5), (7, 100), (50, 0), (3, 10**6))] + [(-1, 0, 5)]
+    got = {(r.doc_id, r.first, r.stop): np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_ranges(shards, spark.createDataFrame(asked, "doc_id long, first long, stop long")).collect()}
+    assert got == {(k, a, b): whole[k][a:b].tolist() for k, a, b in asked if k in whole}
+    assert token_files.read_ranges(shards, spark.createDataFrame([], "doc_id long, first long, stop long")).count() == 0
+
+
+def test_rules_go_on_until_no_pair_is_worth_one():
+    rnd = random.Random(4)
+    docs = [[rnd.choice((5, 5, 5, 6, 7)) for _ in range(rnd.randrange(1, 40))] + [1] for _ in range(300)] + [[9] * 1000, [9]]
+    ids, lengths = np.array([x for d in docs for x in d], "<u4"), np.array([len(d) for d in docs])
+    for base in (10, 49408, 1 << 17):
+        symbols, per, rules = token_files.compress(ids, lengths, base)
+        pairs, at = Counter(), 0
+        for n in per.tolist():
+            row, k = symbols[at : at + n].tolist(), 0
+            at += n
+            while k + 1 < len(row):  # a run of equal ids counts every second place
+                pairs[row[k], row[k + 1]] += 1
+                k += 2 if k + 2 < len(row) and row[k] == row[k + 1] == row[k + 2] else 1
+        assert max(pairs.values()) < token_files.LEAST and (rules[:, 0] == rules[:, 1]).any()
+        shard = token_files.Shard(token_files.write_shard(ids, lengths, base))
+        assert [shard.document(i).tolist() for i in range(len(docs))] == docs
+    for bits in (1, 7, 16, 17, 32):
+        values = np.array([rnd.randrange(1 << bits) for _ in range(99)], np.uint32)
+        assert (token_files.unpack_bits(token_files.pack_bits(values, bits), 99, bits) == values).all()
+
+
+def test_encoders_on_every_code_point():
+    """Each code point up to U+1FFFF in four contexts, by both shortcuts and by the library."""
+    points = [chr(c) for c in range(1 << 17) if not 0xD800 <= c < 0xE000]
+    asked = [f.replace("*", "".join(points[k : k + 64])) if "*" in f else f.join(points[k : k + 64]) for k in range(0, len(points), 64) for f in ("*", " ", "a", " b.")]
+    paths = _tokens.vocabulary_path("byte_bpe_50k.json"), _tokens.vocabulary_path("byte_bpe_50k.tiktoken")
+    assert [x.tolist() for x in _tokens.byte_encoder(*paths).encode(asked)] == [e.ids for e in tokenizer("byte_bpe_50k.json").encode_batch(asked, add_special_tokens=False)]
+    cached = _tokens.encoder(_tokens.vocabulary_path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in cached.encode(asked)] == [e.ids for e in tokenizer("word_bpe_49k.json").encode_batch(asked, add_special_tokens=False)]
 
 
 def test_shard_random_access_and_damage():
@@ -343,9 +392,11 @@ def test_shard_random_access_and_damage():
 
 
 def test_token_files_order_of_odd_rows(spark, odd):
-    got = sorted(token_files.read_token_files(token_files.write_token_files(odd, partitions=3)).collect(), key=lambda r: r.start)
+    runs = [sorted(token_files.read_token_files(token_files.write_token_files(odd.repartition(k), partitions=3)).collect(), key=lambda r: r.start) for k in (2, 5)]
+    got = runs[0]
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in odd.collect()), key=lambda x: -1 if x is None else x)
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
+    assert runs[0] == runs[1]  # equal ids too have one order
 
 
 # 5 -------------------------------------------------------------------------------------------------
