@@ -3,16 +3,19 @@
 Patterns find assignments, access keys and hexadecimal runs. Beside them, runs
 of key characters are scored by the log-likelihood ratio of two first-order
 character models, one of random strings, one of ordinary identifiers, both
-trained from labelled samples; a run whose mean ratio per character passes the
+trained from labelled samples; a run whose mean ratio per character reaches the
 threshold is a span of kind ``markov`` unless a pattern's span overlaps it.
+Every span has its ratio, so the models judge the patterns' values too.
 
 Texts are scanned in Arrow slices: classes of bytes, run lengths, ratios and
 code point offsets are numpy operations over the slice; only texts that hold a
 keyword meet the assignment pattern.
 
-Labelled samples: random strings are drawn with a fixed seed from the usual key
+Labelled samples: random strings are drawn with fixed seeds from the usual key
 alphabets; together with the patterns' values in a bounded sample of documents
-(``SAMPLE`` of them) they are labelled 1, the other words of that sample 0.
+(``SAMPLE`` of them) they are labelled 1, the other words of that sample 0. A
+fifth of the sample and other random strings are held apart: on them the
+threshold is fitted, and recall and false rate are measured.
 
 Defined cases: a null or empty text has no spans (the digest is that of the
 empty string); equal texts have equal spans; an empty table gives an empty
@@ -24,14 +27,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_arrow, slices, text_of
+from ._shared import documents, map_arrow, materialise, slices, text_of
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 #: Every assignment holds one of these, lower-cased.
@@ -43,8 +46,10 @@ SAMPLE = 2000
 #: The chosen documents meet in so many tasks, after a scan by all.
 COUNT_TASKS = 8
 RANDOM_STRINGS = 4000
-#: Mean log-likelihood ratio per character, in nats, from which a run counts as random.
-RATIO = 0.5
+#: Ordinary words of this length and more, held apart, test the threshold; the share found falsely weighs so many times the share missed.
+WORD, FALSE_WEIGHT = 8, 10
+#: Cells of the grid of mean ratios from -4 to 4 nats on which the threshold is fitted.
+CELLS = 1600
 
 _BYTES = np.arange(256)
 
@@ -125,7 +130,7 @@ def _places(data: bytes, word: bytes) -> Iterator[int]:
 
 
 class Models:
-    """Log-likelihood ratios of the two character models, by pair of states."""
+    """Log-likelihood ratios of the two character models, by pair of states, and the threshold of the mean ratio."""
 
     def __init__(self, random_counts: np.ndarray, ordinary_counts: np.ndarray):
         def logs(counts: np.ndarray) -> np.ndarray:
@@ -134,6 +139,7 @@ class Models:
 
         self.ratio = np.zeros((STATES, STATES))
         self.ratio[:, 1:] = logs(random_counts) - logs(ordinary_counts)
+        self.threshold = self.recall_random = self.recall_values = self.false_rate = 0.0
 
     def means(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The mean ratio of each run."""
@@ -144,6 +150,25 @@ class Models:
         total = gains[ends] - gains[starts] - first + self.ratio[0, states[starts]]
         return total / (ends - starts)
 
+    def fit_threshold(self, random_: np.ndarray, values: np.ndarray, ordinary: np.ndarray) -> None:
+        """From counts by cell of samples held apart: the least weighted sum of the shares missed and found falsely.
+
+        Keys nobody labelled count as ordinary words; few as they are, they
+        raise the false share of all thresholds below them alike.
+        """
+        below = lambda n: np.concatenate(([0], np.cumsum(n))) / max(1, n.sum())
+        missed, wrong = below(random_ + values), 1 - below(ordinary) if ordinary.sum() else np.zeros(CELLS + 1)
+        cost = missed + FALSE_WEIGHT * wrong
+        best = np.flatnonzero(cost <= cost.min() + 1e-12)
+        at = int(best[len(best) // 2])
+        self.threshold = at * 8 / CELLS - 4
+        self.recall_random, self.recall_values, self.false_rate = float(1 - below(random_)[at]), float(1 - below(values)[at]), float(wrong[at])
+
+
+def cells(means: np.ndarray) -> np.ndarray:
+    """How many mean ratios lie in each cell of the grid."""
+    return np.bincount(np.clip(np.floor((means + 4) * CELLS / 8).astype(np.int64), 0, CELLS - 1), minlength=CELLS)
+
 
 def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The texts joined by line feeds, as bytes and array, and where each begins."""
@@ -152,37 +177,56 @@ def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return joined, np.frombuffer(joined, np.uint8), np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
 
 
-def labelled_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """(2, states, states) transition counts of words labelled ordinary (0) and random (1) in ``docs``."""
+def labelled(joined: bytes, data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts and ends of the patterns' values, starts and ends of other runs of key characters) as two rows each."""
+    covered, values = np.zeros(len(data) + 1, bool), []
+    for s, e, _, a, b in base_spans(joined, data):
+        covered[s:e] = True
+        values.append((a, b))
+    return np.array(values, np.int64).reshape(-1, 2).T, np.array(runs(TOKEN[data] & ~covered[:-1], least))
+
+
+def _summed(docs: DataFrame, measure: Callable, shape: tuple[int, ...], text: str) -> np.ndarray:
+    """The sum of ``measure(joined, data)`` over slices of the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, STATES, STATES))
+        total = np.zeros(shape)
         for part in slices(batches, 0, 2 << 20):
             joined, data, _ = _joined(part.column(0).cast(pa.binary()).to_pylist())
-            covered = np.zeros(len(data) + 1, bool)
-            values = []
-            for s, e, _, a, b in base_spans(joined, data):
-                covered[s:e] = True
-                values.append(joined[a:b])
-            starts, ends = runs(TOKEN[data] & ~covered[:-1], 5)
-            total[0] += transitions([joined[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-            total[1] += transitions(values)
+            if len(data):
+                total += measure(joined, data)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
 
     partial = map_arrow(docs.select(text_of(text).alias("text")).repartition(COUNT_TASKS), count, "counts binary")
-    return sum((np.frombuffer(r["counts"], float).reshape(2, STATES, STATES) for r in partial.collect()), np.zeros((2, STATES, STATES)))
+    return sum((np.frombuffer(r["counts"], float).reshape(shape) for r in partial.collect()), np.zeros(shape))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
-    """Models from the random strings and about ``sample`` documents chosen by a hash of their ids."""
+def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Models:
+    """Models from the random strings and about ``sample`` documents chosen by a hash of their ids, the threshold from a fifth of these."""
     every = max(1, docs.count() // sample)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counts = labelled_counts(chosen)
-    return Models(transitions(random_strings()) + counts[1], counts[0])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(5 * every))
+    chosen = materialise(docs.where(place % every == 0).select(F.col(text).alias("text"), (place == 0).alias("apart")), "secrets-sample")
+
+    def steps(joined: bytes, data: np.ndarray) -> np.ndarray:
+        values, others = labelled(joined, data, 5)
+        return np.stack([transitions([joined[s:e] for s, e in zip(*x.tolist(), strict=True)]) for x in (others, values)])
+
+    counts = _summed(chosen.where("not apart"), steps, (2, STATES, STATES), "text")
+    models = Models(transitions(random_strings()) + counts[1], counts[0])
+
+    def placed(joined: bytes, data: np.ndarray) -> np.ndarray:
+        values, others = labelled(joined, data, WORD)
+        return np.stack([cells(models.means(data, *x)) for x in (others, values)])
+
+    apart = _summed(chosen.where("apart"), placed, (2, CELLS), "text")
+    _, data, begins = _joined(fresh := random_strings(seed=12))
+    models.fit_threshold(cells(models.means(data, begins, begins + [len(x) for x in fresh])), apart[1], apart[0])
+    return models
 
 
-def scan(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", ratio: float = RATIO) -> DataFrame:
-    """(key, spans): for each text an array of (kind, start, end, value_start, value_end), in code points, end exclusive."""
+def scan(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", threshold: float | None = None) -> DataFrame:
+    """(key, spans): for each text an array of (kind, start, end, value_start, value_end, ratio), in code points, end exclusive."""
+    least = models.threshold if threshold is None else threshold
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 4 << 20):
@@ -192,7 +236,7 @@ def scan(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text
             found = base_spans(joined, data)
             starts, ends = runs(TOKEN[data], LEAST["markov"])
             if len(starts):
-                good = models.means(data, starts, ends) >= ratio
+                good = models.means(data, starts, ends) >= least
                 covered = np.zeros(len(data) + 1, np.int32)
                 for s, e, *_ in found:
                     covered[s] += 1
@@ -203,20 +247,22 @@ def scan(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text
             spans: list[list] = [[] for _ in texts]
             if found:
                 owner = np.searchsorted(begins, [f[0] for f in found], side="right") - 1
-                for i, (s, e, kind, a, b) in zip(owner.tolist(), found, strict=True):
+                ratios = np.round(models.means(data, np.array([f[3] for f in found]), np.array([f[4] for f in found])), 9).tolist()
+                for i, (s, e, kind, a, b), ratio in zip(owner.tolist(), found, ratios, strict=True):
                     zero = int(points[begins[i]])
-                    spans[i].append((int(points[s]) - zero, KINDS.index(kind), int(points[e]) - zero, int(points[a]) - zero, int(points[b]) - zero))
-            rows = [[{"kind": KINDS[k], "start": s, "end": e, "value_start": a, "value_end": b} for s, k, e, a, b in sorted(x)] for x in spans]
+                    spans[i].append((int(points[s]) - zero, KINDS.index(kind), int(points[e]) - zero, int(points[a]) - zero, int(points[b]) - zero, ratio))
+            rows = [[{"kind": KINDS[k], "start": s, "end": e, "value_start": a, "value_end": b, "ratio": r} for s, k, e, a, b, r in sorted(x)] for x in spans]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, spans_type)], names=[key, "spans"])
 
-    spans_type = pa.list_(pa.struct([("kind", pa.string()), *[(n, pa.int64()) for n in ("start", "end", "value_start", "value_end")]]))
+    spans_type = pa.list_(pa.struct([("kind", pa.string()), *[(n, pa.int64()) for n in ("start", "end", "value_start", "value_end")], ("ratio", pa.float64())]))
     kind = docs.schema[key].dataType.simpleString()
-    fields = "kind:string,start:bigint,end:bigint,value_start:bigint,value_end:bigint"
+    fields = "kind:string,start:bigint,end:bigint,value_start:bigint,value_end:bigint,ratio:double"
     return map_arrow(docs.select(key, text_of(text).alias("text")), find, f"`{key}` {kind}, spans array<struct<{fields}>>")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir), train(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    models = train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(documents(spark, sf_dir), models)
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -233,6 +279,7 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         count("markov"),
+        F.size(F.filter(base, lambda s: s["ratio"] >= models.threshold)).cast("long").alias("n_base_random"),
         listed(base, "value_start", "value_end").alias("value_spans"),
     )
 

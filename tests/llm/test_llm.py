@@ -422,8 +422,9 @@ def test_patterns_on_made_texts(spark):
 
 
 def test_markov_models_tell_random_from_ordinary(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     model = secrets.train(docs)
+    assert model.recall_random > 0.95 and model.false_rate < 0.001 and model.recall_values > 0.8
     fresh = secrets.random_strings(500, seed=99)
     plain = [w.encode() for r in docs.limit(100).collect() for w in re.findall(r"[a-z]{8,}", r.text)][:2000]
     plain += [b"getUserAccountSettings", b"max_connection_timeout", b"application/json/content", b"src/components/header"]
@@ -431,12 +432,36 @@ def test_markov_models_tell_random_from_ordinary(spark, sf_dir):
     for strings in (fresh, plain):
         data = np.frombuffer(b"\n".join(strings), np.uint8)
         ends = np.cumsum([len(s) + 1 for s in strings]) - 1
-        rate.append((model.means(data, ends - [len(s) for s in strings], ends) >= secrets.RATIO).mean())
+        rate.append((model.means(data, ends - [len(s) for s in strings], ends) >= model.threshold).mean())
     assert rate[0] > 0.95 and rate[1] < 0.01
     found = secrets.scan(spark.createDataFrame([(1, "see Zx9Qv7Lk2Wp8Rt5Yb3Nc here and onestherorshinandthere")], "doc_id long, text string"), model).first().spans
     assert [(s.kind, s.start, s.end) for s in found] == [("markov", 4, 24)]
 
 
+def test_unlabelled_keys_are_found_by_the_models_only(spark, sf_dir, tmp_path):
+    """Random keys set between words, no keyword beside them: brute force over runs with the same models, and all keys found."""
+    keys = [k.decode() for k in secrets.random_strings(300, seed=5) if b"AKIA" not in k and not re.search(rb"[0-9a-f]{16}", k)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r.text.split() for r in docs.select("text").collect()]
+    made = [(i, " ".join([*texts[i % len(texts)][:50], "é", k, *texts[i % len(texts)][50:]])) for i, k in enumerate(keys)]
+    held = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string").withColumn("doc_id", F.col("doc_id") + 10**6))
+    held.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op5_secrets(spark, str(tmp_path)).where("doc_id >= 1000000").collect()}
+    hits = sum(any(r.startswith("markov") and made[i][1][int(r.split(":")[1]) : int(r.split(":")[2])] == keys[i] for r in got[10**6 + i].spans.split(",")) for i in range(len(keys)))
+    assert hits > 0.95 * len(keys) and sum(r.n_markov for r in got.values()) >= hits
+    model = secrets.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    for i, text in made[:40]:
+        data, taken = text.encode(), [(s, e) for s, e in ((m.start(), m.end()) for m in re.finditer(rb"[a-zA-Z0-9+/_=-]{16,}", text.encode()))]
+        base = [(len(text[:a].encode()), len(text[:b].encode())) for a, b in (map(int, x.split(":")[1:]) for x in secrets.brute_force(text)[2].split(",") if x)]
+        want = set()
+        for s, e in taken:
+            states = [0, *(int(secrets.STATE[c]) for c in data[s:e])]
+            mean = sum(model.ratio[a, b] for a, b in zip(states[:-1], states[1:], strict=True)) / (e - s)
+            if mean >= model.threshold and not any(s < y and x < e for x, y in base):
+                want.add((len(data[:s].decode()), len(data[:e].decode())))
+        assert want == {tuple(map(int, x.split(":")[1:])) for x in got[10**6 + i].spans.split(",") if x.startswith("markov")}
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
