@@ -1,5 +1,6 @@
 """The ten operators and the pipeline: DuckDB where SQL can say it, brute force, round trips and held-out accuracy elsewhere."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -632,8 +633,16 @@ def test_mixture_meets_its_targets(spark, sf_dir):
 
 @pytest.mark.parametrize("sizes", [[1, 1000, 1], [10, 10, 10], [0, 5], [7], [1, 2, 300, 4, 5, 600]])
 def test_targets_equal_repeated_sharing(spark, sizes):
+    target = shared_targets(sizes)
+    df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(target)
+
+
+def shared_targets(sizes):
+    """Targets by sharing again and again, sources weighing 1, 2, 3, repeating."""
     weights = [1 + i % 3 for i in range(len(sizes))]
-    total, target, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    total, open_ = sum(sizes), set(range(len(sizes)))
     while True:
         left = total - sum(3 * sizes[i] for i in range(len(sizes)) if i not in open_)
         share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
@@ -641,10 +650,7 @@ def test_targets_equal_repeated_sharing(spark, sizes):
         if not full:
             break
         open_ -= full
-    target = [share[i] if i in open_ else 3.0 * sizes[i] for i in range(len(sizes))]
-    df = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
-    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
-    assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(target)
+    return [share[i] if i in open_ else 3.0 * sizes[i] for i in range(len(sizes))]
 
 
 def test_mixed_documents_repeat_and_drop(spark, odd):
@@ -654,6 +660,36 @@ def test_mixed_documents_repeat_and_drop(spark, odd):
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in plan if r.taken > 0}
 
 
+def test_equal_and_null_ids_meet_their_targets(spark):
+    """Equal rows, null ids and one id for all: each source's words come within one document of its target."""
+    rows = [(None, "a b c", "s", i) for i in range(300)] + [(7, "a b c d", "s", i) for i in range(50)] + [(7, f"w{i} x", "t", i) for i in range(40)]
+    rows += [(None, f"u{i} v w", None, i) for i in range(60)] + [(8, "", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note long").repartition(5)
+    plan = mixing.mix_plan(docs).collect()
+    assert len(plan) == len(rows)
+    planned, target, size = Counter(), {}, Counter()
+    for r in plan:
+        planned[r.source] += r.taken
+        size[r.source] += r.size
+        target[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(planned[s] - t) <= 0.5 for s, t in target.items()) and sum(target.values()) == pytest.approx(sum(size.values()))
+    mixed, times = Counter(), Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r.source] += len(r.text.split())
+        times[r.doc_id, r.text, r.source, r.note] += 1
+    assert all(t - 0.5 <= mixed[s] < t + 4 for s, t in target.items()) and max(times.values()) <= 3
+    assert Counter(map(tuple, plan)) == Counter(map(tuple, mixing.mix_plan(docs.repartition(2)).collect()))
+
+
+def test_many_sources_are_ordered_in_ranges(spark, monkeypatch):
+    """More sources than one task may order: the same targets as with few parts."""
+    sizes = spark.range(500).selectExpr("if(id = 3, null, concat('h', id * 7919 % 503)) AS source", "id * id % 97 AS source_size")
+    want = {tuple(r) for r in mixing.source_targets(sizes).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert {tuple(r) for r in mixing.source_targets(sizes).collect()} == want and len(want) == 500
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
@@ -717,9 +753,17 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
         elif name == "near_copies":
             assert sorted(r.doc_id for r in rows) == sorted(set(brute_classes(shingle_sets(before))[1].values()))
         elif name == "mixture":
-            plan = {r.doc_id: r for r in mixing.mix_plan(held).collect()}
-            copies = Counter(r.doc_id for r in rows)
-            assert all(-(-p.taken // max(p.size, 1)) == copies[k] for k, p in plan.items())
+            copies, sources = Counter(r.doc_id for r in rows), defaultdict(list)
+            for r in held.collect():
+                key = hashlib.md5(f"{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest()
+                sources[r.source].append((key, r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))))
+            target = dict(zip(sorted(sources), shared_targets([sum(n for *_, n in sources[s]) for s in sorted(sources)]), strict=True))
+            for s, held_by in sources.items():
+                budget, whole = int(target[s] + 0.5), sum(n for *_, n in held_by)
+                epochs, rest = divmod(budget, whole)
+                for _, k, n in sorted(held_by):
+                    assert copies[k] == (epochs + (rest > 0) if n else 0)
+                    rest -= n
         else:
             times = Counter(r.doc_id for r in held.select("doc_id").collect())
             assert Counter(r.doc_id for r in rows if r.start == 0) == times
