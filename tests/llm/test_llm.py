@@ -600,9 +600,41 @@ def test_png_filters_and_damage():
         prior = line
     assert (media._unfilter(np.array(lines, np.uint8), 3) == rows).all()
     data = media.encode_png(smooth)
-    for bad in (data[:40] + b"\0" + data[41:], data[:-5], b"GIF" + data[3:]):
+    header, body = data[16:29], data[41:-16]
+    built = lambda h, z: media.SIGNATURE + media._chunk(b"IHDR", h) + media._chunk(b"IDAT", z) + media._chunk(b"IEND", b"")
+    assert built(header, body) == data
+    bad = [data[:40] + b"\0" + data[41:], data[:-5], b"GIF" + data[3:], b"", built(header[:5], body), built(header, body[:-9]), built(header, b"junk"), built(header, zlib.compress(bytes(10**6)))]
+    bad += [built(b"\x7f\xff\xff\xff" * 2 + header[8:], body), built(header, zlib.compress(b"\x09" * 193 * 20))]
+    for one in bad:
         with pytest.raises(ValueError):
-            media.decode_png(bad)
+            media.decode_png(one)
+
+
+def test_damaged_pictures_are_rows_with_a_reason(spark):
+    good = media.encode_png(media.padded(b"some text"))
+    rows = [(1, 9, good), (2, 9, good[:-3]), (3, 9, None), (4, 9, b"")]
+    got = {r.doc_id: r for r in media.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].damage is None and bytes(got[1].payload) == media.padded(b"some text")
+    assert all(got[k].damage and got[k].payload is None and got[k].feature is None for k in (2, 3, 4))
+
+
+@pytest.mark.parametrize("height", [1, 7, 32, 45, 300])
+def test_cosine_hash_equals_its_definition(height):
+    picture = np.random.default_rng(height).integers(0, 256, (height, 64, 3)).astype(np.uint8)
+    grey = [[sum(map(int, p)) / 3 for p in row] for row in picture]
+
+    def mean(a, b, c, d):  # over rows a to b and columns c to d, in parts
+        total = 0.0
+        for y in range(int(a), min(height, int(np.ceil(b)))):
+            for x in range(int(c), int(np.ceil(d))):
+                total += grey[y][x] * (min(b, y + 1) - max(a, y)) * (min(d, x + 1) - max(c, x))
+        return total / ((b - a) * (d - c))
+
+    small = [[mean(i * height / 32, (i + 1) * height / 32, 2 * j, 2 * j + 2) for j in range(32)] for i in range(32)]
+    cos = lambda k, i: np.cos(np.pi * k * (2 * i + 1) / 64)
+    low = [round(sum(small[i][j] * cos(u, i) * cos(v, j) for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = np.median(low[1:])
+    assert media.cosine_hash(picture) == f"{int(''.join(str(int(x > middle)) for x in low), 2):016x}"
 
 
 def test_cosine_hash_is_stable_under_small_changes():
