@@ -142,7 +142,7 @@ def rebuilt(pairs: DataFrame, steps: DataFrame, key: str = "pair_id") -> DataFra
     """(key, content): the steps applied to the destinations, in order."""
     piece = F.when(F.col("op") == "copy", F.substring(F.col("dest"), (F.col("dest_offset") + 1).cast("int"), F.col("length").cast("int"))).otherwise(F.col("bytes"))
     parts = steps.join(pairs.select(key, "dest"), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", piece.alias("piece")))).alias("parts"))
-    return parts.select(key, F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["piece"])).alias("content"))
+    return parts.select(key, F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["piece"])), "")).alias("content"))
 
 
 def block_overlap(pairs: DataFrame, block: int, key: str = "pair_id") -> DataFrame:

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.audit_files import fresh_folder
+
 BLOOM_SEEDS = (17, 42)
+#: A filter up to this size is sent to all tasks.
+BROADCAST_BYTES = 32 << 20
 
 
 def bulk_stats(locations: DataFrame, key: str = "content_id") -> DataFrame:
@@ -42,10 +46,10 @@ def without_chunk(probe: DataFrame, index: DataFrame, key: str = "content_id") -
 
 
 def claims(arrivals: DataFrame, index: DataFrame, key: str = "content_id", order: tuple[str, ...] = ("arrival",)) -> DataFrame:
-    """Arrivals with ``claimed``: the first of a chunk that the index lacks."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1
-    known = index.select(F.col(key).alias("__known")).distinct()
-    return arrivals.withColumn("__first", first).join(known, F.col(key) == F.col("__known"), "left").withColumn("claimed", F.col("__first") & F.col("__known").isNull()).drop("__first", "__known")
+    """Arrivals with ``claimed``: the first of a chunk that the index lacks; ``order`` tells all arrivals of a chunk apart."""
+    first = arrivals.groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
+    fresh = first.join(index.select(key).distinct(), key, "left_anti")
+    return arrivals.join(fresh, key, "left").withColumn("claimed", F.struct(*order).eqNullSafe(F.col("__first"))).drop("__first")
 
 
 def files_with_chunk(locations: DataFrame) -> DataFrame:
@@ -71,11 +75,20 @@ def merged_universe(maps: DataFrame) -> DataFrame:
     Registration order is (map_id, path).
     """
     first = maps.groupBy("path").agg(F.min("map_id").alias("first_map"))
-    block = W.orderBy("first_map").rowsBetween(W.unboundedPreceding, -1)
-    offsets = first.groupBy("first_map").agg(F.count("*").alias("n")).select("first_map", F.coalesce(F.sum("n").over(block), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(W.partitionBy("first_map").orderBy("path"))
-    numbered = first.withColumn("place", place).join(offsets, "first_map").select("path", (F.col("ahead") + F.col("place")).cast("long").alias("file_id"))
-    return maps.join(numbered, "path")
+    return maps.join(numbered(first, ["first_map", "path"], "file_id").select("path", "file_id"), "path")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their places, from 1, in ``order``: sorted in ranges, a range starts from the counts of those before it."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_folder(spark, "numbered")
+    rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    ahead = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # over one row a range
+    counts = held.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return held.join(F.broadcast(counts), "__part").withColumn(name, (F.col("__ahead") + place).cast("long")).drop("__part", "__ahead")
 
 
 def bitmap_ranks(bits: DataFrame) -> DataFrame:
@@ -110,16 +123,30 @@ def bloom_positions(value: Column, m: int, k: int) -> Column:
 
 
 def bloom_build(members: DataFrame, value: str, m: int, k: int) -> DataFrame:
-    """The set bits as rows (bit): a filter that stays distributed at any size."""
-    return members.select(F.explode(bloom_positions(F.col(value), m, k)).alias("bit")).distinct()
+    """The filter in words of 64 bits: (word, mask), words without a set bit left out."""
+    bits = members.select(F.explode(bloom_positions(F.col(value), m, k)).alias("bit"))
+    return bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("mask"))
 
 
-def bloom_probe(probes: DataFrame, value: str, bits: DataFrame, m: int, k: int) -> DataFrame:
-    """Distinct probe values that may be members: all their bits are set."""
-    asked = probes.select(value).distinct().select(value, F.explode(F.array_distinct(bloom_positions(F.col(value), m, k))).alias("bit"))
-    need = asked.groupBy(value).agg(F.count("*").alias("need"))
-    got = asked.join(bits, "bit").groupBy(value).agg(F.count("*").alias("got"))
-    return need.join(got, value).where("need = got").select(value)
+def bloom_probe(probes: DataFrame, value: str, words: DataFrame, m: int, k: int) -> DataFrame:
+    """Distinct probe values that may be members: all their bits are set.
+
+    A filter of at most ``BROADCAST_BYTES`` goes to all tasks as one array of
+    words; a larger one is joined by word.
+    """
+    asked = probes.select(value).distinct()
+    has = lambda mask, p: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))) != 0
+    if m // 8 <= BROADCAST_BYTES:
+        dense = words.sparkSession.range(m // 64 + 1).join(words, F.col("id") == F.col("word"), "left").select("id", F.coalesce("mask", F.lit(0)).alias("mask"))
+        bitmap = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "mask"))), lambda x: x["mask"]).alias("bitmap"))
+        asked, found = asked.withColumn("__at", bloom_positions(F.col(value), m, k)), F.lit(True)
+        for i in range(k):
+            p = F.col("__at")[i]
+            found = found & has(F.element_at(bitmap.scalar(), (F.floor(p / 64) + 1).cast("int")), p)
+        return asked.where(found).select(value)
+    bits = asked.select(value, F.explode(F.array_distinct(bloom_positions(F.col(value), m, k))).alias("bit")).withColumn("word", F.expr("bit div 64"))
+    seen = bits.join(words, "word", "left").groupBy(value).agg(F.bool_and(F.coalesce(has(F.col("mask"), F.col("bit")), F.lit(False))).alias("all"))
+    return seen.where("all").select(value)
 
 
 def bloom_rate(n: Column, m: int, k: int) -> Column:

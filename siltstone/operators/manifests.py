@@ -120,9 +120,9 @@ def validate_ranges(content: DataFrame, digests: DataFrame, size: int, key: str
 
 
 def partial_valid(manifest: DataFrame, now: DataFrame) -> DataFrame:
-    """Partial manifests against files: same path pair, version 1, equal size, times within a second (whole seconds)."""
+    """Partial manifests against files: same path pair, version 1, equal size, times at most one whole second apart."""
     rows = manifest.alias("m").join(now.alias("f"), "path")
-    good = (F.col("m.version") == 1) & (F.col("m.size") == F.col("f.size")) & (F.abs(F.floor(F.col("m.modified") - F.col("f.modified"))) <= 1)
+    good = (F.col("m.version") == 1) & (F.col("m.size") == F.col("f.size")) & (F.floor(F.abs(F.col("m.modified") - F.col("f.modified"))) <= 1)
     return rows.select("path", good.alias("valid"))
 
 

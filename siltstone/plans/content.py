@@ -58,10 +58,14 @@ SELECT a.path, coalesce(b.decision, 'full') AS decision, b.side AS ref_priority,
 """
 
 
+def _parts(spark, d, kept):
+    """All parts as chunk ids; those not ``kept`` under other ids."""
+    return spark.read.parquet(f"{d}/part.parquet").select(F.when(F.expr(kept), F.col("p_partkey")).otherwise(-1 - F.col("p_partkey")).alias("content_id"))
+
+
 def _claims(spark, d):
     loc = lineitem_index(spark, d).withColumn("arrival", F.col("file_id") * 10 + F.col("chunk_index"))
-    known = spark.read.parquet(f"{d}/part.parquet").where("p_size > 40").select(F.col("p_partkey").alias("content_id"))
-    return index.claims(loc.select("content_id", "arrival"), known).where("claimed").select("content_id", "arrival")
+    return index.claims(loc.select("content_id", "arrival"), _parts(spark, d, "p_size > 40"))
 
 
 def _universe(spark, d):
@@ -77,12 +81,14 @@ BITS_SQL = LINE_SQL + ", bits AS (SELECT file_id % 50 AS window_id, file_id * 10
 
 
 def _bloom(spark, d):
-    members = spark.read.parquet(f"{d}/part.parquet").where("p_size <= 25").select(F.col("p_partkey").alias("content_id"))
-    probes = lineitem_index(spark, d).select("content_id")
-    m, k = index.bloom_size(4000, 0.01)
-    found = index.bloom_probe(probes, "content_id", index.bloom_build(members, "content_id", m, k), m, k)
-    exact = members.withColumn("exact", F.lit(True))
-    return found.join(exact, "content_id", "left").where("exact").select("content_id")
+    """What a filter for a rate of 1 % says of all chunks: members missed, and whether the false finds are within twice the rate."""
+    members, probes = _parts(spark, d, "p_size <= 25"), lineitem_index(spark, d).select("content_id").distinct()
+    m, k = index.bloom_size(members.count(), 0.01)
+    found = index.bloom_probe(probes, "content_id", index.bloom_build(members, "content_id", m, k), m, k).withColumn("found", F.lit(True))
+    rows = probes.join(found, "content_id", "left").join(members.distinct().withColumn("member", F.lit(True)), "content_id", "left")
+    hit, member = F.coalesce("found", F.lit(False)), F.coalesce("member", F.lit(False))
+    others = F.count_if(~member)
+    return rows.agg(F.count_if(member).alias("members"), F.count_if(member & ~hit).alias("missed"), others.alias("others"), (F.count_if(hit & ~member) <= others * 0.02 + 3).alias("within_rate"))
 
 
 def _bloom_rates(spark, d):
@@ -172,10 +178,15 @@ def _upsert(spark, d):
     return manifests.upsert(rows)
 
 
+#: What a manifest's time differs by: forward and back, with fractions on both sides of a whole second.
+PARTIAL_STEPS = (1.5, -1.5, 0.5, -0.5, 2.0, -2.25, -1.0)
+
+
 def _partial(spark, d):
     from .files import dest_files, source_files
 
-    m = source_files(spark, d).select("path", F.when(F.col("n") % 4 == 0, 2).otherwise(1).alias("version"), "size", (F.col("modified") + F.when(F.col("n") % 3 == 0, 1.5).otherwise(0.5)).alias("modified"))
+    step = F.element_at(F.array(*map(F.lit, PARTIAL_STEPS)), (F.col("n") % len(PARTIAL_STEPS) + 1).cast("int"))
+    m = source_files(spark, d).select("path", F.when(F.col("n") % 4 == 0, 2).otherwise(1).alias("version"), "size", (F.col("modified") + step).alias("modified"))
     return manifests.partial_valid(m, dest_files(spark, d).select("path", "size", F.col("modified").cast("double").alias("modified")))
 
 
@@ -243,8 +254,8 @@ QUERIES = {
     "x3_adler32": lambda s, d: files(s, d).select("file_id", adler32("content").alias("adler32")),
     "j5_link_overlap": _link_overlap,
     "j7_signature_lookup": _lookup,
-    "j8_has_chunk": lambda s, d: index.with_chunk(lineitem_index(s, d), s.read.parquet(f"{d}/part.parquet").where("p_size < 5").select(F.col("p_partkey").alias("content_id"))).select("file_id", "chunk_index", "content_id"),
-    "j8_missing_chunk": lambda s, d: index.without_chunk(lineitem_index(s, d), s.read.parquet(f"{d}/part.parquet").where("p_size < 45").select(F.col("p_partkey").alias("content_id"))).select("file_id", "chunk_index", "content_id"),
+    "j8_has_chunk": lambda s, d: index.with_chunk(lineitem_index(s, d), _parts(s, d, "p_size < 5")).select("file_id", "chunk_index", "content_id"),
+    "j8_missing_chunk": lambda s, d: index.without_chunk(lineitem_index(s, d), _parts(s, d, "p_size < 45")).select("file_id", "chunk_index", "content_id"),
     "j9_claims": _claims,
     "j10_files_with_chunk": lambda s, d: index.files_with_chunk(lineitem_index(s, d)).groupBy("content_id").agg(F.count("*").alias("files"), F.min("file_id").alias("first_file")),
     "j10_chunks_of_file": lambda s, d: index.chunks_of_file(lineitem_index(s, d)),
@@ -294,6 +305,15 @@ ORACLES = {
 c AS (SELECT *, CASE WHEN size >= 1024 THEN greatest(0, (size + 255) // 256 - (n + 255) // 256) ELSE 0 END AS holes FROM f),
 b AS (SELECT *, CASE WHEN holes > 0 THEN size - (n + 255) // 256 * 256 ELSE 0 END AS saved FROM c)
 SELECT file_id, size::BIGINT AS size, holes::BIGINT AS holes, saved::BIGINT AS bytes_saved, (size - saved)::BIGINT AS physical, CASE WHEN size > 0 THEN round((size - saved) / size::DOUBLE, 9) ELSE 1.0 END AS density FROM b""",
+    "c7_containers": f"""WITH RECURSIVE {chunks_sql(1024)}, r AS (SELECT file_id // 64 AS p, file_id * 1000000 + chunk_index AS ordinal, length, row_number() OVER (PARTITION BY file_id // 64 ORDER BY file_id, chunk_index) AS k FROM ch),
+w AS (SELECT DISTINCT p, 0::BIGINT AS k, 0::BIGINT AS num, 16::BIGINT AS fill, 0::BIGINT AS ordinal, 0::BIGINT AS off, 0::BIGINT AS length FROM r
+ UNION ALL SELECT p, k, num, CASE WHEN base + length > 4096 THEN base ELSE base + length END, ordinal, CASE WHEN base + length > 4096 THEN -1 ELSE base END, length FROM
+  (SELECT r.p, r.k, r.ordinal, r.length, num + CASE WHEN fill + r.length > 4096 THEN 1 ELSE 0 END AS num, CASE WHEN fill + r.length > 4096 THEN 16 ELSE fill END AS base FROM w JOIN r ON r.p = w.p AND r.k = w.k + 1))
+SELECT 'pool' || p::VARCHAR AS pool, ordinal, 'container_' || lpad(num::VARCHAR, 6, '0') AS container_id, off AS "offset", length, CASE WHEN off < 0 THEN 'too large' END AS error FROM w WHERE k > 0""",
+    "x3_adler32": """WITH f AS (SELECT doc_id, encode(text) AS e, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, n, i, ('0x' || hex(e[i + 1:i + 1]))::INT AS v FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
+s AS (SELECT doc_id, sum(v) AS plain, sum((n - i) * v) AS weighted FROM b GROUP BY 1)
+SELECT f.doc_id AS file_id, ((n + coalesce(weighted, 0)) % 65521 * 65536 + (1 + coalesce(plain, 0)) % 65521)::BIGINT AS adler32 FROM f LEFT JOIN s ON f.doc_id = s.doc_id""",
     "c8_size_distribution": f"WITH {chunks_sql(1024)} SELECT count(*) AS chunks, min(length)::BIGINT AS min_length, max(length)::BIGINT AS max_length, round(avg(length), 6) AS avg_length FROM ch",
     "c8_u4_preservation": f"""WITH {chunks_sql(256)}, t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN text ELSE 'x' || text END AS text FROM documents),
 a AS (SELECT DISTINCT sha256(encode(text)[off + 1:off + 256]) AS cid FROM (SELECT text, unnest(range(0, octet_length(encode(text)), 256)) AS off FROM t)), o AS (SELECT DISTINCT content_id AS cid FROM ch)
@@ -305,13 +325,13 @@ m AS (SELECT sha256(encode(b)[off + 1:off + 128]) AS strong, min(off) AS o FROM
 SELECT s.file_id, s."offset", s.strong, m.o AS match_offset FROM s LEFT JOIN m ON s.strong = m.strong""",
     "j8_has_chunk": f"WITH {LINE_SQL} SELECT file_id, chunk_index, content_id FROM loc WHERE content_id IN (SELECT p_partkey FROM part WHERE p_size < 5)",
     "j8_missing_chunk": f"WITH {LINE_SQL} SELECT file_id, chunk_index, content_id FROM loc WHERE content_id NOT IN (SELECT p_partkey FROM part WHERE p_size < 45)",
-    "j9_claims": f"WITH {LINE_SQL} SELECT content_id, min(file_id * 10 + chunk_index) AS arrival FROM loc WHERE content_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1",
+    "j9_claims": f"WITH {LINE_SQL} SELECT content_id, file_id * 10 + chunk_index AS arrival, file_id * 10 + chunk_index = min(file_id * 10 + chunk_index) OVER (PARTITION BY content_id) AND content_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) AS claimed FROM loc",
     "j10_files_with_chunk": f"WITH {LINE_SQL} SELECT content_id, count(DISTINCT file_id) AS files, min(file_id) AS first_file FROM loc GROUP BY 1",
     "j10_chunks_of_file": f"WITH {LINE_SQL} SELECT file_id, count(DISTINCT content_id) AS chunks FROM loc GROUP BY 1",
     "u1_merged_universe": """WITH m AS (SELECT l_suppkey % 5 AS map_id, 'f' || l_orderkey::VARCHAR AS path FROM lineitem), f AS (SELECT path, min(map_id) AS fm, count(*) AS locations FROM m GROUP BY 1)
 SELECT path, row_number() OVER (ORDER BY fm, path) AS file_id, locations FROM f""",
     "u2_insert_set": f"WITH {LINE_SQL} SELECT content_id, star_id FROM loc UNION SELECT content_id, star_id + file_id % 2 FROM loc",
-    "r1_bloom": f"WITH {LINE_SQL} SELECT DISTINCT content_id FROM loc WHERE content_id IN (SELECT p_partkey FROM part WHERE p_size <= 25)",
+    "r1_bloom": f"WITH {LINE_SQL}, p AS (SELECT content_id, content_id IN (SELECT p_partkey FROM part WHERE p_size <= 25) AS member FROM (SELECT DISTINCT content_id FROM loc)) SELECT count(*) FILTER (member) AS members, 0::BIGINT AS missed, count(*) FILTER (NOT member) AS others, true AS within_rate FROM p",
     "r1_bloom_rate": "WITH p AS (SELECT ceil(-1000 * ln(0.01) / ln(2) ** 2)::INT AS m), q AS (SELECT m, greatest(1, ceil(m / 1000.0::DOUBLE * ln(2)))::INT AS k FROM p) SELECT n_nationkey * 100 AS n, round((1 - exp(-k * n_nationkey * 100 / m::DOUBLE)) ** k, 9) AS rate, m, k FROM nation, q",
     "r2_rank_select": f"WITH {BITS_SQL}, r AS (SELECT *, coalesce(sum(bit::INT) OVER (PARTITION BY window_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM bits) SELECT window_id, pos, bit, rank, CASE WHEN bit THEN rank END AS select_index FROM r",
     "r3_a12_window_progress": f"WITH {BITS_SQL} SELECT window_id, count(*) AS total, count(*) FILTER (bit) AS completed, count(*) FILTER (NOT bit) AS missing, min(pos) FILTER (NOT bit) AS next_missing, round((count(*) FILTER (bit)) / count(*)::DOUBLE * 100.0, 6) AS percent FROM bits GROUP BY 1",
@@ -351,5 +371,5 @@ SELECT x.pair_id, count(*) AS blocks, count(y.p) AS shared FROM x LEFT JOIN y ON
 from .files import FILES_SQL  # noqa: E402  shared listing
 
 ORACLES["p7_manifest_diff"] = f"WITH {FILES_SQL} SELECT coalesce(d.path, s.path) AS path, CASE WHEN d.path IS NULL THEN 'added' WHEN s.path IS NULL THEN 'removed' WHEN d.digest != s.digest THEN 'changed' ELSE 'same' END AS change FROM dst d FULL JOIN src s ON d.path = s.path"
-ORACLES["d6_partial_valid"] = f"""WITH {FILES_SQL} SELECT s.path, n % 4 != 0 AND s.size = d.size AND abs(floor(s.modified + CASE WHEN n % 3 = 0 THEN 1.5 ELSE 0.5 END - d.modified)) <= 1 AS valid FROM src s JOIN dst d ON s.path = d.path"""
+ORACLES["d6_partial_valid"] = f"""WITH {FILES_SQL} SELECT s.path, n % 4 != 0 AND s.size = d.size AND floor(abs(s.modified + ({list(PARTIAL_STEPS)})[(n % {len(PARTIAL_STEPS)} + 1)::INT] - d.modified)) <= 1 AS valid FROM src s JOIN dst d ON s.path = d.path"""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name in the folder all executors share, or in a local one where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "siltstone-files")
+    """A new folder name in the folder all executors share; in local mode without one, in a folder of this machine."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or f"file://{tempfile.gettempdir()}/siltstone-files"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
