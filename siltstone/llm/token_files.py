@@ -193,13 +193,17 @@ class Shard:
 
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of document ``i`` from ``start`` to ``stop``, expanding only the symbols that hold them."""
-        stop = int(self.lengths[i]) if stop is None else min(stop, int(self.lengths[i]))
+        length = int(self.lengths[i])
+        stop = length if stop is None else min(stop, length)
         symbols = self.symbols[self.begins[i] : self.begins[i + 1]]
-        sizes = np.where(symbols < self.base, 1, self.sizes[np.maximum(symbols - self.base, 0)] if len(self.sizes) else 1).astype(np.int64)
-        ends = np.cumsum(sizes)
+        if start <= 0 and stop == length:
+            return self._expand(symbols)
+        if stop <= start:
+            return np.zeros(0, "<u4")
+        ends = np.cumsum(self._table()[2][symbols])
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
         before = int(ends[a - 1]) if a else 0
-        return self._expand(symbols[a:b])[start - before : stop - before] if stop > start else np.zeros(0, "<u4")
+        return self._expand(symbols[a:b])[start - before : stop - before]
 
 
 def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
