@@ -734,6 +734,32 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert len(held) > 40 and np.mean([p == q for p, q in held]) > 0.95
 
 
+def test_scores_equal_one_solution_over_all_rows(spark, sf_dir):
+    """Without partitions: one design matrix, one system, the isotonic curve by its max-min formula."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.doc_id in texts}
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5
+    keys = [k for k in sorted(labels) if fold(k)]
+    x, y = np.array([quality.statistics(texts[k].encode()) for k in keys]), np.array([labels[k] for k in keys])
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) < 1e-9, 1, x.std(axis=0))
+    early = np.array([fold(k) < 4 for k in keys])
+    z = quality.fourier(x, mean, scale)
+    penalty = quality.RIDGE * early.sum() * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    weights = np.linalg.solve(z[early].T @ z[early] + penalty, z[early].T @ y[early])
+    cell = np.round((np.clip(z[~early] @ weights, -1, 2) + 1) * (quality.GRID / 3)).astype(int)
+    places, n = np.unique(cell, return_counts=True)
+    ones = np.array([y[~early][cell == c].sum() for c in places])
+    share = lambda a, b: ones[a : b + 1].sum() / n[a : b + 1].sum()
+    curve = [max(min(share(a, b) for b in range(i, len(places))) for a in range(i + 1)) for i in range(len(places))]
+    got = {r.doc_id: r.score for r in quality.op10_quality(spark, folder).collect()}
+    raw = quality.fourier(np.array([quality.statistics(texts[k].encode()) for k in texts]), mean, scale) @ weights
+    want = 0.99 * np.interp(raw, places * 3 / quality.GRID - 1, curve) + 0.01 * np.clip(raw, 0, 1)
+    close = np.abs(np.array([got[k] for k in texts]) - want) < 1e-4
+    assert close.mean() > 0.99  # a raw score on the border of a cell may fall to either side
+
+
 def test_quality_looks_at_the_text_only(spark, odd_dir, odd):
     labels = spark.read.parquet(f"{odd_dir}/labels.parquet")
     model = quality.fit(quality.document_statistics(odd), labels)
