@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -113,7 +114,9 @@ class CachedEncoder:
         look_up = memory.__getitem__
         for text in texts:
             if "Σ" not in text and "İ" not in text and "<|" not in text:
-                text = text.lower()
+                lower = text.lower()
+                if is_normalized("NFC", lower):  # else the library composes before it lowers
+                    text = lower
             for c in "\n\t\r\x0b\x0c":
                 if c in text:
                     text = text.replace(c, " ")

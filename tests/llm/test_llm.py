@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,13 @@ def test_byte_encoders_equal_library(texts):
     assert [x.tolist() for x in _tokens.byte_encoder(*paths).encode(asked)] == want
 
 
+def test_cached_encoder_composes_before_it_lowers_and_cuts_punctuation():
+    encoder, library = _tokens.CachedEncoder(_tokens.vocabulary_path("word_bpe_49k.json")), tokenizer("word_bpe_49k.json")
+    asked = ["MT\u0308)@", "T\u0308 t\u0308", "E\u0301a e\u0301", "\u212b\u212a\u2126", "mot$$$ m\u00f3t%%%, it's 'tis rock'n'roll ab's'", "a<|x|>.b !?. ...", "\u00aa\u00ba\u00b5!"]
+    asked += [unicodedata.normalize("NFD", c) + tail for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x2000)]) for tail in ("", "x!", "'s.")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(asked)] == [e.ids for e in library.encode_batch(asked, add_special_tokens=False)]
+
+
 # 1 -------------------------------------------------------------------------------------------------
 
 
