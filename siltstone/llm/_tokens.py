@@ -11,6 +11,7 @@ two ways.
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -21,7 +22,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Unicode white space beside the plain space.
 OTHER_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 MARK = "\x01"
-PUNCTUATION = frozenset(".,;:!?")
+#: A run of these after letters is a pre-token of its own.
+PUNCTUATION = string.punctuation
+#: The characters that stand for the bytes of letters beyond ASCII in a byte-level vocabulary: printable bytes for
+#: themselves, the others for characters from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, range(256, 512)), strict=False))
 #: Bytes that a remembered piece takes beside its characters and ids.
 PIECE_COST = 180
 
@@ -53,7 +59,7 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, max_bytes: int = 240 << 20):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.room = max_bytes
@@ -61,37 +67,40 @@ class CachedEncoder:
         self.memory[""] = b""
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         assert len(self.mark) == 1
-        #: the same model for pieces that are one run of lower-case Latin letters, which need no normaliser and no pattern
-        self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.stops = {c: self._direct(c) for c in PUNCTUATION}
+        self.tails: dict[str, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of runs of lower-case Latin letters: one pre-token each, which no normaliser changes, so the model alone has them."""
+        tokenize, counts, flat = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            ids = [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))]
+            counts.append(len(ids))
+            flat.extend(ids)
+        raw, ends = np.array(flat, dtype="<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+        return {w: raw[e - 4 * n : e] for w, n, e in zip(words, counts, ends, strict=True)}
+
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces the memory lacks; they enter it while there is room."""
         memory, found = self.memory, {}
-        wanted, ending = set(), []
+        words, ending, plain = set(), [], []
         for p in pieces:
-            if len(p) > 1 and p[-1] in PUNCTUATION and p[-2].isalpha() and p[-2] < "\u0130" and "<|" not in p:
-                ending.append(p)
-                if p[:-1] not in memory:
-                    wanted.add(p[:-1])
-            else:
-                wanted.add(p)
-        plain, letters = [], []
-        for p in wanted:
-            if p.isalpha() and p.islower() and max(p) < "\u0130":
-                letters.append(p)
-            elif MARK in p or "<|" in p:
+            head = p.rstrip(PUNCTUATION)
+            if "<|" in p or MARK in p:
                 found[p] = self._direct(p)
+            elif head.isalpha() and head.islower() and max(head) < "\u0130":
+                if head != p:
+                    ending.append((p, head))
+                if head == p or head not in memory:
+                    words.add(head)
             else:
                 plain.append(p)
-        parts = [(self.tokenizer, plain[k : k + 2000]) for k in range(0, len(plain), 2000)]
-        parts += [(self.letters, letters[k : k + 2000]) for k in range(0, len(letters), 2000)]
-        for library, part in parts:
-            ids = np.array(library.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        found.update(self._words(list(words)))
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(ids == self.mark[0])
             if len(at) != len(part) - 1:  # never seen; kept so that a surprise costs time, not results
                 found.update((p, self._direct(p)) for p in part)
@@ -100,8 +109,13 @@ class CachedEncoder:
             starts, ends = [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)]
             for p, s, e in zip(part, starts, ends, strict=True):
                 found[p] = raw[s:e]
-        for p in ending:
-            found[p] = (found.get(p[:-1]) or memory[p[:-1]]) + self.stops[p[-1]]
+        for p, head in ending:
+            tail = p[len(head) :]
+            if (after := self.tails.get(tail)) is None:
+                after = self._direct(tail)
+                if len(tail) <= 8 and len(self.tails) < 50_000:
+                    self.tails[tail] = after
+            found[p] = (found.get(head) or memory[head]) + after
         if self.room > 0:
             kept = {p: raw for p, raw in found.items() if len(p) <= 256}
             self.room -= sum(len(p) + len(raw) for p, raw in kept.items()) + PIECE_COST * len(kept)
