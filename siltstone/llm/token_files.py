@@ -68,51 +68,71 @@ def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, bits: int) ->
     return chosen
 
 
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted pairs as numbers, their places): one plain sort of pair and place together where both fit 64 bits."""
+    keys = left.astype(np.uint64) << np.uint64(bits) | right
+    low = len(keys).bit_length()
+    if 2 * bits + low > 64:
+        order = np.argsort(keys)
+        return keys[order], order
+    both = np.sort(keys << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules): the grammar of documents' ids laid end to end.
 
     No pair is left that occurs ``least`` times. A pair is one number; of a run
-    of equal ids every second place counts, as only those can be replaced.
+    of equal ids every second place counts, as only those can be replaced. A
+    round looks only at places that can still matter (``live``): a pair without
+    a new symbol never becomes more frequent.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
+    live = np.ones(len(ids), bool)
     rules: list[np.ndarray] = []
     fresh, thresholds = base, [t for t in FIRST if t > least]
     while len(symbols) > 1:
-        bits, kind = (16, np.uint32) if fresh <= 1 << 16 else (32, np.uint64)
-        keys = symbols[:-1].astype(kind) << kind(bits) | symbols[1:]
-        usable = ~last[:-1]
-        same = np.flatnonzero((symbols[:-1] == symbols[1:]) & usable)
+        bits = fresh.bit_length()
+        asked = np.flatnonzero(live[:-1] & ~last[:-1])
+        left, right = symbols[asked], symbols[asked + 1]
+        odd = np.zeros(0, np.int64)
+        same = np.flatnonzero(left == right)
         if len(same):
-            opens = np.concatenate(([True], np.diff(same) > 1))
-            first = same[opens][np.cumsum(opens) - 1]
-            usable[same[(same - first) % 2 == 1]] = False
-        inside = np.sort(keys[usable])
+            at = asked[same]
+            opens = np.concatenate(([True], np.diff(at) > 1))
+            skipped = same[(at - at[opens][np.cumsum(opens) - 1]) % 2 == 1]
+            if len(skipped):
+                odd, even = asked[skipped], np.ones(len(asked), bool)
+                even[skipped] = False
+                asked, left, right = asked[even], left[even], right[even]
+        inside, order = _sorted_pairs(left, right, bits)
         edges = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1]))) if len(inside) else np.zeros(0, np.int64)
+        known, counts = inside[edges], np.diff(np.concatenate((edges, [len(inside)])))
         bound = thresholds.pop(0) if thresholds else least
-        chosen = choose_pairs(inside[edges], np.diff(np.concatenate((edges, [len(inside)]))), bound, bits)
+        chosen = choose_pairs(known, counts, bound, bits)
         if not chosen:
             if bound == least:
                 break
             continue
-        known = np.array(chosen, kind)
-        left, right = (known >> kind(bits)).astype(np.uint32), (known & kind((1 << bits) - 1)).astype(np.uint32)
-        begins, ends = np.zeros(fresh, bool), np.zeros(fresh, bool)
-        begins[left], ends[right] = True, True
-        maybe = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]] & usable)
-        order = np.argsort(known)
-        ordered = known[order]
-        at = np.minimum(np.searchsorted(ordered, keys[maybe]), len(ordered) - 1)
-        hit = ordered[at] == keys[maybe]
-        places = maybe[hit]
-        symbols[places] = (order[at[hit]] + fresh).astype(np.uint32)
+        pairs = np.array(chosen, np.uint64)
+        rule = np.full(len(known), -1, np.int64)
+        rule[np.searchsorted(known, pairs)] = np.arange(len(pairs))
+        made = np.repeat(rule, counts)
+        places = asked[order[made >= 0]]
+        live[:] = False
+        live[asked[order[np.repeat(counts >= least, counts)]]] = True
+        live[odd] = True
+        live[places] = True
+        live[np.maximum(places, 1) - 1] = True
+        symbols[places] = (made[made >= 0] + fresh).astype(np.uint32)
         last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack((left, right), axis=1))
-        fresh += len(known)
+        symbols, last, live = symbols[keep], last[keep], live[keep]
+        rules.append(np.stack((pairs >> np.uint64(bits), pairs & np.uint64((1 << bits) - 1)), axis=1))
+        fresh += len(pairs)
     ends = np.flatnonzero(last) + 1
     grammar = np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4")
     return symbols.astype("<u4"), np.diff(np.concatenate(([0], ends))).astype("<u4"), grammar
