@@ -49,8 +49,8 @@ def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/siltstone/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the application's own part of the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -63,8 +63,8 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
 
 
 def remove_scratch(spark: SparkSession) -> bool:
-    """Delete all intermediate tables below the shared folder; for when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/siltstone")
+    """Delete the intermediate tables of this application, no other's; for when no result of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/siltstone/{spark.sparkContext.applicationId}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -26,6 +26,7 @@ task; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +46,8 @@ CONTEXT = 1024
 END_ID = 0
 #: The linear program stops within this share of its bound, or when no pattern improves it.
 GAP = 0.001
+#: A turn of pricing values a whole sequence's length more than its parts by this share, so that long pieces go first.
+TILT = 0.1
 #: Where whole pieces leave a larger share of padding, the emptiest patterns are dissolved and their pieces cut to fit.
 LOOSE = 0.01
 #: Up to so many (task, length) counts, some 5 MB, are broadcast; beyond, they are joined by shuffle.
@@ -89,35 +92,33 @@ class _Prices:
     """The most valuable patterns: an unbounded knapsack by dynamic programming over the sequence's length."""
 
     def __init__(self, lengths: np.ndarray, duals: np.ndarray, context: int):
-        useful = np.flatnonzero(duals > 1e-12)
-        sizes, worth = lengths[useful], duals[useful]
-        self.lengths, self.sizes, self.useful = lengths, sizes, useful
-        self.best, self.chosen = np.zeros(context + 1), np.full(context + 1, -1)
-        upto = np.searchsorted(sizes, np.arange(context + 1), side="right")
+        self.lengths, self.number = lengths, np.full(context + 1, -1)
+        self.number[lengths] = np.arange(len(lengths))
+        useful, worth = duals > 1e-12, np.full(context + 1, -1.0)
+        worth[lengths[useful]] = duals[useful]
+        best, chosen = np.zeros(context + 1), np.zeros(context + 1, np.int64)
         for c in range(1, context + 1):
-            self.best[c] = self.best[c - 1]
-            k = upto[c]
-            if k:
-                gains = self.best[c - sizes[:k]] + worth[:k]
-                g = int(gains.argmax())
-                if gains[g] > self.best[c] + 1e-13:
-                    self.best[c], self.chosen[c] = gains[g], g
-
-    def pattern(self, i: int, context: int) -> np.ndarray:
-        """The best pattern that has length number ``i``."""
-        found = np.zeros(len(self.lengths))
-        found[i], c = 1, context - int(self.lengths[i])
+            gains = best[c - 1 :: -1] + worth[1 : c + 1]  # of a last piece of 1, 2, ... c
+            g = int(gains.argmax())
+            best[c] = best[c - 1]
+            if gains[g] > best[c] + 1e-13:
+                best[c], chosen[c] = gains[g], g + 1
+        self.best, self.chosen = best, chosen.tolist()
+
+    def pattern(self, i: int, context: int) -> Counter:
+        """The best pattern that has length number ``i``: copies by length number."""
+        found, c = Counter([i]), context - int(self.lengths[i])
         while c > 0:
-            if self.chosen[c] < 0:
-                c -= 1
+            if size := self.chosen[c]:
+                found[int(self.number[size])] += 1
+                c -= size
             else:
-                found[self.useful[self.chosen[c]]] += 1
-                c -= int(self.sizes[self.chosen[c]])
+                c -= 1
         return found
 
 
-def _priced_in_turn(lengths: np.ndarray, demand: np.ndarray, duals: np.ndarray, context: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns priced one after the other on the demand that is left, and their uses: a triangular basis.
+def _priced_in_turn(lengths: np.ndarray, demand: np.ndarray, duals: np.ndarray, context: int) -> tuple[list[Counter], np.ndarray]:
+    """Patterns priced one after the other on the demand that is left, and their uses: a triangular basis, by length number.
 
     Each has the longest length left and is used until one of its lengths is
     used up, whose column it is; lengths used up at the same time get their
@@ -125,20 +126,20 @@ def _priced_in_turn(lengths: np.ndarray, demand: np.ndarray, duals: np.ndarray,
     """
     n = len(lengths)
     left, open_ = demand.copy(), np.ones(n, bool)
-    basis, uses, prices = np.zeros((n, n)), np.zeros(n), None
+    basis, uses, prices = [Counter() for _ in range(n)], np.zeros(n), None
     for longest in range(n - 1, -1, -1):
         while open_[longest]:
             pattern = prices.pattern(longest, context) if prices else None
-            if pattern is None or not open_[pattern > 0].all():
+            if pattern is None or not all(open_[k] for k in pattern):
                 prices = _Prices(lengths, np.where(open_, duals, 0), context)
                 pattern = prices.pattern(longest, context)
-            on = np.flatnonzero(pattern)
-            amount = (left[on] / pattern[on]).min()
-            left[on] -= amount * pattern[on]
-            ended = on[left[on] <= 1e-9 * demand[on]]
-            basis[:, ended[0]], uses[ended[0]] = pattern, amount
+            amount = min(left[k] / c for k, c in pattern.items())
+            for k, c in pattern.items():
+                left[k] -= amount * c
+            ended = [k for k in sorted(pattern) if left[k] <= 1e-9 * demand[k]]
+            basis[ended[0]], uses[ended[0]] = pattern, amount
             for k in ended[1:]:
-                basis[k, k] = context // lengths[k]
+                basis[k] = Counter({k: context // int(lengths[k])})
             open_[ended] = False
     return basis, uses
 
@@ -160,63 +161,105 @@ class _Master:
     Uses of patterns must cover the demand. Two kinds of columns cost nothing:
     a slot may stay empty, or hold the next shorter length. They bound the
     duals, which makes few rounds of pricing enough.
+
+    A column has a handful of lengths, so products and updates touch the places
+    that are not 0 alone. There is no call of BLAS or LAPACK: these hang in a
+    driver that has forked, and round differently by number of threads.
     """
 
     def __init__(self, lengths: np.ndarray, demand: np.ndarray, context: int):
         self.lengths, self.demand, self.context, self.n = lengths, demand, context, len(lengths)
-        self.pool, self.known = np.zeros((self.n, 0)), set()
+        self.known: set[tuple] = set()
+        self.at, self.copies, self.starts = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         self.singles()
 
     def singles(self) -> None:
-        self.start(np.diag((self.context // self.lengths).astype(float)))
+        self.start([Counter({k: self.context // int(size)}) for k, size in enumerate(self.lengths)])
 
-    def start(self, basis: np.ndarray) -> None:
-        self.basis, self.cost = basis.copy(), np.ones(self.n)
+    def start(self, basis: list[Counter]) -> None:
+        self.basis = [(np.array(sorted(c), np.int64), np.array([float(c[k]) for k in sorted(c)])) for c in basis]
+        self.cost = np.ones(self.n)
         self.invert()
 
+    def _direction(self, column: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return (self.inverse[:, column[0]] * column[1]).sum(axis=1)
+
+    def _pivot(self, direction: np.ndarray, out: int) -> np.ndarray:
+        """Let a column with this direction take row ``out``; the row afterwards."""
+        row = self.inverse[out] / direction[out]
+        rows, places = np.flatnonzero(np.abs(direction) > 1e-13), np.flatnonzero(np.abs(row) > 1e-13)
+        if 4 * len(rows) * len(places) < self.n * self.n:
+            self.inverse[np.ix_(rows, places)] -= direction[rows, None] * row[places]
+        else:
+            self.inverse -= direction[:, None] * row
+        self.inverse[out] = row
+        return row
+
     def invert(self) -> None:
-        self.inverse = np.linalg.inv(self.basis)
-        self.uses = np.maximum(self.inverse @ self.demand, 0)
+        """The inverse anew, column by column; a triangular basis has one place a step. Columns change places with their rows."""
+        self.inverse, free = np.eye(self.n), np.ones(self.n, bool)
+        basis, cost = [None] * self.n, np.ones(self.n)
+        # rows that few columns have first, so that what is to come seldom has the places that are filled
+        use = np.bincount(np.concatenate([c[0] for c in self.basis]), minlength=self.n)
+        for p in sorted(range(self.n), key=lambda p: (len(self.basis[p][0]), int(use[self.basis[p][0]].min()))):
+            direction = self._direction(self.basis[p])
+            out = int(np.where(free, np.abs(direction), -1).argmax())
+            if abs(direction[out]) < 1e-9:
+                raise ArithmeticError("the basis is singular")
+            self._pivot(direction, out)
+            free[out], basis[out], cost[out] = False, self.basis[p], self.cost[p]
+        self.basis, self.cost = basis, cost
+        self.uses = np.maximum((self.inverse * self.demand).sum(axis=1), 0)
 
     def duals(self) -> np.ndarray:
-        return self.cost @ self.inverse
+        return (self.cost[:, None] * self.inverse).sum(axis=0)
+
+    def off(self) -> float:
+        """By how much, of the largest demand, what is used differs from the demand."""
+        met = np.zeros(self.n)
+        for (at, copies), uses in zip(self.basis, self.uses, strict=True):
+            met[at] += copies * uses
+        return float(np.abs(met - self.demand).max() / self.demand.max())
 
-    def add(self, patterns: list[np.ndarray], duals: np.ndarray) -> int:
+    def add(self, patterns: list[Counter], duals: np.ndarray) -> int:
         """Take the new ones that improve the value at these duals; how many."""
         fresh = []
         for p in patterns:
-            if duals @ p > 1 + 1e-7 and p.tobytes() not in self.known:
-                self.known.add(p.tobytes())
-                fresh.append(p)
-        if fresh:
-            self.pool = np.hstack((self.pool, np.array(fresh).T))
+            name = tuple(sorted(p.items()))
+            if name not in self.known and sum(duals[k] * c for k, c in name) > 1 + 1e-7:
+                self.known.add(name)
+                fresh.append(name)
+        sizes = np.array([len(p) for p in fresh], np.int64)
+        self.starts = np.concatenate((self.starts, len(self.at) + np.cumsum(sizes) - sizes))
+        self.at = np.concatenate((self.at, np.array([k for p in fresh for k, _ in p], np.int64)))
+        self.copies = np.concatenate((self.copies, np.array([c for p in fresh for _, c in p], float)))
         return len(fresh)
 
-    def _entering(self) -> tuple[np.ndarray, int] | None:
-        """(column, its cost) with the most to gain."""
-        duals, column = self.duals(), np.zeros(self.n)
-        gains = duals @ self.pool - 1
+    def _entering(self, duals: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], int, float] | None:
+        """(column, its cost, what a use gains) with the most to gain."""
+        gains = np.add.reduceat(duals[self.at] * self.copies, self.starts) - 1 if len(self.starts) else np.zeros(0)
         steps = duals[:-1] - duals[1:]
         best = max(gains.max(initial=0), -duals.min(), steps.max(initial=0))
         if best <= 1e-7:
             return None
         if len(gains) and gains.max() == best:
-            return self.pool[:, int(gains.argmax())], 1
+            j = int(gains.argmax())
+            places = slice(self.starts[j], self.starts[j + 1] if j + 1 < len(self.starts) else None)
+            return (self.at[places], self.copies[places]), 1, best
         if -duals.min() == best:
-            column[int(duals.argmin())] = -1
-        else:
-            k = int(steps.argmax())
-            column[k], column[k + 1] = 1, -1
-        return column, 0
+            return (np.array([int(duals.argmin())]), np.array([-1.0])), 0, best
+        k = int(steps.argmax())
+        return (np.array([k, k + 1]), np.array([1.0, -1.0])), 0, best
 
     def improve(self, enough: float) -> bool:
         """Pivot until no known column improves the value, or it is at most ``enough``; False when rounding stops it."""
+        duals = self.duals()
         for pivot in range(1, 40 * self.n + 1000):
-            found = self._entering()
+            found = self._entering(duals)
             if found is None:
                 return True
-            column, cost = found
-            direction = self.inverse @ column
+            column, cost, gain = found
+            direction = self._direction(column)
             falls = direction > 1e-7
             if not falls.any():
                 return False
@@ -225,20 +268,21 @@ class _Master:
             out = int(np.where(ratios <= amount + 1e-9, direction, -1).argmax())  # large pivots keep the basis well conditioned
             self.uses = np.maximum(self.uses - amount * direction, 0)
             self.uses[out] = amount
-            row = self.inverse[out] / direction[out]
-            self.inverse -= np.outer(direction, row)
-            self.inverse[out] = row
-            self.basis[:, out], self.cost[out] = column, cost
-            if pivot % 200 == 0:
-                self.invert()
-            if pivot % 20 == 0 and self.cost @ self.uses <= enough:
+            duals = duals - gain * self._pivot(direction, out)
+            self.basis[out], self.cost[out] = column, cost
+            if pivot % 100 == 0:
+                if self.off() > 1e-7:
+                    self.invert()
+                duals = self.duals()
+            if pivot % 20 == 0 and (self.cost * self.uses).sum() <= enough:
                 return True
         return False
 
-    def settled(self) -> list[tuple[np.ndarray, float]]:
+    def settled(self) -> list[tuple[Counter, float]]:
         """Patterns whose uses meet the demand exactly: slots that stay empty or hold a shorter length are taken out or replaced."""
-        held = [[self.basis[:, p].copy(), self.uses[p]] for p in np.flatnonzero((self.cost > 0) & (self.uses > 1e-9))]
-        free = [(int(self.basis[:, p].argmin()), bool(self.basis[:, p].max() > 0), self.uses[p]) for p in np.flatnonzero((self.cost == 0) & (self.uses > 1e-9))]
+        used = [(dict(zip(at.tolist(), copies.tolist(), strict=True)), cost, uses) for (at, copies), cost, uses in zip(self.basis, self.cost, self.uses, strict=True) if uses > 1e-9]
+        held = [[Counter(column), uses] for column, cost, uses in used if cost > 0]
+        free = [(min(column, key=column.get), len(column) > 1, uses) for column, cost, uses in used if cost == 0]
         for k, shorter, amount in sorted(free, key=lambda f: -f[0]):
             for entry in list(held):
                 pattern, uses = entry
@@ -248,8 +292,7 @@ class _Master:
                 if not copies or uses <= 1e-9:
                     continue
                 part = min(uses, amount / copies)
-                changed = pattern.copy()
-                changed[k] = 0
+                changed = Counter({i: c for i, c in pattern.items() if i != k})
                 if shorter:
                     changed[k - 1] += copies
                 entry[1] -= part
@@ -259,16 +302,21 @@ class _Master:
 
 
 def solve_patterns(histogram: dict[int, int], context: int = CONTEXT, gap: float = GAP) -> Solution:
-    """The cutting-stock program of a histogram of lengths below ``context``."""
+    """The cutting-stock program of a histogram of lengths below ``context``; the same solution on every machine.
+
+    If rounding ever stops the program twice, its patterns are those of the best
+    turn of pricing, and the reason is ``rounding``.
+    """
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
     if not len(lengths):
         return Solution([], 0.0, 0.0, 0, "optimal")
     demand = np.array([histogram[int(k)] for k in lengths], float)
     master, columns, reason = _Master(lengths, demand, context), 0, ""
     # Duals in proportion to the lengths prove the first bound, the volume; half of the best duals so far steadies each pricing.
-    centre, bound = lengths / context, float(demand @ lengths / context)
+    centre, bound = lengths / context, float((demand * lengths).sum() / context)
+    best_turn, turning = (float("inf"), [], np.zeros(0)), True
     while not reason:
-        value = float(master.cost @ master.uses)
+        value = float((master.cost * master.uses).sum())
         if value <= bound * (1 + gap):
             reason = "bound"
             break
@@ -277,30 +325,43 @@ def solve_patterns(histogram: dict[int, int], context: int = CONTEXT, gap: float
             asked = np.maximum(share * centre + (1 - share) * duals, 0)
             prices = _Prices(lengths, asked, context)
             worth = max(prices.best[context], 1.0)
-            if asked @ demand / worth > bound:
-                bound, centre = float(asked @ demand / worth), asked / worth
+            proven = float((asked * demand).sum() / worth)
+            if proven > bound:
+                bound, centre = proven, asked / worth
             with_each = asked + prices.best[context - lengths]
-            fresh += master.add([prices.pattern(i, context) for i in np.argsort(-with_each)[:100].tolist()], duals)
+            fresh += master.add([prices.pattern(i, context) for i in np.argsort(-with_each, kind="stable")[:100].tolist()], duals)
             if fresh:
                 break
         if not fresh:
             reason = "optimal"
             break
-        turn, uses = _priced_in_turn(lengths, demand, np.maximum(asked, 1e-9) * (1 + 1e-3 * lengths / context), context)
-        columns += fresh + master.add(list(turn.T), duals)
-        if uses.sum() < value:
-            master.start(turn)
+        columns += fresh
         try:
+            if turning:
+                turn, uses = _priced_in_turn(lengths, demand, np.maximum(centre, 1e-9) * (1 + TILT * lengths / context), context)
+                columns += master.add(turn, duals)
+                best_turn = min(best_turn, (float(uses.sum()), turn, uses), key=lambda t: t[0])
+                if turning := bool(uses.sum() < value):
+                    master.start(turn)
             steady = master.improve(bound * (1 + gap))
-            master.invert()
-        except np.linalg.LinAlgError:
+            if master.off() > 1e-9:
+                master.invert()
+        except ArithmeticError:
             steady = False
         if not steady:  # rounding spoiled the basis: begin again with the patterns known
             master.singles()
-            if not master.improve(bound * (1 + gap)):
+            try:
+                if not master.improve(bound * (1 + gap)):
+                    reason = "rounding"
+            except ArithmeticError:
                 reason = "rounding"
-    patterns = [({int(lengths[i]): int(round(p[i])) for i in np.flatnonzero(p > 0.5)}, float(u)) for p, u in master.settled()]
-    return Solution([(p, u) for p, u in patterns if p], float(master.cost @ master.uses), bound, columns, reason)
+    if reason == "rounding":
+        warnings.warn("rounding stopped the packing program; the patterns of its best turn are used", stacklevel=2)
+        value, found = best_turn[0], list(zip(best_turn[1], best_turn[2].tolist(), strict=True))
+    else:
+        value, found = float((master.cost * master.uses).sum()), master.settled()
+    patterns = [({int(lengths[i]): int(round(c)) for i, c in sorted(p.items()) if c > 0.5}, float(u)) for p, u in found if u > 1e-9]
+    return Solution([(p, u) for p, u in patterns if p], value, bound, columns, reason)
 
 
 def _subset(left: Counter, room: int) -> Counter:

@@ -1,8 +1,10 @@
 """The ten operators and the pipeline: DuckDB where SQL can say it, brute force, round trips and held-out accuracy elsewhere."""
 
 import hashlib
+import os
 import random
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -564,20 +566,42 @@ def test_the_program_equals_all_patterns_enumerated():
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_columns_carry_the_result_to_a_proven_gap(sf):
+def test_columns_carry_the_result_to_a_proven_gap(spark, sf):
+    """In a driver that has a session, on as many threads as it likes, and soon."""
+    import time
+
     import pyarrow.parquet as pq
 
     encoder = _tokens.byte_encoder(_tokens.vocabulary_path("byte_bpe_50k.json"), _tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
     texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
     histogram = Counter((len(x) + 1) % 1024 for x in encoder.encode([t or "" for t in texts]))
     del histogram[0]
+    began = time.perf_counter()
     solved = packing.solve_patterns(histogram)
+    assert time.perf_counter() - began < 30  # 3 to 4 s on an idle core
     assert solved.columns > 0 and solved.reason in ("bound", "optimal")
     assert solved.value <= solved.bound * (1 + packing.GAP) + 1e-6
     sequences, loose = whole_and_tight(histogram, 1024, solved)
     assert sequences <= 1.005 * solved.value + 2 and loose == 0
 
 
+def test_the_program_is_the_same_on_any_number_of_threads():
+    import subprocess
+
+    code = "import random; from siltstone.llm import packing; r = random.Random(3); h = {k: r.randrange(1, 9) for k in range(1, 256) if r.random() < 0.6}; s = packing.solve_patterns(h, 256); print(hash(str(s.patterns)), s.value, s.columns, s.reason)"
+    env = os.environ | {"PYTHONHASHSEED": "0"}
+    said = {subprocess.run([sys.executable, "-c", code], env=env | {"OPENBLAS_NUM_THREADS": n}, capture_output=True, text=True, check=True).stdout for n in ("1", "8")}
+    assert len(said) == 1
+
+
+def test_patterns_of_a_turn_stand_in_when_rounding_stops_the_program(monkeypatch):
+    monkeypatch.setattr(packing._Master, "improve", lambda self, enough: False)
+    histogram = {3: 70, 5: 51, 7: 43, 11: 20}
+    with pytest.warns(UserWarning, match="rounding"):
+        solved = packing.solve_patterns(histogram, 24, gap=0)
+    assert solved.reason == "rounding" and whole_and_tight(histogram, 24, solved)[0] >= solved.bound
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
