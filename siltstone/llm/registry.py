@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, near_dup, packing, quality, secrets, sharding, token_counts, token_files
+from . import exact_dedup, licenses, media, mixing, near_dup, packing, prefix_trie, quality, ranked_search, secrets, sharding, token_counts, token_files
 
 QUERIES = {
     "op1_ngram_jaccard": near_dup.op1_ngram_jaccard,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_sharding": sharding.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_ranked_search": ranked_search.SQL,
 }
