@@ -43,6 +43,8 @@ GRAM, SHARE = 3, 0.8
 BAND = 8
 #: Template positions up to so many, some 3 MB, are broadcast; beyond, they are joined by shuffle.
 BROADCAST_GRAMS = 100_000
+#: Numbers of texts with candidates up to so many, some 16 MB, are broadcast, so that only their words are shuffled; beyond, all words are.
+BROADCAST_ROWS = 1_000_000
 #: A worker remembers the hashes of so many words, then begins anew.
 MEMORY = 500_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -201,7 +203,11 @@ def common(template: tuple[bytes, ...], words: list[bytes]) -> int:
 def scan(words: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(row, spans): verified spans (template, label, base, start, end, share) of texts that have any; words from 0, end exclusive."""
     found = candidates(votes(words, templates), templates).groupBy("row").agg(F.collect_list(F.struct("template", "diagonal", "start", "end")).alias("found"))
-    held = words.select("row", "words").join(found, "row")  # a row's candidates are no more than its words
+    found = materialise(found, "license-candidates")  # a row's are no more than its words
+    texts, asked = words.select("row", "words"), found.select("row")
+    if found.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(asked), "row", "left_semi")
+    held = texts.join(found, "row")
     struct = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
