@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import content, files, logs, settings
+from .plans import content, files, large, logs, settings
 
-QUERIES = {**files.QUERIES, **content.QUERIES, **logs.QUERIES, **settings.QUERIES}
-ORACLES = {**files.ORACLES, **content.ORACLES, **logs.ORACLES, **settings.ORACLES}
+QUERIES = {**files.QUERIES, **content.QUERIES, **logs.QUERIES, **settings.QUERIES, **large.QUERIES}
+ORACLES = {**files.ORACLES, **content.ORACLES, **logs.ORACLES, **settings.ORACLES, **large.ORACLES}

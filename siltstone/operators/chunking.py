@@ -7,11 +7,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashes import derived_table
+from ..sources.audit_files import written
+from . import spans
 
 GEAR = derived_table("gear") & 0xFFF  # no more bits are looked at
 
@@ -73,18 +77,23 @@ class ChunkConfig:
         return (1 << min(MASK_BITS, self.average.bit_length() - 1)) - 1
 
 
+def cut_candidates(data: bytes, config: ChunkConfig, below: int = CUT_BELOW) -> np.ndarray:
+    """Ends, in order, after which the hash of the last 12 bytes lets a chunk end; of the first 11 bytes as far as they go."""
+    total = len(data)
+    terms = GEAR[np.frombuffer(data, np.uint8)].astype(np.int64)
+    sums = np.zeros(total, np.int64)
+    for back in range(min(REACH, total)):
+        sums[back:] += terms[: total - back] << back
+    return np.flatnonzero((sums & config.mask) < below) + 1
+
+
 def cut_points(data: bytes, config: ChunkConfig, below: int = CUT_BELOW) -> list[int]:
     """Chunk ends. The hash restarts with each chunk, but its tested bits depend on the last 12 bytes only, so for
     least sizes of 12 or more the candidates of the whole content are found at once; a short walk picks the cuts.
     The last bytes, once fewer than the largest chunk are left, are one chunk."""
     if config.least < REACH:
         raise ValueError(f"least sizes under {REACH} bytes are not supported")
-    total = len(data)
-    terms = GEAR[np.frombuffer(data, np.uint8)].astype(np.int64)
-    sums = np.zeros(total, np.int64)
-    for back in range(min(REACH, total)):
-        sums[back:] += terms[: total - back] << back
-    candidates = np.flatnonzero((sums & config.mask) < below) + 1
+    total, candidates = len(data), cut_candidates(data, config, below)
     ends, start = [], 0
     while total - start >= config.most:
         at = int(np.searchsorted(candidates, start + config.least))
@@ -119,6 +128,59 @@ def content_chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), key: s
     return files.select(key, content).mapInArrow(cut, f"`{key}` {kind}, chunk_index long, offset long, length long, content_id string, is_zero boolean")
 
 
+def large_content_chunks(pieces: DataFrame, config: ChunkConfig = ChunkConfig(), key: str = "file_id", least_span: int = 1 << 20) -> DataFrame:  # noqa: B008
+    """The rows of ``content_chunks`` for files given in pieces (key, offset, data), a file being many tasks' work.
+
+    A span and the largest chunk after it have all that cuts which start in the
+    span depend on, since no chunk is as short as the hash's reach. Null keys
+    are left out.
+    """
+    if config.least < REACH:
+        raise ValueError(f"least sizes under {REACH} bytes are not supported")
+    pieces = pieces.where(F.col(key).isNotNull())
+    size = max(least_span, 2 * config.most)
+    kind = pieces.schema[key].dataType.simpleString()
+    held = written(spans.spans_of(pieces, size, config.most, key), "chunk-spans")
+
+    def table(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts = np.arange(size)
+        for frame in frames:
+            rows = []
+            for k, span, data in frame.itertuples(index=False):
+                places = np.append(cut_candidates(data, config), size + 2 * config.most)
+                ends = np.minimum(places[np.searchsorted(places, starts + config.least)], starts + config.most)
+                rows.append((k, span, *spans.jump_table(ends, starts.copy(), size, config.most)))
+            yield pd.DataFrame(rows, columns=[key, "span", "at", "leave", "last"])
+
+    tables = written(held.select(key, "span", "data").mapInPandas(table, f"`{key}` {kind}, {spans.TABLE}"), "chunk-tables")
+    total = pieces.groupBy(key).agg(F.max(F.col("offset") + F.length("data")).alias("total"))
+    entered = spans.entries(tables, size, key).join(total, key)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, span, data, start, before, total in frame.itertuples(index=False):
+                places, begin = cut_candidates(data, config), span * size
+                # a chunk that starts here is one only if the file did not end with that before
+                going = start < total and (start == 0 or total - before >= config.most)
+                while going and start < begin + size:
+                    end = total
+                    if total - start >= config.most:
+                        at = int(np.searchsorted(places, start - begin + config.least))
+                        end = min(begin + int(places[at]) if at < len(places) else total, start + config.most)
+                    piece = data[start - begin : end - begin]
+                    rows.append((k, span, start, end - start, hashlib.sha256(piece).hexdigest(), not any(piece)))
+                    going, start = end < total and total - start >= config.most, end
+            yield pd.DataFrame(rows, columns=[key, "span", "offset", "length", "content_id", "is_zero"])
+
+    placed = held.join(entered, [key, "span"]).select(key, "span", "data", "entry", "pending", "total")
+    chunks = written(placed.mapInPandas(cut, f"`{key}` {kind}, span long, offset long, length long, content_id string, is_zero boolean"), "chunk-rows")
+    ahead = W.partitionBy(key).orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # one row a span
+    counts = chunks.groupBy(key, "span").agg(F.count("*").alias("n")).select(key, "span", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(W.partitionBy(key, "span").orderBy("offset")) - 1
+    return chunks.join(counts, [key, "span"]).select(key, (F.col("ahead") + place).cast("long").alias("chunk_index"), "offset", "length", "content_id", "is_zero")
+
+
 def is_zero(data: Column) -> Column:
     """All bytes are 0."""
     return F.hex(data).rlike("^(00)+$")

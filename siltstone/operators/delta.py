@@ -11,9 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashes import adler32, rotating_hash_hex
+from ..functions.hashes import adler32, derived_table, rotating_hash_hex
+from ..sources.audit_files import written
+from . import spans
 from .chunking import fixed_chunks
 
+#: Spans of large files have at least so many bytes.
+SPAN = 1 << 20
+#: The signatures of a file with up to so many blocks, 8 MB, go to its spans as one array; those of larger ones are joined to all windows by shuffle.
+MANY_BLOCKS = 1_000_000
+#: The second window hash: a polynomial modulo 2 to the 64th in this odd number, over a number for each byte.
+WINDOW_TABLE, FACTOR = derived_table("window"), 0x9E3779B97F4A7C15
 #: From this block size on the scan leaves a tail shorter than a block unmatched.
 ROLLING_FROM = 64 * 1024
 
@@ -117,6 +125,147 @@ def deltas(pairs: DataFrame, block: int, key: str = "pair_id") -> DataFrame:
     return pairs.select(key, "source", "dest").mapInPandas(run, f"`{key}` {kind}, step int, op string, src_offset long, dest_offset long, length long, bytes binary")
 
 
+def _window_sums(data: np.ndarray, block: int) -> np.ndarray:
+    """The second hash of every window of ``block`` bytes."""
+    n = len(data) - block + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def powers(factor: int, count: int) -> np.ndarray:
+        steps = np.full(count, factor, np.uint64)
+        steps[:1] = 1
+        return np.cumprod(steps)
+
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(WINDOW_TABLE[data] * powers(FACTOR, len(data)))))
+        return ((sums[block:] - sums[:n]) * powers(pow(FACTOR, -1, 1 << 64), n)).view(np.int64)
+
+
+def _block_hashes(held: DataFrame, size: int, block: int, key: str) -> DataFrame:
+    """(key, offset, length, weak, rolled) of the blocks of spans, the last of a file maybe short."""
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, span, raw in frame.itertuples(index=False):
+                for at in range(0, len(raw), block):
+                    piece = raw[at : at + block]
+                    rows.append((k, span * size + at, len(piece), zlib.adler32(piece), int(_window_sums(np.frombuffer(piece, np.uint8), len(piece))[0])))
+            yield pd.DataFrame(rows, columns=[key, "offset", "length", "weak", "rolled"])
+
+    kind = held.schema[key].dataType.simpleString()
+    return held.select(key, "span", "data").mapInPandas(sign, f"`{key}` {kind}, offset long, length long, weak long, rolled long")
+
+
+def _matches(held: DataFrame, blocks: DataFrame, size: int, block: int, key: str) -> DataFrame:
+    """(key, span, pos, dest_offset): windows of source spans that have a block's two hashes, with the lowest such block."""
+    firsts = blocks.where(F.col("length") == block).groupBy(key, "weak", "rolled").agg(F.min("offset").alias("dest_offset"))
+    firsts = written(firsts, "delta-blocks")
+    counts = firsts.groupBy(key).agg(F.count("*").alias("n"))
+    known = firsts.join(counts.where(F.col("n") <= MANY_BLOCKS), key).groupBy(key).agg(F.array_sort(F.collect_set("rolled")).alias("known"))
+
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, span, raw, some in frame.itertuples(index=False):
+                data = np.frombuffer(raw, np.uint8)[: size + block - 1]
+                rolled = _window_sums(data, block)
+                at = np.arange(len(rolled))
+                if some is not None and len(rolled):
+                    wanted = np.asarray(some, np.int64)
+                    low = np.zeros(1 << 16, bool)
+                    low[wanted & 0xFFFF] = True
+                    at = np.flatnonzero(low[rolled & 0xFFFF])
+                    at = at[wanted[np.minimum(np.searchsorted(wanted, rolled[at]), len(wanted) - 1)] == rolled[at]]
+                weak = _weak_sums(data, block)[at] if len(at) else at
+                yield pd.DataFrame({key: pd.Series([k] * len(at), dtype=frame[key].dtype), "span": span, "pos": span * size + at, "weak": weak, "rolled": rolled[at]})
+
+    kind = held.schema[key].dataType.simpleString()
+    asked = held.join(counts.select(key), key).join(known, key, "left").select(key, "span", "data", "known")
+    found = asked.mapInPandas(windows, f"`{key}` {kind}, span long, pos long, weak long, rolled long")
+    return written(found.join(firsts, [key, "weak", "rolled"]).select(key, "span", "pos", "dest_offset"), "delta-matches")
+
+
+def _chosen(matches: DataFrame, size: int, block: int, key: str) -> DataFrame:
+    """(key, span, op, src_offset, dest_offset, length): first match first, and the data before each match."""
+    kind = matches.schema[key].dataType.simpleString()
+
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        span = int(rows["span"].iloc[0])
+        places = np.sort(rows["pos"].to_numpy()) - span * size
+        nth = np.searchsorted(places, np.arange(size))
+        matched = nth < len(places)
+        after = np.where(matched, places[np.minimum(nth, len(places) - 1)] + block, size)
+        at, leave, last = spans.jump_table(after, np.where(matched, after, -1), size, block)
+        return pd.DataFrame({key: [rows[key].iloc[0]], "span": [span], "at": [at], "leave": [leave], "last": [last]})
+
+    tables = written(matches.groupBy(key, "span").applyInPandas(table, f"`{key}` {kind}, {spans.TABLE}"), "delta-tables")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        pos, dest = rows["pos"].to_numpy(), rows["dest_offset"].to_numpy()
+        at, pending, out = int(rows["entry"].iloc[0]), int(rows["pending"].iloc[0]), []
+        while (i := int(np.searchsorted(pos, at))) < len(pos):
+            here = int(pos[i])
+            if here > pending:
+                out.append(("data", pending, pending, here - pending))
+            out.append(("copy", here, int(dest[i]), block))
+            at = pending = here + block
+        made = pd.DataFrame(out, columns=["op", "src_offset", "dest_offset", "length"])
+        return made.assign(**{key: rows[key].iloc[0], "span": rows["span"].iloc[0]})[[key, "span", *made.columns]]
+
+    entered = matches.join(spans.entries(tables, size, key), [key, "span"])
+    return written(entered.groupBy(key, "span").applyInPandas(choose, f"`{key}` {kind}, span long, op string, src_offset long, dest_offset long, length long"), "delta-chosen")
+
+
+def large_deltas(source: DataFrame, dest: DataFrame, block: int, key: str = "file_id", least_span: int = SPAN) -> DataFrame:
+    """(key, op, src_offset, dest_offset, length), the steps of ``greedy_delta``, for files given in pieces (key, offset, data).
+
+    No task holds more of a file than a span and a block: windows are hashed
+    over overlapping spans, matched by a join, and chosen from where the walk
+    enters each span. The copies are compared by SHA-256 at the end; two
+    different blocks of equal hashes are an error. Steps are in order of
+    src_offset; empty sources have none; null keys are left out.
+    """
+    size = block * max(2, -(-least_span // block))
+    source, dest = (x.where(F.col(key).isNotNull()) for x in (source, dest))
+    held = written(spans.spans_of(source, size, block - 1, key), "delta-source")
+    other = written(spans.spans_of(dest, size, 0, key), "delta-dest")
+    blocks = written(_block_hashes(other, size, block, key), "delta-hashes")
+    steps = _chosen(_matches(held, blocks, size, block, key), size, block, key)
+    copies = steps.where("op = 'copy'")
+
+    def strong(rows: DataFrame, of: DataFrame, place: str) -> DataFrame:
+        """SHA-256 of the block at ``place`` of each row, by span, so that a span's bytes are there once."""
+        asked = rows.select(key, F.floor(F.col(place) / size).alias("span"), place, "src_offset").groupBy(key, "span").agg(F.collect_list(F.struct(place, "src_offset")).alias("asked"))
+        begin = F.col("span") * size
+        digests = F.transform("asked", lambda a: F.struct(a["src_offset"].alias("src_offset"), F.sha2(F.substring(F.col("data"), (a[place] - begin + 1).cast("int"), F.lit(block)), 256).alias(f"{place}_sha")))
+        return of.join(asked, [key, "span"]).select(key, F.explode(digests).alias("d")).select(key, "d.*")
+
+    compared = strong(copies.withColumnRenamed("src_offset", "at").withColumn("src_offset", F.col("at")), held, "at").join(strong(copies, other, "dest_offset"), [key, "src_offset"])
+    if not compared.where("at_sha != dest_offset_sha").isEmpty():
+        raise ValueError("two different blocks have equal hashes")
+
+    total = source.groupBy(key).agg(F.max(F.col("offset") + F.length("data")).alias("total")).where("total > 0")
+    rest = total.join(copies.groupBy(key).agg(F.max(F.col("src_offset") + F.col("length")).alias("pending")), key, "left").na.fill(0, ["pending"])
+    tail = F.lit(None).cast("long")
+    if block < ROLLING_FROM:  # a short last block may match the source's end
+        short = blocks.where(F.col("length") < block).select(key, F.col("offset").alias("tail_offset"), F.col("length").alias("tail_length"))
+        rest = rest.join(short, key, "left").withColumn("start", F.col("total") - F.col("tail_length"))
+        ends = rest.where("start >= pending").select(key, "start", "tail_offset", "tail_length", F.floor(F.col("start") / size).alias("span"))
+        mine = held.join(ends, [key, "span"]).select(key, "tail_offset", "tail_length", F.sha2(F.substring(F.col("data"), (F.col("start") - F.col("span") * size + 1).cast("int"), F.col("tail_length").cast("int")), 256).alias("sha"))
+        theirs = other.join(ends.select(key, F.floor(F.col("tail_offset") / size).alias("span"), "tail_offset", "tail_length"), [key, "span"]).select(key, F.sha2(F.substring(F.col("data"), (F.col("tail_offset") - F.col("span") * size + 1).cast("int"), F.col("tail_length").cast("int")), 256).alias("sha"))
+        same = mine.join(theirs, [key, "sha"]).select(key, F.lit(True).alias("same"))
+        rest = rest.join(same, key, "left")
+        tail = F.when(F.col("same"), F.col("start"))
+    until = F.coalesce(tail, F.col("total"))
+    step = lambda op, src, dst, n: F.struct(F.lit(op).alias("op"), src.alias("src_offset"), dst.alias("dest_offset"), n.alias("length"))
+    ends = [step("data", F.col("pending"), F.col("pending"), until - F.col("pending"))]
+    if block < ROLLING_FROM:
+        ends.append(step("copy", tail, F.col("tail_offset"), F.col("total") - tail))
+    last = rest.select(key, F.explode(F.array(*ends)).alias("s")).select(key, "s.*").where("length > 0")
+    return steps.drop("span").unionByName(last)
+
+
 def delta_stats(pairs: DataFrame, steps: DataFrame, block: int, key: str = "pair_id") -> DataFrame:
     """By pair: total_blocks, matched_blocks, transferred_blocks, bytes_saved, bytes_transferred, savings_ratio."""
     sizes = pairs.select(key, F.length("source").cast("long").alias("size"))

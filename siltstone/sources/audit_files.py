@@ -14,7 +14,20 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     if not root and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = root or f"file://{tempfile.gettempdir()}/siltstone-files"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/siltstone-tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(table: DataFrame, label: str) -> DataFrame:
+    """``table`` written as Parquet to a new shared folder and read again: cuts lineage, survives lost executors."""
+    path = fresh_folder(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> bool:
+    """Delete the tables and files that this application put below the shared folder; for when no result of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(fresh_folder(spark, "x").rsplit("/", 1)[0])
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save_plan(plan: DataFrame, path: str) -> None:
