@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import chunking, delta
+from ..functions import blake3
+from ..operators import chunking, delta, spans
 
 ARCHIVE = 512
 LARGE_BLOCK = 64 * 1024
@@ -32,6 +33,8 @@ def _large_delta(spark, d):
 
 
 QUERIES = {
+    "x2_blake3": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", blake3.blake3(F.encode("text", "UTF-8")).alias("blake3")),
+    "x2_blake3_large": lambda s, d: blake3.large_hashes(spans.spans_of(archives(s, d), blake3.SPAN, 0, "file_id"), "file_id"),
     "c1_large_chunks": lambda s, d: chunking.large_content_chunks(archives(s, d)),
     "d3_large_delta": _large_delta,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import chains, logs
+from ..sources import audit_files
 from ..streaming import states
 
 KEY = b"chain-key"
@@ -120,6 +121,24 @@ def _breaker_rows(spark, d):
     return e.select((F.col("user_id") % 10).alias("endpoint"), F.col("event_id").alias("ordinal"), (F.col("event_id") * 700).alias("at_ms"), (F.col("event_type") != "error").alias("succeeded"))
 
 
+def _breaker_stream(spark, d):
+    """The breaker's events as files in the order of time, followed as a stream; a far event moves the watermark past all others."""
+    source, sink, state = (audit_files.fresh_folder(spark, f"breaker-{x}") for x in ("source", "sink", "state"))
+    rows = _breaker_rows(spark, d).withColumn("at_ms", F.col("at_ms") + 1)  # times are positive
+    last = rows.agg(F.lit(-1).cast("long").alias("endpoint"), F.lit(0).cast("long").alias("ordinal"), (F.max("at_ms") + 1_000_000).alias("at_ms"), F.lit(True).alias("succeeded"))
+    rows.unionByName(last).write.json(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, states.ROCKS)
+    try:
+        stream = spark.readStream.schema(rows.schema).json(source)
+        found = states.circuit_breaker_stream(stream, 2, 5000, tick_ms=60_000)
+        found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(found.schema).parquet(sink).where("endpoint >= 0").withColumn("at_ms", F.col("at_ms") - 1)
+
+
 def _formats(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     size = (F.col("o_totalprice").cast("long") * F.pow(F.lit(37.0), F.col("o_orderkey") % 7).cast("long"))
@@ -189,6 +208,7 @@ QUERIES = {
     "x18_x19_backoff": _backoff,
     "o5_nearest_name": _nearest,
     "st3_circuit_breaker": lambda s, d: states.circuit_breaker(_breaker_rows(s, d), 2, 5000),
+    "st3_breaker_stream": _breaker_stream,
     "st4_token_bucket": lambda s, d: states.token_bucket(events(s, d).select((F.col("user_id") % 10).alias("stream"), F.col("event_id").alias("ordinal"), (F.col("event_id") * 3).alias("at_ms"), F.floor(F.col("value") * 1000).cast("long").alias("bytes")), 100_000),
     "st5_retry_outcomes": lambda s, d: states.retry_outcomes(_attempts(s, d)),
     "st6_rates": lambda s, d: logs.instantaneous_rates(events(s, d).select((F.col("event_id") / 20).cast("long").alias("op_id"), (F.col("event_id") * 10).alias("at_ms"), (F.col("event_id") % 20 * 1000).alias("bytes"), F.lit(20_000).alias("total"))),
@@ -235,3 +255,36 @@ SELECT op_id, at_ms, round((bytes - pb) / (at_ms - pa)::DOUBLE * 1000.0, 6) AS r
     "st9_rolling_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 ORACLES["a22_o2_history_tail"] = ORACLES["s8_history"] + " ORDER BY line_no DESC LIMIT 20"
+
+
+# Walks that depend on their own outcomes, by recursion over the events' numbers. ---------------------
+
+_BREAKER = """WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id % 10 AS endpoint, event_id AS ordinal, event_id * 700 AS at_ms, event_type != 'error' AS good, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS k FROM events),
+w AS (SELECT DISTINCT endpoint, 0::BIGINT AS k, 'closed' AS kind, 0::BIGINT AS failures, 0::BIGINT AS opened, 0::BIGINT AS ordinal, 0::BIGINT AS at_ms, true AS allowed FROM ev
+ UNION ALL SELECT endpoint, k, CASE WHEN NOT allowed THEN 'open' WHEN good THEN 'closed' WHEN half OR failures + 1 >= 2 THEN 'open' ELSE kind END, CASE WHEN NOT allowed THEN failures WHEN good THEN 0 ELSE failures + 1 END,
+  CASE WHEN allowed AND NOT good AND (half OR failures + 1 >= 2) THEN at_ms ELSE opened END, ordinal, at_ms, allowed FROM
+  (SELECT ev.endpoint, ev.k, ev.ordinal, ev.at_ms, good, kind, failures, opened, kind = 'open' AS half, kind != 'open' OR ev.at_ms - opened >= 5000 AS allowed FROM w JOIN ev ON ev.endpoint = w.endpoint AND ev.k = w.k + 1))
+SELECT endpoint, ordinal, at_ms, allowed, kind AS state FROM w WHERE k > 0"""
+_BUCKET = """WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id % 10 AS stream, event_id AS ordinal, event_id * 3 AS at_ms, ceil(floor(value * 1000) / 100.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS k FROM events),
+w AS (SELECT stream, k, ordinal, at_ms, tokens, 1000 - tokens AS held FROM ev WHERE k = 1
+ UNION ALL SELECT ev.stream, ev.k, ev.ordinal, ev.at_ms, ev.tokens, least(1000, held + ev.at_ms - w.at_ms) - ev.tokens FROM w JOIN ev ON ev.stream = w.stream AND ev.k = w.k + 1)
+SELECT stream, ordinal, tokens, greatest(0, -held) AS wait_ms FROM w"""
+#: HMAC of bytes x, in hexadecimal.
+_MAC = lambda x: f"sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || {x})))"
+_SIGNED = f"""WITH RECURSIVE can AS MATERIALIZED (SELECT chain, seq, event_type, '{{"sequence":' || seq::VARCHAR || ',"type":"' || event_type || '"}}' AS c FROM (SELECT 'c' || user_id::VARCHAR AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type FROM events)),
+sg AS (SELECT chain, seq, {_MAC(f"unhex('{chains.ZERO}') || encode(c)")} AS h FROM can WHERE seq = 0 UNION ALL SELECT can.chain, can.seq, {_MAC("unhex(h) || encode(can.c)")} FROM sg JOIN can ON can.chain = sg.chain AND can.seq = sg.seq + 1),
+ln AS MATERIALIZED (SELECT can.chain, can.seq AS line_no, can.seq AS sequence, CASE WHEN can.chain = 'c5' AND can.seq = 1 THEN NULL ELSE h END AS h, CASE WHEN can.chain = 'c3' AND can.seq = 2 THEN replace(c, '"type":"', '"type":"x') ELSE c END AS c,
+ row_number() OVER (PARTITION BY can.chain ORDER BY can.seq) AS k FROM can JOIN sg ON sg.chain = can.chain AND sg.seq = can.seq WHERE NOT (can.chain = 'c7' AND can.seq = 4))"""
+_WALKED = """wk AS (SELECT DISTINCT chain, 0::BIGINT AS k, '{zero}' AS prior, -1::BIGINT AS place, 0::BIGINT AS line_no, false AS missing, false AS gap, false AS wrong FROM ln
+ UNION ALL SELECT chain, k, CASE WHEN h IS NULL OR h != want THEN prior ELSE want END, CASE WHEN h IS NULL THEN place ELSE sequence END, line_no, h IS NULL, h IS NOT NULL AND sequence != place + 1, coalesce(h != want, false) FROM
+  (SELECT ln.chain, ln.k, ln.line_no, ln.sequence, ln.h, prior, place, {mac} AS want FROM wk JOIN ln ON ln.chain = wk.chain AND ln.k = wk.k + 1))""".format(zero=chains.ZERO, mac=_MAC("unhex(prior) || encode(ln.c)"))
+_FAILED = f"{_SIGNED}, {_WALKED}, fa AS (SELECT chain, line_no, unnest(list_filter([CASE WHEN missing THEN 'missing_hash' END, CASE WHEN gap THEN 'sequence' END, CASE WHEN wrong THEN 'hash' END], lambda x: x IS NOT NULL)) AS failure FROM wk WHERE k > 0)"
+
+ORACLES["st3_circuit_breaker"] = ORACLES["st3_breaker_stream"] = _BREAKER
+ORACLES["st4_token_bucket"] = _BUCKET
+ORACLES["e2_all_failures"] = f"{_FAILED} SELECT * FROM fa"
+ORACLES["e3_forensic_failures"] = f"{_FAILED} SELECT * FROM fa WHERE failure = 'hash'"
+ORACLES["e2_first_failures"] = f"""{_SIGNED}, t AS (SELECT chain, line_no, CASE WHEN h IS NULL THEN 'missing_hash' WHEN sequence != coalesce(lag(sequence) OVER w + 1, 0) THEN 'sequence' WHEN h != {_MAC(f"unhex(coalesce(lag(h) OVER w, '{chains.ZERO}')) || encode(c)")} THEN 'hash' END AS failure FROM ln WINDOW w AS (PARTITION BY chain ORDER BY line_no))
+SELECT chain, min(line_no) AS line_no, arg_min(failure, line_no) AS failure FROM t WHERE failure IS NOT NULL GROUP BY chain"""
+ORACLES["e1_e4_chain_report"] = f"""{_FAILED}, b AS (SELECT chain, count(DISTINCT line_no) AS n FROM fa GROUP BY chain)
+SELECT e.chain, events, coalesce(n, 0) AS failures, n IS NULL AS is_valid, round(coalesce(n, 0) / events::DOUBLE * 100.0, 6) AS failure_rate FROM (SELECT chain, count(*) AS events FROM ln GROUP BY chain) e LEFT JOIN b ON b.chain = e.chain"""

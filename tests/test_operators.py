@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import hashes, patterns, scalars
-from siltstone.operators import chains, chunking, containers, dedup, delta, index, logs, manifests, sync
+from siltstone.functions import blake3, hashes, patterns, scalars
+from siltstone.operators import chains, chunking, containers, dedup, delta, index, logs, manifests, spans, sync
 from siltstone.plans import logs as log_plans
 from siltstone.sources import commands, listing
 from siltstone.streaming import states
@@ -308,16 +308,72 @@ def test_circuit_breaker():
     assert seen == [(True, "closed"), (True, "open"), (False, "open"), (True, "closed"), (True, "closed")]
 
 
-def test_breaker_stream_equals_batch(spark, tmp_path):
-    rows = [(f"e{i % 3}", i, i * 900, i % 4 != 1) for i in range(60)]
+def test_breaker_stream_equals_batch_over_restarts(spark, tmp_path):
+    """Events out of order within the watermark's delay, in three runs from one checkpoint."""
+    rnd = random.Random(8)
+    rows = [(f"e{i % 3}", i, i // 2 * 1800 + 1, i % 4 != 1) for i in range(90)]
     df = spark.createDataFrame(rows, "endpoint string, ordinal long, at_ms long, succeeded boolean")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    query = states.circuit_breaker_stream(stream, 2, 3000).writeStream.format("memory").queryName("breaker").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
     batch = {tuple(r) for r in states.circuit_breaker(df, 2, 3000).collect()}
-    assert {tuple(r) for r in spark.table("breaker").collect()} == batch
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with pytest.raises(ValueError):
+        states.circuit_breaker_stream(stream)
+    spark.conf.set(name, states.ROCKS)
+    try:
+        found = states.circuit_breaker_stream(stream, 2, 3000, late="30 seconds")
+        for part in (rows[:30], rows[30:60], [*rows[60:], ("end", 0, 10**7, True)]):
+            rnd.shuffle(part)
+            spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert {tuple(r) for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()} == batch
+
+
+def test_token_bucket_equals_the_fold(spark):
+    """One stream in many ranges, ties in time, nulls as a stream's name, requests above the capacity."""
+    rnd, rows = random.Random(7), []
+    for i in range(400):
+        rows.append((rnd.choice(["hot", "hot", "hot", "b", None]), i, rnd.randrange(6000), rnd.choice([0, 1, 50, 4000, 200_000])))
+    df = spark.createDataFrame(rows, "stream string, ordinal long, at_ms long, bytes long").repartition(3)
+    want, held = {}, {}
+    for name, i, at, size in sorted(rows, key=lambda r: (r[2], r[1])):
+        left, last = held.get(name, (1000, at))
+        asked = -(-size // 100)
+        left = min(1000, left + at - last) - asked
+        held[name] = (left, at)
+        want[i] = (name, asked, max(0, -left))
+    found = states.token_bucket(df, 100_000)
+    assert {r.ordinal: (r.stream, r.tokens, r.wait_ms) for r in found.collect()} == want
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_blake3_of_public_vectors_and_of_files_in_spans(spark, monkeypatch):
+    known = {  # fixed values: the published vectors, whose input counts up modulo 251
+        0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262",
+        1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213",
+        1023: "10108970eeda3eb932baac1428c7a2163b0e924c9a9e25b35bba72b28f70bd11",
+        1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+        1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+        2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a",
+        2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030",
+        3072: "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2",
+    }
+    contents = {n: bytes(i % 251 for i in range(n)) for n in known}
+    assert dict(zip(known, blake3.hashes(list(contents.values())), strict=True)) == known
+    files = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()] + [(-1, None)], "file_id long, content binary")
+    assert {r.file_id: r.h for r in files.select("file_id", blake3.blake3("content").alias("h")).collect()} == known | {-1: None}
+    large = {n: random.Random(n).randbytes(n) for n in (1, 2048, 2049, 4096, 30_001, 65_536, 70_000, 131_072)}
+    whole = dict(zip(large, blake3.hashes(list(large.values())), strict=True))
+    monkeypatch.setattr(blake3, "TOGETHER", 8)
+    assert dict(zip(large, blake3.hashes(list(large.values())), strict=True)) == whole
+    monkeypatch.setattr(blake3, "SPAN", 2048)
+    monkeypatch.setattr(blake3, "GROUP", 4)
+    files = spark.createDataFrame([(n, bytearray(c)) for n, c in large.items()], "file_id long, content binary")
+    held = spans.spans_of(spans.pieces_of(files, 3000, "file_id", "content"), 2048, 0, "file_id")
+    assert {r.file_id: r.blake3 for r in blake3.large_hashes(held, "file_id").collect()} == whole
 
 
 def test_rolling_counts_stream(spark, sf_dir, tmp_path):
