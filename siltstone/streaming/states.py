@@ -70,7 +70,7 @@ class BreakerProcessor(StatefulProcessor):
     def _keep(self, held: dict[int, list]) -> None:
         for tick, events in held.items():
             if self.waiting.containsKey((tick,)):
-                events = [*self.waiting.getValue((tick,))[0], *events]
+                events = [*map(tuple, self.waiting.getValue((tick,))[0]), *events]
             else:
                 self.handle.registerTimer((tick + 1) * self.tick_ms)
             self.waiting.updateValue((tick,), (events,))

@@ -322,7 +322,7 @@ def test_breaker_stream_equals_batch_over_restarts(spark, tmp_path):
         states.circuit_breaker_stream(stream)
     spark.conf.set(name, states.ROCKS)
     try:
-        found = states.circuit_breaker_stream(stream, 2, 3000, late="30 seconds")
+        found = states.circuit_breaker_stream(stream, 2, 3000, late="30 seconds", tick_ms=5000)
         for part in (rows[:30], rows[30:60], [*rows[60:], ("end", 0, 10**7, True)]):
             rnd.shuffle(part)
             spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
