@@ -98,6 +98,48 @@ def bitmap_ranks(bits: DataFrame) -> DataFrame:
     return bits.withColumn("rank", rank).withColumn("select_index", F.when(F.col("bit"), F.col("rank")))
 
 
+#: Bits of a word of a bitmap; words have at most 63, so that they stay positive.
+WORD_BITS, SUPER_WORDS = 60, 64
+
+
+def rank_directory(bits: DataFrame) -> DataFrame:
+    """(window_id, super, ahead, base, words): a bitmap (window_id, pos, bit) in packed words with the ones before each word.
+
+    A super-block has ``SUPER_WORDS`` words of ``WORD_BITS`` positions; ``base``
+    has the ones of the super-block before each word and ``ahead`` those of the
+    window before the super-block. Only counts of super-blocks are summed in
+    order, one row for some 4000 positions.
+    """
+    word = F.expr(f"pos div {WORD_BITS}").alias("word")
+    packed = bits.where("bit").groupBy("window_id", word).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pos % {WORD_BITS}))")).alias("mask"))
+    held = packed.groupBy("window_id", F.expr(f"word div {SUPER_WORDS}").alias("super")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % SUPER_WORDS).cast("int").alias("at"), "mask"))).alias("found"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(SUPER_WORDS - 1)), lambda i: F.coalesce(F.get(F.array(F.try_element_at("found", i)), F.lit(0)), F.lit(0).cast("long")))
+    rows = held.select("window_id", "super", words.alias("words"))
+    sums = F.aggregate("words", F.array(F.lit(0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + F.bit_count(w)))
+    before = W.partitionBy("window_id").orderBy("super").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("base", sums).withColumn("ones", F.element_at("base", -1))
+    return rows.select("window_id", "super", F.coalesce(F.sum("ones").over(before), F.lit(0)).cast("long").alias("ahead"), "base", "words")
+
+
+def ranks_at(probes: DataFrame, directory: DataFrame) -> DataFrame:
+    """Probes (window_id, pos) with ``rank``, the ones before pos, and ``set``, whether pos has one: a join and two look-ups.
+
+    Where a probe's super-block has no ones, the nearest before it counts.
+    """
+    size = WORD_BITS * SUPER_WORDS
+    asked = probes.withColumn("super", F.expr(f"pos div {size}"))
+    wanted = asked.select("window_id", "super").distinct().join(directory.select("window_id", "super", "ahead", "base", "words"), ["window_id", "super"], "full_outer")
+    earlier = W.partitionBy("window_id").orderBy("super").rowsBetween(W.unboundedPreceding, 0)
+    known = wanted.withColumn("upto", F.coalesce(F.last(F.col("ahead") + F.element_at("base", -1), ignorenulls=True).over(earlier), F.lit(0)))
+    word = F.expr(f"int(pos div {WORD_BITS} % {SUPER_WORDS})")
+    mask, shift = F.get("words", word), F.expr(f"int(pos % {WORD_BITS})")
+    below = F.bit_count(mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1))
+    one = F.call_function("shiftright", mask, shift).bitwiseAND(F.lit(1).cast("long")) == 1
+    found = asked.join(known, ["window_id", "super"])
+    rank = F.when(F.col("words").isNull(), F.col("upto")).otherwise(F.col("ahead") + F.get("base", word) + below)
+    return found.select(*probes.columns, rank.cast("long").alias("rank"), F.coalesce(one, F.lit(False)).alias("set"))
+
+
 def window_progress(bits: DataFrame) -> DataFrame:
     """By window: total, completed, missing, next_missing (null when complete), percent (0 for an empty window)."""
     return bits.groupBy("window_id").agg(
@@ -139,11 +181,8 @@ def bloom_probe(probes: DataFrame, value: str, words: DataFrame, m: int, k: int)
     if m // 8 <= BROADCAST_BYTES:
         dense = words.sparkSession.range(m // 64 + 1).join(words, F.col("id") == F.col("word"), "left").select("id", F.coalesce("mask", F.lit(0)).alias("mask"))
         bitmap = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "mask"))), lambda x: x["mask"]).alias("bitmap"))
-        asked, found = asked.withColumn("__at", bloom_positions(F.col(value), m, k)), F.lit(True)
-        for i in range(k):
-            p = F.col("__at")[i]
-            found = found & has(F.element_at(bitmap.scalar(), (F.floor(p / 64) + 1).cast("int")), p)
-        return asked.where(found).select(value)
+        asked = asked.withColumn("bitmap", bitmap.scalar())
+        return asked.where(F.forall(bloom_positions(F.col(value), m, k), lambda p: has(F.get("bitmap", F.floor(p / 64).cast("int")), p))).select(value)
     bits = asked.select(value, F.explode(F.array_distinct(bloom_positions(F.col(value), m, k))).alias("bit")).withColumn("word", F.expr("bit div 64"))
     seen = bits.join(words, "word", "left").groupBy(value).agg(F.bool_and(F.coalesce(has(F.col("mask"), F.col("bit")), F.lit(False))).alias("all"))
     return seen.where("all").select(value)

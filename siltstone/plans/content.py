@@ -264,6 +264,7 @@ QUERIES = {
     "r1_bloom": _bloom,
     "r1_bloom_rate": _bloom_rates,
     "r2_rank_select": lambda s, d: index.bitmap_ranks(_bits(s, d)),
+    "r2_rank_directory": lambda s, d: index.ranks_at(_bits(s, d).select("window_id", (F.col("pos") + F.col("window_id") % 3).alias("pos")), index.rank_directory(_bits(s, d))),
     "r3_a12_window_progress": lambda s, d: index.window_progress(_bits(s, d)),
     "p2_p3_windows": _windows,
     "p1_cargo": _cargo,
@@ -334,6 +335,8 @@ SELECT path, row_number() OVER (ORDER BY fm, path) AS file_id, locations FROM f"
     "r1_bloom": f"WITH {LINE_SQL}, p AS (SELECT content_id, content_id IN (SELECT p_partkey FROM part WHERE p_size <= 25) AS member FROM (SELECT DISTINCT content_id FROM loc)) SELECT count(*) FILTER (member) AS members, 0::BIGINT AS missed, count(*) FILTER (NOT member) AS others, true AS within_rate FROM p",
     "r1_bloom_rate": "WITH p AS (SELECT ceil(-1000 * ln(0.01) / ln(2) ** 2)::INT AS m), q AS (SELECT m, greatest(1, ceil(m / 1000.0::DOUBLE * ln(2)))::INT AS k FROM p) SELECT n_nationkey * 100 AS n, round((1 - exp(-k * n_nationkey * 100 / m::DOUBLE)) ** k, 9) AS rate, m, k FROM nation, q",
     "r2_rank_select": f"WITH {BITS_SQL}, r AS (SELECT *, coalesce(sum(bit::INT) OVER (PARTITION BY window_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM bits) SELECT window_id, pos, bit, rank, CASE WHEN bit THEN rank END AS select_index FROM r",
+    "r2_rank_directory": f"""WITH {BITS_SQL}, one AS (SELECT window_id, pos, row_number() OVER (PARTITION BY window_id ORDER BY pos) AS k FROM bits WHERE bit), p AS (SELECT window_id, pos + window_id % 3 AS pos FROM bits)
+SELECT p.window_id, p.pos, coalesce(one.k, 0) - coalesce((one.pos = p.pos)::INT, 0) AS rank, coalesce(one.pos = p.pos, false) AS "set" FROM p ASOF LEFT JOIN one ON one.window_id = p.window_id AND one.pos <= p.pos""",
     "r3_a12_window_progress": f"WITH {BITS_SQL} SELECT window_id, count(*) AS total, count(*) FILTER (bit) AS completed, count(*) FILTER (NOT bit) AS missing, min(pos) FILTER (NOT bit) AS next_missing, round((count(*) FILTER (bit)) / count(*)::DOUBLE * 100.0, 6) AS percent FROM bits GROUP BY 1",
     "p2_p3_windows": WINDOWS_SQL + "SELECT * FROM r",
     "p1_cargo": WINDOWS_SQL + """, t AS (SELECT file_id, count(*) AS chunks, sum(length)::BIGINT AS size FROM ch GROUP BY 1)

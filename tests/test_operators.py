@@ -294,6 +294,15 @@ def test_strict_reader_fails(spark, tmp_path):
         logs.read_strict(spark, str(tmp_path), "a int").collect()
 
 
+def test_ranks_from_the_directory(spark):
+    """Small and sparse windows, probes between, before and after all ones, in super-blocks that have none."""
+    ones = {1: [5, 10, 15], 2: [0, 59, 60, 61, 3839, 3840, 20_000], 3: []}
+    bits = spark.createDataFrame([(w, p, True) for w, held in ones.items() for p in held] + [(3, 7, False), (1, 6, False)], "window_id long, pos long, bit boolean")
+    asked = [(w, p) for w in (1, 2, 3, 4) for p in (0, 5, 6, 11, 20, 59, 60, 62, 3839, 3840, 3841, 9000, 20_000, 20_001, 10**6)]
+    found = index.ranks_at(spark.createDataFrame(asked, "window_id long, pos long"), index.rank_directory(bits))
+    assert {(r.window_id, r.pos): (r.rank, r.set) for r in found.collect()} == {(w, p): (sum(x < p for x in ones.get(w, ())), p in ones.get(w, ())) for w, p in asked}
+
+
 def test_retry_outcomes(spark):
     rows = [("a", 1, "io", True, "abort"), ("a", 2, None, False, "abort"), ("b", 1, "config", False, "abort"), ("c", 1, "io", True, "skip"), ("c", 2, None, False, "skip")]
     df = spark.createDataFrame(rows, "op_id string, attempt int, error_kind string, is_transient boolean, mode string")
