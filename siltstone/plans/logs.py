@@ -199,6 +199,7 @@ QUERIES = {
     "e1_e4_chain_report": _chain_report,
     "e2_first_failures": lambda s, d: chains.first_failures(signed_lines(s, d), KEY),
     "e2_all_failures": lambda s, d: chains.all_failures(signed_lines(s, d), KEY),
+    "e2_failures_in_ranges": lambda s, d: chains.failures_in_ranges(signed_lines(s, d), KEY),
     "e3_forensic_failures": lambda s, d: chains.all_failures(signed_lines(s, d), KEY, skip_hashless=True),
     "x6_hmac": _hmac,
     "x7_x22_text_functions": _texts,
@@ -282,7 +283,7 @@ _FAILED = f"{_SIGNED}, {_WALKED}, fa AS (SELECT chain, line_no, unnest(list_filt
 
 ORACLES["st3_circuit_breaker"] = ORACLES["st3_breaker_stream"] = _BREAKER
 ORACLES["st4_token_bucket"] = _BUCKET
-ORACLES["e2_all_failures"] = f"{_FAILED} SELECT * FROM fa"
+ORACLES["e2_all_failures"] = ORACLES["e2_failures_in_ranges"] = f"{_FAILED} SELECT * FROM fa"
 ORACLES["e3_forensic_failures"] = f"{_FAILED} SELECT * FROM fa WHERE failure = 'hash'"
 ORACLES["e2_first_failures"] = f"""{_SIGNED}, t AS (SELECT chain, line_no, CASE WHEN h IS NULL THEN 'missing_hash' WHEN sequence != coalesce(lag(sequence) OVER w + 1, 0) THEN 'sequence' WHEN h != {_MAC(f"unhex(coalesce(lag(h) OVER w, '{chains.ZERO}')) || encode(c)")} THEN 'hash' END AS failure FROM ln WINDOW w AS (PARTITION BY chain ORDER BY line_no))
 SELECT chain, min(line_no) AS line_no, arg_min(failure, line_no) AS failure FROM t WHERE failure IS NOT NULL GROUP BY chain"""

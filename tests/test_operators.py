@@ -294,6 +294,32 @@ def test_strict_reader_fails(spark, tmp_path):
         logs.read_strict(spark, str(tmp_path), "a int").collect()
 
 
+def test_failures_in_ranges_equal_the_walk(spark):
+    """Chains altered, cut and stripped; one whose lines fit the last good hash again, twice; one long chain in many ranges."""
+    key, rows = b"k", []
+    mac = lambda prior, text: hmac.new(key, prior + text.encode(), hashlib.sha256).digest()
+    rnd = random.Random(11)
+    for chain in ("whole", "altered", "again", "cut", "bare", "long"):
+        prior, good = bytes(32), bytes(32)
+        for i in range(200 if chain == "long" else 30):
+            text = f'{{"sequence":{i},"type":"{rnd.choice("abc")}"}}'
+            stuck = chain == "again" and i in (9, 10, 20) or chain == "long" and i == 150
+            prior = mac(good if chain == "again" and i in (12, 23) else prior, text)
+            if chain == "again" and i not in (*range(9, 12), *range(20, 23)):
+                good = prior
+            line = text if chain == "bare" and i % 7 == 3 else f'{{"integrity_hash":"{prior.hex()}",{text[1:]}'
+            line = line.replace('"type":"', '"type":"x') if stuck or chain == "altered" and i == 5 else line
+            if not (chain == "cut" and i in (0, 8)):
+                rows.append((chain, i, line))
+    lines = spark.createDataFrame(rows, "chain string, line_no long, value string").repartition(5)
+    for skip in (False, True):
+        want = sorted(map(tuple, chains.all_failures(lines, key, skip).collect()))
+        assert sorted(map(tuple, chains.failures_in_ranges(lines, key, skip).collect())) == want
+    failed = {r.line_no for r in chains.failures_in_ranges(lines, key).where("chain = 'again'").collect()}
+    assert {9, 20} <= failed and not failed & {13, 14, 15, 24, 25}
+    assert chains.failures_in_ranges(lines.limit(0), key).count() == 0
+
+
 def test_ranks_from_the_directory(spark):
     """Small and sparse windows, probes between, before and after all ones, in super-blocks that have none."""
     ones = {1: [5, 10, 15], 2: [0, 59, 60, 61, 3839, 3840, 20_000], 3: []}
