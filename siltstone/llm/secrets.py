@@ -202,10 +202,14 @@ def _summed(docs: DataFrame, measure: Callable, shape: tuple[int, ...], text: st
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> Models:
-    """Models from the random strings and about ``sample`` documents chosen by a hash of their ids, the threshold from a fifth of these."""
+    """Models from the random strings and about ``sample`` documents chosen by a hash of id and text, the threshold from a fifth of these.
+
+    Rows equal in both count once, so that no group of copies fills the sample.
+    """
     every = max(1, docs.count() // sample)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(5 * every))
-    chosen = materialise(docs.where(place % every == 0).select(F.col(text).alias("text"), (place == 0).alias("apart")), "secrets-sample")
+    hashed = docs.select(F.xxhash64("doc_id", text).alias("hash"), F.col(text).alias("text")).withColumn("place", F.pmod("hash", F.lit(5 * every)))
+    chosen = hashed.where(F.col("place") % every == 0).groupBy("hash").agg(F.first("text").alias("text"), (F.first("place") == 0).alias("apart"))
+    chosen = materialise(chosen.drop("hash"), "secrets-sample")
 
     def steps(joined: bytes, data: np.ndarray) -> np.ndarray:
         values, others = labelled(joined, data, 5)
