@@ -127,9 +127,12 @@ def partial_valid(manifest: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def upsert(entries: DataFrame, key: str = "dest_path", order: str = "transferred_at") -> DataFrame:
-    """The latest entry of each key."""
-    newest = F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))
-    return entries.withColumn("__n", newest).where("__n = 1").drop("__n")
+    """The latest entry of each key, in columns that can be ordered; of entries equal in time the largest by the other columns.
+
+    A maximum is taken partly before the shuffle, so a key with many versions is no task's burden.
+    """
+    newest = entries.groupBy(key).agg(F.max(F.struct(order, *[c for c in entries.columns if c not in (key, order)])).alias("__newest"))
+    return newest.select(key, "__newest.*").select(*entries.columns)
 
 
 def journal_stats(operations: DataFrame) -> DataFrame:
