@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.audit_files import written
+
 BLOCK = 64 * 1024
 #: Operations of a block that one task takes in the first of two passes.
 HOT = 10_000
@@ -51,18 +53,22 @@ def steps(entries: DataFrame) -> DataFrame:
 
 
 def _sized(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that are there at the end (path, final), and the operations since each file's last creation or deletion."""
+    """Files that are there at the end (path, final), and the operations since each file's last creation or deletion.
+
+    Both are written, so that the journal is read twice in all: for when files
+    were last made anew, and for what counts since.
+    """
     at = F.struct("ordinal", "step")
     last = operations.groupBy("path").agg(
         F.max(F.when(F.col("op").isin("create_file", "delete_file"), at)).alias("reset"),
         F.max(F.when(F.col("size").isNotNull(), F.struct("ordinal", "step", "size"))).alias("sizer"),
-        F.max_by("op", at).alias("newest"),
-    ).where("newest != 'delete_file'").drop("newest")
-    since = operations.join(last, "path").where(F.col("reset").isNull() | (at >= F.col("reset")))
+        F.max(F.struct("ordinal", "step", "op")).alias("newest"),
+    ).where("newest.op != 'delete_file'").drop("newest")
+    since = operations.withColumn("end", F.when(F.col("op") == "write_chunk", F.col("offset") + F.length("data")))
+    since = written(since.join(last, "path").where(F.col("reset").isNull() | (at >= F.col("reset"))).drop("reset"), "journal")
     later = F.col("sizer").isNull() | (at > F.struct("sizer.ordinal", "sizer.step"))
-    end = F.when((F.col("op") == "write_chunk") & later, F.col("offset") + F.length("data"))
-    finals = since.groupBy("path").agg(F.greatest(F.coalesce(F.max(end), F.lit(0)), F.coalesce(F.max("sizer.size"), F.lit(0))).cast("long").alias("final"))
-    return finals, since.drop("reset", "sizer")
+    finals = since.groupBy("path").agg(F.greatest(F.coalesce(F.max(F.when(later, F.col("end"))), F.lit(0)), F.coalesce(F.max("sizer.size"), F.lit(0))).cast("long").alias("final"))
+    return written(finals, "journal-files"), since.drop("sizer", "end")
 
 
 def _over_blocks(rows: DataFrame, block: int, data: Column) -> DataFrame:
@@ -126,10 +132,12 @@ def _resolved(made: DataFrame, block: int, hot: int) -> DataFrame:
     """Pieces as they stand at the end. Those under a newer piece of the whole block go first; of hot blocks, slices are claimed first."""
     at = F.struct("ordinal", "step")
     counts = made.groupBy("path", "block").agg(F.count("*").alias("n"), F.max(F.when((F.col("start") == 0) & (F.col("length") == block), at)).alias("whole"))
+    counts = written(counts, "journal-blocks")
     rows = made.join(counts, ["path", "block"]).where(F.col("whole").isNull() | (at >= F.col("whole")))
-    rows = rows.withColumn("slice", F.when(F.col("n") > hot, F.pmod(F.xxhash64("ordinal", "step"), F.ceil(F.col("n") / hot))).otherwise(0)).drop("whole")
-    first = _claimed(rows.where(F.col("n") > hot).drop("n"), block)
-    return _claimed(rows.where(F.col("n") <= hot).drop("n", "slice").unionByName(first).withColumn("slice", F.lit(0)), block)
+    if not counts.where(F.col("n") > hot).isEmpty():
+        sliced = rows.where(F.col("n") > hot).withColumn("slice", F.pmod(F.xxhash64("ordinal", "step"), F.ceil(F.col("n") / hot)))
+        rows = rows.where(F.col("n") <= hot).select(*made.columns).unionByName(_claimed(sliced.select(*made.columns, "slice"), block))
+    return _claimed(rows.select(*made.columns).withColumn("slice", F.lit(0)), block)
 
 
 def extents(operations: DataFrame, existing: DataFrame | None = None, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -146,7 +154,10 @@ def extents(operations: DataFrame, existing: DataFrame | None = None, block: int
 
 def blocks(operations: DataFrame, existing: DataFrame | None = None, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(path, block, data): the files' bytes at the end, by block."""
-    _, made = pieces(operations, existing, block)
+    return _assembled(pieces(operations, existing, block)[1], block, hot)
+
+
+def _assembled(made: DataFrame, block: int, hot: int) -> DataFrame:
     bytes_of = F.coalesce("data", F.unhex(F.repeat(F.lit("00"), F.col("length"))))
     held = _resolved(made, block, hot).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("start", bytes_of.alias("data")))).alias("parts"))  # at most a block's bytes
     joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
@@ -155,8 +166,8 @@ def blocks(operations: DataFrame, existing: DataFrame | None = None, block: int
 
 def contents(operations: DataFrame, existing: DataFrame | None = None, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(path, size, blocks, digest) of files that are there at the end: SHA-256 over the SHA-256 digests of the blocks, as hex, in order."""
-    finals, _ = pieces(operations, existing, block)
-    hashed = blocks(operations, existing, block, hot).select("path", "block", F.sha2("data", 256).alias("own"))
+    finals, made = pieces(operations, existing, block)
+    hashed = _assembled(made, block, hot).select("path", "block", F.sha2("data", 256).alias("own"))
     roots = hashed.groupBy("path").agg(F.count("*").alias("blocks"), F.array_sort(F.collect_list(F.struct("block", "own"))).alias("all"))  # 64 hex digits a block
     digest = F.sha2(F.array_join(F.transform(F.coalesce("all", F.array().cast("array<struct<block:bigint,own:string>>")), lambda p: p["own"]), ""), 256)
     return finals.join(roots, "path", "left").select("path", F.col("final").alias("size"), F.coalesce("blocks", F.lit(0)).alias("blocks"), digest.alias("digest"))
