@@ -55,7 +55,7 @@ def steps(entries: DataFrame) -> DataFrame:
 def _sized(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files that are there at the end (path, final), and the operations since each file's last creation or deletion.
 
-    Both are written, so that the journal is read twice in all: for when files
+    Tables are written, so that the journal is read twice in all: for when files
     were last made anew, and for what counts since.
     """
     at = F.struct("ordinal", "step")
@@ -64,6 +64,7 @@ def _sized(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.when(F.col("size").isNotNull(), F.struct("ordinal", "step", "size"))).alias("sizer"),
         F.max(F.struct("ordinal", "step", "op")).alias("newest"),
     ).where("newest.op != 'delete_file'").drop("newest")
+    last = written(last, "journal-last")  # so that its size is known: a small one needs no shuffle of operations by path
     since = operations.withColumn("end", F.when(F.col("op") == "write_chunk", F.col("offset") + F.length("data")))
     since = written(since.join(last, "path").where(F.col("reset").isNull() | (at >= F.col("reset"))).drop("reset"), "journal")
     later = F.col("sizer").isNull() | (at > F.struct("sizer.ordinal", "sizer.step"))
