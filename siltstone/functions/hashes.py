@@ -32,8 +32,3 @@ def rotating_hash(data: bytes) -> int:
     with np.errstate(over="ignore"):
         turned = np.where(turns == 0, terms, (terms << turns) | (terms >> ((np.uint64(64) - turns) % np.uint64(64))))
     return int(np.bitwise_xor.reduce(turned)) if len(terms) else 0
-
-
-@F.pandas_udf(T.StringType())
-def rotating_hash_hex(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else f"{rotating_hash(bytes(b)):016x}")
