@@ -32,3 +32,13 @@ def test_slices_have_all_rows_and_few_bytes():
     got = list(batches.slices([batch, batch.slice(0, 0)], 1, most=10))
     assert [r for b in got for r in b.column(1).to_pylist()] == values
     assert all(b.num_rows == 1 or sum(len(v or b"") for v in b.column(1).to_pylist()) <= 10 for b in got)
+
+
+def test_steps_meet_their_destination_once_a_pair(spark):
+    """Rows with a step and a whole destination were sorted by the aggregate, and spilled."""
+    held, files = contents(spark)
+    pairs = files.selectExpr("file_id AS pair_id", "content AS source", "reverse(content) AS dest").unionByName(files.selectExpr("file_id + 100 AS pair_id", "content AS source", "substring(content, 30) AS dest"))
+    found = delta.rebuilt(pairs, delta.deltas(pairs, 16))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    assert {r.pair_id: bytes(r.content) for r in found.collect()} == {k + n: v for k, v in held.items() for n in (0, 100) if v}
