@@ -42,3 +42,15 @@ def test_steps_meet_their_destination_once_a_pair(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
     assert {r.pair_id: bytes(r.content) for r in found.collect()} == {k + n: v for k, v in held.items() for n in (0, 100) if v}
+
+
+def large_batch(rows, columns):
+    rnd = random.Random(9)
+    return pa.RecordBatch.from_arrays([pa.array(range(rows)), *[pa.array([rnd.randbytes(1000) for _ in range(rows)], pa.binary()) for _ in range(columns)]], names=["k", "a", "b"][: columns + 1])
+
+
+def test_steps_of_a_batch_go_out_in_slices():
+    batch = large_batch(3000, 2)
+    out = list(delta._steps([batch], 64, "k"))
+    assert len(out) > 5 and max(b.nbytes for b in out) < 2 * batches.AT_ONCE
+    assert [r["k"] for b in out for r in b.to_pylist()] == list(range(3000))
