@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.hashes import derived_table
 from ..sources.audit_files import written
 from . import spans
+from .batches import record_batch, slices
 
 GEAR = derived_table("gear") & 0xFFF  # no more bits are looked at
 
@@ -105,27 +106,26 @@ def cut_points(data: bytes, config: ChunkConfig, below: int = CUT_BELOW) -> list
     return ends
 
 
+def _chunk_rows(batches: Iterator[pa.RecordBatch], config: ChunkConfig, key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of chunks from batches (key, content), a slice of contents at a time."""
+    for batch in slices(batches, 1):
+        rows: list[tuple] = []
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            start = 0
+            for i, end in enumerate(cut_points(data, config) if data else []):
+                piece = data[start:end]
+                rows.append((k, i, start, end - start, hashlib.sha256(piece).hexdigest(), not any(piece)))
+                start = end
+        yield record_batch(rows, {key: batch.column(0).type, "chunk_index": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "content_id": pa.string(), "is_zero": pa.bool_()})
+
+
 def content_chunks(files: DataFrame, config: ChunkConfig = ChunkConfig(), key: str = "file_id", content: str = "content") -> DataFrame:  # noqa: B008
     """(key, chunk_index, offset, length, content_id, is_zero) of content-defined chunks; no rows for empty content.
 
     Arrow batches in, one row a chunk out; no shuffle.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = 0
-                for i, end in enumerate(cut_points(data, config) if data else []):
-                    piece = data[start:end]
-                    rows.append((k, i, start, end - start, hashlib.sha256(piece).hexdigest(), not any(piece)))
-                    start = end
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "chunk_index", "offset", "length", "content_id", "is_zero"])
-
     kind = files.schema[key].dataType.simpleString()
-    return files.select(key, content).mapInArrow(cut, f"`{key}` {kind}, chunk_index long, offset long, length long, content_id string, is_zero boolean")
+    return files.select(key, content).mapInArrow(lambda batches: _chunk_rows(batches, config, key), f"`{key}` {kind}, chunk_index long, offset long, length long, content_id string, is_zero boolean")
 
 
 def large_content_chunks(pieces: DataFrame, config: ChunkConfig = ChunkConfig(), key: str = "file_id", least_span: int = 1 << 20) -> DataFrame:  # noqa: B008

@@ -7,7 +7,7 @@ import zlib
 import pyarrow as pa
 
 from siltstone.functions.hashes import rotating_hash
-from siltstone.operators import batches, delta
+from siltstone.operators import batches, chunking, delta
 
 
 def contents(spark):
@@ -54,3 +54,10 @@ def test_steps_of_a_batch_go_out_in_slices():
     out = list(delta._steps([batch], 64, "k"))
     assert len(out) > 5 and max(b.nbytes for b in out) < 2 * batches.AT_ONCE
     assert [r["k"] for b in out for r in b.to_pylist()] == list(range(3000))
+
+
+def test_chunks_of_a_batch_go_out_in_slices():
+    batch, config = large_batch(3000, 1), chunking.ChunkConfig(64, 256, 1024)
+    out = list(chunking._chunk_rows([batch], config, "k"))
+    assert len(out) > 2 and sum(sum(b.column("length").to_pylist()) for b in out) == 3_000_000
+    assert max(b.num_rows for b in out) < 20_000
