@@ -4,10 +4,11 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 
 from siltstone.functions.hashes import rotating_hash
-from siltstone.operators import batches, chunking, delta
+from siltstone.operators import batches, chunking, delta, spans
 
 
 def contents(spark):
@@ -61,3 +62,26 @@ def test_chunks_of_a_batch_go_out_in_slices():
     out = list(chunking._chunk_rows([batch], config, "k"))
     assert len(out) > 2 and sum(sum(b.column("length").to_pylist()) for b in out) == 3_000_000
     assert max(b.num_rows for b in out) < 20_000
+
+
+def test_jump_tables_of_matches_equal_those_of_all_places():
+    rnd = np.random.default_rng(1)
+    for _ in range(500):
+        block = int(rnd.integers(1, 20))
+        size = block * int(rnd.integers(2, 8))
+        places = np.sort(rnd.choice(size, int(rnd.integers(1, size + 1)), replace=False))
+        nth = np.searchsorted(places, np.arange(size))
+        after = np.where(nth < len(places), places[np.minimum(nth, len(places) - 1)] + block, size)
+        want = spans.jump_table(after, np.where(nth < len(places), after, -1), size, block)
+        assert all(np.array_equal(a, b) for a, b in zip(delta._match_table(places, size, block), want, strict=True))
+
+
+def test_choices_of_spans_are_dealt_by_number(spark, monkeypatch):
+    """Matches are few bytes, which a coalesced shuffle put into one task."""
+    plans = {}
+    monkeypatch.setattr(delta, "written", lambda table, label: plans.update({label: table._jdf.queryExecution().toString()}) or table)
+    data = random.Random(2).randbytes(9000)
+    files = spark.createDataFrame([(1, 0, bytearray(data))], "file_id long, offset long, data binary")
+    assert delta.large_deltas(files, files, 64, least_span=512).count() == 9000 // 64 + 1
+    for label in ("delta-tables", "delta-chosen"):
+        assert "REPARTITION_BY_NUM" in plans[label]
