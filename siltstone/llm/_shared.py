@@ -11,13 +11,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.audit_files import bounded_batches
+
 #: The white space of the contracts: space and \t \n \v \f \r.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -33,21 +34,6 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/siltstone-shared"
 
 
-@contextmanager
-def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]:
-    """Arrow batches of at most ``most`` bytes for the jobs inside, unless the session has a bound of its own: workers hold a few at a time."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    if before.rstrip("b") != str(64 << 20):
-        yield
-        return
-    spark.conf.set(name, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the application's own part of the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

@@ -4,10 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes for the jobs inside, unless the session has a bound of its own: workers hold a few at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    if before.rstrip("b") != str(64 << 20):
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new folder name in the folder all executors share; in local mode without one, in a folder of this machine."""
     root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
@@ -20,7 +37,8 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 def written(table: DataFrame, label: str) -> DataFrame:
     """``table`` written as Parquet to a new shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_folder(table.sparkSession, label)
-    table.write.parquet(path)
+    with bounded_batches(table.sparkSession, 4 << 20):
+        table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from siltstone.functions.hashes import rotating_hash
 from siltstone.operators import batches, chunking, delta, spans
+from siltstone.sources.audit_files import written
 
 
 def contents(spark):
@@ -85,3 +86,11 @@ def test_choices_of_spans_are_dealt_by_number(spark, monkeypatch):
     assert delta.large_deltas(files, files, 64, least_span=512).count() == 9000 // 64 + 1
     for label in ("delta-tables", "delta-chosen"):
         assert "REPARTITION_BY_NUM" in plans[label]
+
+
+def test_workers_read_written_steps_in_small_batches(spark):
+    """What a step sends to Python at a time does not grow with its task."""
+    rows = spark.range(4000, numPartitions=1).selectExpr("id", "repeat('x', 10000) AS text")
+    sizes = rows.mapInArrow(lambda found: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in found), "n long")
+    assert max(r.n for r in written(sizes, "sizes").collect()) < 6 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20)
