@@ -121,19 +121,27 @@ def _breaker_rows(spark, d):
     return e.select((F.col("user_id") % 10).alias("endpoint"), F.col("event_id").alias("ordinal"), (F.col("event_id") * 700).alias("at_ms"), (F.col("event_type") != "error").alias("succeeded"))
 
 
+#: The stream's events come in portions of about so many, since a worker holds the rows of all timers that end in a micro-batch.
+PORTION = 1_000_000
+
+
 def _breaker_stream(spark, d):
-    """The breaker's events as files in the order of time, followed as a stream; a far event moves the watermark past all others."""
+    """The breaker's events as files in the order of time, followed as a stream that is stopped and started between portions; a far event moves the watermark past all others."""
     source, sink, state = (audit_files.fresh_folder(spark, f"breaker-{x}") for x in ("source", "sink", "state"))
     rows = _breaker_rows(spark, d).withColumn("at_ms", F.col("at_ms") + 1)  # times are positive
-    last = rows.agg(F.lit(-1).cast("long").alias("endpoint"), F.lit(0).cast("long").alias("ordinal"), (F.max("at_ms") + 1_000_000).alias("at_ms"), F.lit(True).alias("succeeded"))
-    rows.unionByName(last).write.json(source)
+    found = rows.agg(F.count("*").alias("n"), F.max("at_ms").alias("last")).first()
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("endpoint"), F.lit(0).cast("long").alias("ordinal"), (F.lit(found["last"]).cast("long") + 1_000_000).alias("at_ms"), F.lit(True).alias("succeeded"))
+    portions = max(1, -(-found["n"] // PORTION))
+    # ranges of time do not overlap, so no event of a later portion is behind the watermark
+    held = audit_files.written(rows.unionByName(last).repartitionByRange(portions, "at_ms").withColumn("portion", F.spark_partition_id()), "breaker-portions")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, states.ROCKS)
     try:
-        stream = spark.readStream.schema(rows.schema).json(source)
-        found = states.circuit_breaker_stream(stream, 2, 5000, tick_ms=60_000)
-        found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        for portion in range(portions):
+            held.where(F.col("portion") == portion).drop("portion").write.mode("append").json(source)
+            found = states.circuit_breaker_stream(spark.readStream.schema(rows.schema).json(source), 2, 5000, tick_ms=60_000)
+            found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(name, before)
     return spark.read.schema(found.schema).parquet(sink).where("endpoint >= 0").withColumn("at_ms", F.col("at_ms") - 1)

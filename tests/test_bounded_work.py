@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from compare import assert_same
 
 from siltstone.functions.hashes import rotating_hash
 from siltstone.operators import batches, chunking, delta, spans
+from siltstone.plans import logs
 from siltstone.sources.audit_files import written
 
 
@@ -94,3 +96,13 @@ def test_workers_read_written_steps_in_small_batches(spark):
     sizes = rows.mapInArrow(lambda found: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in found), "n long")
     assert max(r.n for r in written(sizes, "sizes").collect()) < 6 << 20
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20)
+
+
+def test_breaker_stream_in_portions_equals_the_batch(spark, duck, sf_dir, monkeypatch):
+    """Timers of one micro-batch fill a worker; portions of the events in the order of time bound them."""
+    starts = []
+    follow = logs.states.circuit_breaker_stream
+    monkeypatch.setattr(logs.states, "circuit_breaker_stream", lambda *a, **b: starts.append(1) or follow(*a, **b))
+    monkeypatch.setattr(logs, "PORTION", -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // 3))
+    assert_same(logs.QUERIES["st3_breaker_stream"], logs.ORACLES["st3_breaker_stream"], spark, duck, sf_dir)
+    assert len(starts) == 3
