@@ -122,7 +122,7 @@ def _breaker_rows(spark, d):
 
 
 #: The stream's events come in portions of about so many, since a worker holds the rows of all timers that end in a micro-batch.
-PORTION = 1_000_000
+PORTION = 4_000_000
 
 
 def _breaker_stream(spark, d):
