@@ -57,9 +57,8 @@ def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, bits: int) ->
     """Frequent pairs, the most frequent first, such that no id is the left of one and the right of another."""
     frequent = np.flatnonzero(counts >= least)
     order = frequent[np.lexsort((keys[frequent], -counts[frequent]))]
-    lefts, rights, chosen, low = set(), set(), [], (1 << bits) - 1
-    for key in keys[order].tolist():
-        a, b = key >> bits, key & low
+    asked, lefts, rights, chosen = keys[order], set(), set(), []
+    for key, a, b in zip(asked.tolist(), (asked >> bits).tolist(), (asked & ((1 << bits) - 1)).tolist(), strict=True):
         if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
             continue
         lefts.add(a)
@@ -68,15 +67,18 @@ def choose_pairs(keys: np.ndarray, counts: np.ndarray, least: int, bits: int) ->
     return chosen
 
 
-def _sorted_pairs(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted pairs as numbers, their places): one plain sort of pair and place together where both fit 64 bits."""
-    keys = left.astype(np.uint64) << np.uint64(bits) | right
-    low = len(keys).bit_length()
-    if 2 * bits + low > 64:
-        order = np.argsort(keys)
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, bits: int, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted pairs as numbers, their places), without those skipped: one plain sort of pair and place together where both fit 63 bits."""
+    keys, last = left.astype(np.int64) << bits | right, np.iinfo(np.int64).max  # no pair is that large
+    low, n = len(keys).bit_length(), len(keys) - len(skipped)
+    if 2 * bits + low > 63:
+        keys[skipped] = last
+        order = np.argsort(keys)[:n]
         return keys[order], order
-    both = np.sort(keys << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
-    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    both = keys << low | np.arange(len(keys))
+    both[skipped] = last
+    both.sort()
+    return both[:n] >> low, both[:n] & ((1 << low) - 1)
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,17 +99,14 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST
         bits = fresh.bit_length()
         asked = np.flatnonzero(live[:-1] & ~last[:-1])
         left, right = symbols[asked], symbols[asked + 1]
-        odd = np.zeros(0, np.int64)
+        skipped = np.zeros(0, np.int64)
         same = np.flatnonzero(left == right)
         if len(same):
             at = asked[same]
             opens = np.concatenate(([True], np.diff(at) > 1))
             skipped = same[(at - at[opens][np.cumsum(opens) - 1]) % 2 == 1]
-            if len(skipped):
-                odd, even = asked[skipped], np.ones(len(asked), bool)
-                even[skipped] = False
-                asked, left, right = asked[even], left[even], right[even]
-        inside, order = _sorted_pairs(left, right, bits)
+        inside, order = _sorted_pairs(left, right, bits, skipped)
+        odd = asked[skipped]
         edges = np.flatnonzero(np.concatenate(([True], inside[1:] != inside[:-1]))) if len(inside) else np.zeros(0, np.int64)
         known, counts = inside[edges], np.diff(np.concatenate((edges, [len(inside)])))
         bound = thresholds.pop(0) if thresholds else least
@@ -116,22 +115,25 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = LEAST
             if bound == least:
                 break
             continue
-        pairs = np.array(chosen, np.uint64)
-        rule = np.full(len(known), -1, np.int64)
-        rule[np.searchsorted(known, pairs)] = np.arange(len(pairs))
-        made = np.repeat(rule, counts)
-        places = asked[order[made >= 0]]
-        live[:] = False
-        live[asked[order[np.repeat(counts >= least, counts)]]] = True
+        pairs = np.array(chosen, np.int64)
+        replaced = np.searchsorted(known, pairs)
+        n = counts[replaced]
+        ends = np.cumsum(n)
+        places = asked[order[np.repeat(edges[replaced] - (ends - n), n) + np.arange(ends[-1])]]
+        rare = edges[counts < least]
+        few = counts[counts < least]
+        for k in range(least - 1):
+            live[asked[order[rare[few > k] + k]]] = False
         live[odd] = True
         live[places] = True
         live[np.maximum(places, 1) - 1] = True
-        symbols[places] = (made[made >= 0] + fresh).astype(np.uint32)
+        symbols[places] = np.repeat(np.arange(fresh, fresh + len(pairs), dtype=np.uint32), n)
         last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
-        symbols, last, live = symbols[keep], last[keep], live[keep]
-        rules.append(np.stack((pairs >> np.uint64(bits), pairs & np.uint64((1 << bits) - 1)), axis=1))
+        kept = np.flatnonzero(keep)
+        symbols, last, live = symbols.take(kept), last.take(kept), live.take(kept)
+        rules.append(np.stack((pairs >> bits, pairs & ((1 << bits) - 1)), axis=1))
         fresh += len(pairs)
     ends = np.flatnonzero(last) + 1
     grammar = np.concatenate(rules).astype("<u4") if rules else np.zeros((0, 2), "<u4")
@@ -151,12 +153,22 @@ def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(n).astype(np.int64)
 
 
+def generations(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules that use none of their own run, so that a run is worked out at once; rules come after those they use."""
+    newest, start = rules.max(axis=1, initial=0).astype(np.int64) - base, 0
+    while start < len(rules):
+        later = newest[start + 1 :] >= start
+        stop = start + 1 + int(later.argmax()) if later.any() else len(rules)
+        yield start, stop
+        start = stop
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each rule stands for; rules come after those they use."""
-    sizes = [0] * len(rules)
-    for k, (a, b) in enumerate(rules.tolist()):
-        sizes[k] = (sizes[a - base] if a >= base else 1) + (sizes[b - base] if b >= base else 1)
-    return np.array(sizes, "<u4")
+    """How many ids each rule stands for."""
+    size = np.ones(base + len(rules), np.int64)
+    for start, stop in generations(rules, base):
+        size[base + start : base + stop] = size[rules[start:stop]].sum(axis=1)
+    return size[base:].astype("<u4")
 
 
 def write_shard(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
@@ -169,6 +181,13 @@ def write_shard(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
+def _laid_out(flat: np.ndarray, place: np.ndarray, size: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids of symbols one after the other, each taken from its place in ``flat``."""
+    n = size[symbols]
+    ends = np.cumsum(n)
+    return flat[np.repeat(place[symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Shard:
     """A shard's bytes, checked, for decoding."""
 
@@ -195,18 +214,14 @@ class Shard:
             place = np.concatenate(([0], np.cumsum(size)[:-1]))
             flat = np.empty(int(size.sum()), "<u4")
             flat[: self.base] = np.arange(self.base)
-            for k, (a, b) in enumerate(self.rules.tolist()):
-                at, middle = place[self.base + k], place[self.base + k] + size[a]
-                flat[at:middle] = flat[place[a] : place[a] + size[a]]
-                flat[middle : middle + size[b]] = flat[place[b] : place[b] + size[b]]
+            for start, stop in generations(self.rules, self.base):
+                made = _laid_out(flat, place, size, self.rules[start:stop].ravel())
+                flat[(at := place[self.base + start]) : at + len(made)] = made
             self._flat = flat, place, size
         return self._flat
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        flat, place, size = self._table()
-        n = size[symbols]
-        ends = np.cumsum(n)
-        return flat[np.repeat(place[symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return _laid_out(*self._table(), symbols)
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -246,7 +261,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["task", "shard", "tokens", "doc_ids", "payload"])
 
-        for part in slices(batches, 1, 4 << 20):
+        for part in slices(batches, 1):
             for key, raw in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist()), strict=True):
                 if held and size + len(raw) // 4 + 1 > shard_tokens:
                     yield close()

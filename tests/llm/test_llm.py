@@ -388,6 +388,52 @@ def test_encoders_on_every_code_point():
     assert [np.frombuffer(x, "<u4").tolist() for x in cached.encode(asked)] == [e.ids for e in tokenizer("word_bpe_49k.json").encode_batch(asked, add_special_tokens=False)]
 
 
+def test_memory_is_asked_once_for_a_piece_of_a_batch(texts):
+    """Look-ups grow with the distinct pieces of a batch, not with its pieces; repeats, new pieces and known ones alike."""
+    exact, encoder = tokenizer("word_bpe_49k.json"), _tokens.CachedEncoder(_tokens.vocabulary_path("word_bpe_49k.json"))
+    asked = 0
+
+    class Counting(type(encoder.memory)):
+        def __getitem__(self, piece):
+            nonlocal asked
+            asked += 1
+            return super().__getitem__(piece)
+
+        def get(self, piece, *default):
+            nonlocal asked
+            asked += 1
+            return super().get(piece, *default)
+
+    held = Counting()
+    held.update(encoder.memory)
+    encoder.memory = held
+    batch = [t + tail for t in [texts[k] for k in sorted(texts)[:20]] for tail in ("", " new, word new.", " <|endoftext|> x<|", " a\x01b \x01", " " + "long" * 90 + "! ÉTÉ été?! 漢字 1st")] * 10
+    want = [e.ids for e in exact.encode_batch(batch, add_special_tokens=False)]
+    for _ in range(2):  # the second time, all are known
+        asked = 0
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(batch)] == want
+        pieces = [p for t in batch for p in t.lower().split()]
+        assert 0 < asked < 3 * len(set(pieces)) + 100 < len(pieces) / 10
+    assert max(map(len, encoder.memory)) <= 256
+    small = _tokens.CachedEncoder(_tokens.vocabulary_path("word_bpe_49k.json"), max_bytes=2000)
+    for part in (batch[:7], batch[7:14], batch[:14]):  # full after the first
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(part)] == [e.ids for e in exact.encode_batch(part, add_special_tokens=False)]
+    assert small.encode([]) == [] and small.encode(["", " "]) == [b"", b""]
+
+
+def test_rules_are_worked_out_by_generations():
+    """A run of rules uses none of its own; runs are few where rules are many; chains, where each rule uses the last, stay right."""
+    rnd = random.Random(6)
+    ids = np.array([rnd.randrange(40) for _ in range(30_000)], "<u4")
+    shard = token_files.Shard(token_files.write_shard(ids, np.array([29_999, 1]), 49408))
+    runs = list(token_files.generations(shard.rules, 49408))
+    assert len(shard.rules) > 500 and len(runs) < 30 and [s for s, _ in runs] == [0, *(e for _, e in runs[:-1])] and runs[-1][1] == len(shard.rules)
+    assert all(shard.rules[s:e].max() < 49408 + s for s, e in runs) and (shard.all_ids() == ids).all()
+    chain = np.array([[0, 1]] + [[10 + k, k % 10] for k in range(60)])
+    assert token_files.expansion_lengths(chain, 10).tolist() == list(range(2, 63)) and len(list(token_files.generations(chain, 10))) == 61
+    assert list(token_files.generations(np.zeros((0, 2), "<u4"), 10)) == [] and token_files.expansion_lengths(np.zeros((0, 2), "<u4"), 10).tolist() == []
+
+
 def test_shard_random_access_and_damage():
     rnd = random.Random(1)
     phrase = [rnd.randrange(500) for _ in range(40)]
